@@ -56,14 +56,21 @@ def n_trigrams(c) -> Column:
 class LabelColumnLid:
     """Take the label (and optionally the score) from existing columns."""
 
-    def __init__(self, label_col: str = "lang", score_col: str | None = None):
+    text_only = False
+
+    def __init__(self, label_col: str = "lang", score_col: str | None = None,
+                 by_text: dict[str, tuple[str, str | None]] | None = None):
+        """``by_text`` maps a text column to its own (label, score) columns,
+        e.g. one pair per side of a parallel corpus."""
         self.label_col = label_col
         self.score_col = score_col
+        self.by_text = by_text or {}
 
     def annotate(self, df: DataFrame, text_col: str, key_cols: Sequence[str],
                  prefix: str = "lid") -> DataFrame:
-        score = F.col(self.score_col).cast("double") if self.score_col else F.lit(1.0)
-        return (df.withColumn(f"{prefix}_label", F.col(self.label_col))
+        label_col, score_col = self.by_text.get(text_col, (self.label_col, self.score_col))
+        score = F.col(score_col).cast("double") if score_col else F.lit(1.0)
+        return (df.withColumn(f"{prefix}_label", F.col(label_col))
                   .withColumn(f"{prefix}_score", score))
 
 
@@ -74,6 +81,7 @@ class TrigramLid:
 
     model: DataFrame
     langs: list[str]
+    text_only = True
     log_norm: list[float]          # ln(N_l + V) per language
     n_grams: int                   # V, rows of ``model``
 

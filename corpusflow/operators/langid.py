@@ -99,8 +99,11 @@ class TrigramLid:
         (none when ``df`` is already partitioned by the key)."""
         keys = list(key_cols)
         L = len(self.langs)
-        exploded = df.select(*keys, n_trigrams(text_col).alias("_n"),
-                             F.explode_outer(trigrams(text_col)).alias("gram"))
+        # Length and trigram array are computed once per row *before* the
+        # explode; an expression over the text above the Generate would be
+        # re-evaluated for every trigram (quadratic in the text length).
+        pre = df.select(*keys, n_trigrams(text_col).alias("_n"), trigrams(text_col).alias("_g"))
+        exploded = pre.select(*keys, "_n", F.explode_outer("_g").alias("gram"))
         joined = exploded.join(self._model_side(), "gram", "left")
         agg = joined.groupBy(*keys).agg(
             F.max("_n").alias("_n"),
@@ -131,6 +134,8 @@ def train_trigram_lid(df: DataFrame, text_col: str = "text", label_col: str = "l
                       checkpoint: bool = True) -> TrigramLid:
     """Count (language, trigram) pairs with a partial aggregate, then pivot
     to one row per trigram. The model is checkpointed to the shared folder."""
+    from corpusflow.session import shared_dir
+    shared_dir(df.sparkSession)
     counts = (df.where(F.col(label_col).isNotNull())
                 .select(F.col(label_col).alias("_lang"),
                         F.explode(trigrams(text_col)).alias("gram"))

@@ -349,3 +349,123 @@ def q_pairs_null_sides(spark, sf):
         F.when(F.instr("tgt", ",") > 0, F.lit(None)).otherwise(F.col("tgt")).alias("bn"))
         .alias("translation"))
     return pairs_from_translation(tr, "en", "bn")
+
+
+# ---------------------------------------------------------------- L1-L3 language ID
+_LID_TRAIN_SQL = "SELECT lang, text FROM documents"
+_LID_MODEL = {}
+
+
+def _lid(spark, sf):
+    """Trigram model trained on the whole ``documents`` table (label = ``lang``);
+    cached per (session, table dir) so several queries share one training job."""
+    from corpusflow.operators.langid import train_trigram_lid
+    key = (id(spark), sf)
+    if key not in _LID_MODEL:
+        _LID_MODEL.clear()
+        _LID_MODEL[key] = train_trigram_lid(table(spark, sf, "documents", ["text", "lang"]))
+    return _LID_MODEL[key]
+
+
+@register("lid_predict", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+{S.lid_score_ctes('p', 'SELECT doc_id, text FROM documents', 'doc_id')}
+SELECT doc_id, label, round(score, 4) AS score FROM p
+""")
+def q_lid_predict(spark, sf):
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    sc = _lid(spark, sf).scores(docs, "text", ["doc_id"], prefix="p")
+    return sc.select("doc_id", F.col("p_label").alias("label"), F.round("p_score", 4).alias("score"))
+
+
+@register("lid_predict_conv", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+{S.lid_score_ctes('p', "SELECT conv_id * 100000 + turn AS k, text FROM conversations", 'k')}
+SELECT k // 100000 AS conv_id, k % 100000 AS turn, label, round(score, 4) AS score FROM p
+""")
+def q_lid_predict_conv(spark, sf):
+    conv = table(spark, sf, "conversations", ["conv_id", "turn", "text"])
+    sc = _lid(spark, sf).scores(conv, "text", ["conv_id", "turn"], prefix="p")
+    return sc.select("conv_id", "turn", F.col("p_label").alias("label"),
+                     F.round("p_score", 4).alias("score"))
+
+
+@register("lid_accuracy", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+{S.lid_score_ctes('p', 'SELECT doc_id, text FROM documents', 'doc_id')}
+SELECT d.lang, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CASE WHEN p.label = d.lang THEN 1 ELSE 0 END) AS BIGINT) AS correct
+  FROM documents d JOIN p USING (doc_id) GROUP BY d.lang
+""")
+def q_lid_accuracy(spark, sf):
+    docs = table(spark, sf, "documents", ["doc_id", "text", "lang"])
+    sc = _lid(spark, sf).annotate(docs, "text", ["doc_id"], prefix="p")
+    return sc.groupBy("lang").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.sum(F.when(F.col("p_label") == F.col("lang"), 1).otherwise(0)).cast("long").alias("correct"))
+
+
+@register("lid_strict", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+{S.lid_score_ctes('p', 'SELECT doc_id, text FROM documents', 'doc_id')}
+SELECT doc_id FROM p WHERE label = 'en' AND score >= 0.5
+""")
+def q_lid_strict(spark, sf):
+    from corpusflow.operators.langid import strict_keep
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    sc = _lid(spark, sf).scores(docs, "text", ["doc_id"], prefix="p")
+    return sc.where(strict_keep("p_label", "p_score", "en")).select("doc_id")
+
+
+@register("lid_lenient", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+_pairs AS (SELECT doc_id * 100000 + line_no AS k, src, tgt FROM {S.adjacent_pairs()}),
+{S.lid_score_ctes('ps', 'SELECT k, src AS text FROM _pairs', 'k')},
+{S.lid_score_ctes('pt', 'SELECT k, tgt AS text FROM _pairs', 'k')}
+SELECT k // 100000 AS doc_id, k % 100000 AS line_no FROM ps JOIN pt USING (k)
+ WHERE NOT (ps.score > 0.5 AND ps.label <> 'en') AND NOT (pt.score > 0.5 AND pt.label <> 'en')
+""")
+def q_lid_lenient(spark, sf):
+    from corpusflow.operators.langid import lenient_reject
+    pairs = adjacent_line_pairs(table(spark, sf, "documents"))
+    lid = _lid(spark, sf)
+    ps = lid.scores(pairs, "src", ["doc_id", "line_no"], prefix="s")
+    pt = lid.scores(pairs, "tgt", ["doc_id", "line_no"], prefix="t")
+    j = ps.join(pt, ["doc_id", "line_no"])
+    return j.where(~lenient_reject("s_label", "s_score", "en")
+                   & ~lenient_reject("t_label", "t_score", "en")).select("doc_id", "line_no")
+
+
+@register("clean_mono_lid", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+c AS (SELECT doc_id, lang, source, n_chars, {S.clean('text', 'en')} AS text FROM documents),
+f AS (SELECT * FROM c WHERE length(text) >= 10
+      QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1),
+{S.lid_score_ctes('p', 'SELECT doc_id, text FROM f', 'doc_id')}
+SELECT doc_id, text, lang, source, n_chars FROM f JOIN p USING (doc_id)
+ WHERE p.label = 'en' AND p.score >= 0.5
+""")
+def q_clean_mono_lid(spark, sf):
+    """C1 with the trigram model as language identifier (strict rule)."""
+    docs = table(spark, sf, "documents")
+    return clean_monolingual(docs, "en", lid=_lid(spark, sf), order_cols=["doc_id"])
+
+
+@register("clean_pairs_lid", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+ok AS ({_pairs_sql(S.adjacent_pairs(), "doc_id, line_no")}),
+k AS (SELECT doc_id * 100000 + line_no AS k, src, tgt FROM ok),
+{S.lid_score_ctes('ps', 'SELECT k, src AS text FROM k', 'k')},
+{S.lid_score_ctes('pt', 'SELECT k, tgt AS text FROM k', 'k')}
+SELECT k // 100000 AS doc_id, k % 100000 AS line_no, src, tgt
+  FROM k JOIN ps USING (k) JOIN pt USING (k)
+ WHERE NOT (ps.score > 0.5 AND ps.label <> 'en') AND NOT (pt.score > 0.5 AND pt.label <> 'en')
+""")
+def q_clean_pairs_lid(spark, sf):
+    """C2 over adjacent lines with the lenient rule, expecting English on both sides."""
+    pairs = adjacent_line_pairs(table(spark, sf, "documents"))
+    pairs = pairs.withColumnRenamed("src", "en").withColumnRenamed("tgt", "en2")
+    out = clean_parallel(pairs, "en", "en2", lid=_lid(spark, sf), whitelist=False,
+                         order_cols=["doc_id", "line_no"], expect=("en", "en"))
+    return out.select("doc_id", "line_no", F.col("translation.en").alias("src"),
+                      F.col("translation.en2").alias("tgt"))

@@ -54,3 +54,42 @@ def conversation_pairs() -> str:
        FROM conversations u JOIN conversations a
          ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
       WHERE u.role = 'user' AND a.role = 'assistant')"""
+
+
+def _trigram_list(x: str) -> str:
+    c = f"string_split(lower(replace(coalesce({x}, ''), chr(10), ' ')), '')"
+    return c
+
+
+def lid_model_ctes(train_sql: str) -> str:
+    """CTEs ``_lid_cnt(lang, gram, c)`` and ``_lid_langs(lang, lognorm)`` for a
+    training query selecting ``lang, text``."""
+    return f"""
+_lid_tr AS (SELECT lang, {_trigram_list('text')} AS c FROM ({train_sql}) WHERE lang IS NOT NULL),
+_lid_g AS (SELECT lang, unnest(list_transform(range(1, len(c) - 1),
+                   lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM _lid_tr),
+_lid_cnt AS (SELECT lang, gram, count(*) AS c FROM _lid_g GROUP BY lang, gram),
+_lid_v AS (SELECT count(DISTINCT gram) AS v FROM _lid_cnt),
+_lid_langs AS (SELECT lang, ln(sum(c) + any_value(v)) AS lognorm FROM _lid_cnt, _lid_v GROUP BY lang)"""
+
+
+def lid_score_ctes(name: str, texts_sql: str, key: str) -> str:
+    """CTE ``<name>(key, label, score)`` scoring ``texts_sql`` (selecting
+    ``key, text``) with the model CTEs above."""
+    return f"""
+{name}_t AS (SELECT {key}, {_trigram_list('text')} AS c FROM ({texts_sql})),
+{name}_n AS (SELECT {key}, greatest(len(c) - 2, 0) AS n FROM {name}_t),
+{name}_g AS (SELECT {key}, unnest(list_transform(range(1, len(c) - 1),
+                   lambda i: c[i] || c[i + 1] || c[i + 2])) AS gram FROM {name}_t),
+{name}_m AS (SELECT g.{key}, k.lang, sum(ln(k.c + 1)) AS s FROM {name}_g g JOIN _lid_cnt k USING (gram)
+             GROUP BY g.{key}, k.lang),
+{name}_s AS (SELECT n.{key}, n.n, l.lang, -n.n * l.lognorm + coalesce(m.s, 0) AS s
+               FROM {name}_n n CROSS JOIN _lid_langs l
+               LEFT JOIN {name}_m m ON m.{key} = n.{key} AND m.lang = l.lang),
+{name}_x AS (SELECT {key}, any_value(n) AS n, max(s) AS mx,
+                    first(lang ORDER BY s DESC, lang) AS top FROM {name}_s GROUP BY {key}),
+{name} AS (SELECT x.{key},
+                  CASE WHEN x.n > 0 THEN x.top ELSE 'other' END AS label,
+                  CASE WHEN x.n > 0 THEN 1.0 / sum(exp(s.s - x.mx)) ELSE 0.0 END AS score
+             FROM {name}_x x JOIN {name}_s s USING ({key})
+            GROUP BY x.{key}, x.n, x.top)"""

@@ -59,20 +59,29 @@ def _lid_reject(src_lang: str, tgt_lang: str, threshold: float):
 def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
                    order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
                    min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
-                   max_ratio: float = MAX_RATIO, threshold: float = THRESHOLD) -> DataFrame:
+                   max_ratio: float = MAX_RATIO, threshold: float = THRESHOLD,
+                   expect: tuple[str, str] | None = None) -> DataFrame:
     """Accepted pairs. ``translation`` is replaced by the cleaned
-    ``struct<src_lang, tgt_lang>``; every other input column is kept."""
+    ``struct<src_lang, tgt_lang>``; every other input column is kept.
+    ``expect`` overrides the labels the LID rule expects per side (default:
+    the two language codes)."""
+    if expect:
+        src_lang_lid, tgt_lang_lid = expect
+    else:
+        src_lang_lid, tgt_lang_lid = src_lang, tgt_lang
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     out_cols = [c for c in base.columns if not c.startswith("_") and c != "translation"]
     ok = base.where(F.col("_reason0").isNull() & (count_numbers("_s") == count_numbers("_t")))
     per_row_lid = isinstance(lid, LabelColumnLid)
     if lid is not None and per_row_lid:
-        ok = _lid_columns(ok, lid, list(order_cols)).where(~_lid_reject(src_lang, tgt_lang, threshold))
+        ok = _lid_columns(ok, lid, list(order_cols)).where(
+            ~_lid_reject(src_lang_lid, tgt_lang_lid, threshold))
     ok = ok.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
     ok = ok.select(*out_cols, "_s", "_t", "_h")
     firsts = first_per_key(ok, "_h", order_cols)
     if lid is not None and not per_row_lid:
-        firsts = _lid_columns(firsts, lid, ["_h"]).where(~_lid_reject(src_lang, tgt_lang, threshold))
+        firsts = _lid_columns(firsts, lid, ["_h"]).where(
+            ~_lid_reject(src_lang_lid, tgt_lang_lid, threshold))
     firsts = restore_structure(firsts, "_s", "_t", src_lang, tgt_lang)
     return firsts.select(*out_cols, "translation")
 
@@ -81,26 +90,28 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
                           order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
                           min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
                           max_ratio: float = MAX_RATIO,
-                          threshold: float = THRESHOLD) -> DataFrame:
+                          threshold: float = THRESHOLD,
+                          expect: tuple[str, str] | None = None) -> DataFrame:
     """D3 (pairs): one row with ``total`` and a count per reason plus ``kept``.
 
     A row is ``dup`` only if an earlier row with its hash was accepted, so
     repeated rejects keep their own reason. Narrow columns only: per hash the
     first accepted order key (partial aggregate), joined back on the hash
     (AQE splits a hot hash)."""
+    src_lid, tgt_lid = expect or (src_lang, tgt_lang)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     order = F.struct(*[F.col(c) for c in order_cols])
     base = base.withColumn("_o", order).withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
     if lid is not None and isinstance(lid, LabelColumnLid):
         base = _lid_columns(base, lid, list(order_cols))
-        lid_bad = _lid_reject(src_lang, tgt_lang, threshold)
+        lid_bad = _lid_reject(src_lid, tgt_lid, threshold)
         rows = base.select("_h", "_o", "_reason0", lid_bad.alias("_lid_bad"), "_s", "_t")
     elif lid is not None:
         cand = base.where(F.col("_reason0").isNull()).select("_h", "_s", "_t")
         distinct = cand.groupBy("_h").agg(F.min(F.struct("_s", "_t")).alias("_p")) \
                        .select("_h", "_p._s", "_p._t")
         verdict = _lid_columns(distinct, lid, ["_h"]).select(
-            "_h", _lid_reject(src_lang, tgt_lang, threshold).alias("_lid_bad"))
+            "_h", _lid_reject(src_lid, tgt_lid, threshold).alias("_lid_bad"))
         rows = base.select("_h", "_o", "_reason0", "_s", "_t").join(verdict, "_h", "left")
     else:
         rows = base.select("_h", "_o", "_reason0", F.lit(False).alias("_lid_bad"), "_s", "_t")

@@ -469,3 +469,162 @@ def q_clean_pairs_lid(spark, sf):
                          order_cols=["doc_id", "line_no"], expect=("en", "en"))
     return out.select("doc_id", "line_no", F.col("translation.en").alias("src"),
                       F.col("translation.en2").alias("tgt"))
+
+
+# ---------------------------------------------------------------- K1-K3 sampling
+@register("head_n", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 100")
+def q_head_n(spark, sf):
+    from corpusflow.operators.sample import head_n
+    return head_n(table(spark, sf, "documents", ["doc_id", "lang"]), 100, ["doc_id"])
+
+
+_SPLIT_H = "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 15))::UBIGINT"
+
+
+@register("train_val_split", f"""
+WITH h AS (SELECT doc_id, {_SPLIT_H} AS hv FROM documents)
+SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY hv, doc_id)
+                         <= (SELECT ceil(count(*) * 0.01) FROM documents)
+                    THEN 'validation' ELSE 'train' END AS split
+  FROM h
+""")
+def q_train_val_split(spark, sf):
+    from corpusflow.operators.sample import train_val_split
+    docs = table(spark, sf, "documents", ["doc_id"])
+    return train_val_split(docs, 0.01, 42, row_id="doc_id").select("doc_id", "split")
+
+
+@register("train_val_split_approx", f"""
+SELECT doc_id, CASE WHEN {_SPLIT_H} < CAST(0.1 * 1152921504606846976 AS UBIGINT)
+                    THEN 'validation' ELSE 'train' END AS split
+  FROM documents
+""")
+def q_train_val_split_approx(spark, sf):
+    from corpusflow.operators.sample import train_val_split
+    docs = table(spark, sf, "documents", ["doc_id"])
+    return train_val_split(docs, 0.1, 42, row_id="doc_id", exact=False).select("doc_id", "split")
+
+
+# ---------------------------------------------------------------- M2 / M3 inspection
+@register("inspect_sample", """
+WITH s AS (SELECT row_number() OVER (ORDER BY doc_id) AS sample_no, CAST(doc_id AS VARCHAR) AS doc_id,
+                  text, lang, source, CAST(n_chars AS VARCHAR) AS n_chars
+             FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 3)),
+u AS (UNPIVOT s ON doc_id, text, lang, source, n_chars INTO NAME field VALUE value)
+SELECT 'documents' AS dataset, (SELECT CAST(count(*) AS BIGINT) FROM documents) AS total,
+       sample_no, field,
+       CASE WHEN length(value) > 300 THEN substr(value, 1, 300) || '... [TRUNCATED]' ELSE value END AS value
+  FROM u
+""")
+def q_inspect_sample(spark, sf):
+    from corpusflow.operators.inspect import inspect_sample
+    return inspect_sample(table(spark, sf, "documents"), "documents", 3, ["doc_id"])
+
+
+@register("raw_vs_clean", f"""
+SELECT 'documents_en' AS corpus, CAST((SELECT count(*) FROM documents) AS BIGINT) AS raw_rows,
+       CAST((SELECT count(*) FROM ({ORACLES['clean_mono']})) AS BIGINT) AS clean_rows
+UNION ALL
+SELECT 'adjacent_lines', CAST((SELECT count(*) FROM {S.adjacent_pairs()}) AS BIGINT),
+       CAST((SELECT count(*) FROM ({ORACLES['clean_pairs']})) AS BIGINT)
+UNION ALL
+SELECT 'conversations', CAST((SELECT count(*) FROM {S.conversation_pairs()}) AS BIGINT),
+       CAST((SELECT count(*) FROM ({ORACLES['clean_pairs_conv']})) AS BIGINT)
+""")
+def q_raw_vs_clean(spark, sf):
+    from corpusflow.operators.inspect import raw_vs_clean
+    docs = table(spark, sf, "documents")
+    adj = adjacent_line_pairs(docs)
+    conv = conversation_pairs(table(spark, sf, "conversations"))
+    return raw_vs_clean([
+        ("documents_en", docs, q_clean_mono(spark, sf)),
+        ("adjacent_lines", adj, q_clean_pairs(spark, sf)),
+        ("conversations", conv, q_clean_pairs_conv(spark, sf)),
+    ]).select("corpus", "raw_rows", "clean_rows")
+
+
+# ---------------------------------------------------------------- S2-S5 ingest
+@register("ingest_mono", """
+SELECT doc_id AS row_id, doc_id, text, lang, source, n_chars FROM documents
+""")
+def q_ingest_mono(spark, sf):
+    """S3 + S2 + S1: ingest ``documents`` to a snapshot in the shared folder and read it back."""
+    from corpusflow.session import shared_dir
+    from corpusflow.sources.ingest import ingest
+    from corpusflow.sources.readers import read_snapshot
+    path = ingest(spark, f"{sf}/documents.parquet", "corpus/documents", "sf", "train",
+                  output_dir=shared_dir(spark, "ingest"), id_col="doc_id")
+    return read_snapshot(spark, path).select("row_id", "doc_id", "text", "lang", "source", "n_chars")
+
+
+@register("ingest_stream", """
+SELECT doc_id AS row_id, doc_id, text, lang FROM documents
+""")
+def q_ingest_stream(spark, sf):
+    """The same source through Structured Streaming (AvailableNow) into a Parquet sink."""
+    from corpusflow.sources.readers import read_snapshot
+    from corpusflow.streaming.ingest import stream_ingest
+    src = f"{sf}/documents.parquet"
+    schema = spark.read.parquet(src).schema
+    sink = stream_ingest(spark, src, schema, id_col="doc_id", timeout_s=600)
+    return read_snapshot(spark, sink).select("row_id", "doc_id", "text", "lang")
+
+
+@register("ingest_pairs", f"""
+SELECT conv_id * 100000 + turn AS row_id, conv_id, turn, src AS en, tgt AS bn
+  FROM {S.conversation_pairs()}
+""")
+def q_ingest_pairs(spark, sf):
+    """A parallel source (``translation`` struct) ingested with its layout checked."""
+    from corpusflow.session import shared_dir
+    from corpusflow.sources.ingest import ingest_parallel
+    from corpusflow.sources.readers import read_snapshot, write_snapshot
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    staged = write_snapshot(
+        pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), "conv_id", "turn",
+                     F.struct(F.col("src").alias("en"), F.col("tgt").alias("bn")).alias("translation")),
+        shared_dir(spark, "staged-pairs"))
+    path = ingest_parallel(spark, staged, "corpus/conversations", "sf",
+                           output_dir=shared_dir(spark, "ingest"))
+    return read_snapshot(spark, path).select("row_id", "conv_id", "turn", F.col("translation.en").alias("en"),
+                                             F.col("translation.bn").alias("bn"))
+
+
+# ---------------------------------------------------------------- B2 shard expansion
+# Junk lines appended to every generated shard (each must be dropped).
+SHARD_JUNK = ["", "   ", "not json", "[1]", '{"en":"a"}', '{"en":null,"bn":"b"}',
+              "{'en':'a','bn':'b'}", '{"en":"a","bn":"b"} junk']
+
+
+def build_shards(docs: DataFrame) -> DataFrame:
+    """One packed shard per document: every line as ``{"en": line, "bn": "[line]"}``,
+    then the junk lines, a line with an invalid UTF-8 byte inside a string, and
+    two objects separated by U+2028. Columns ``__key__, __url__, jsonl`` (binary)."""
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
+    objs = F.transform(lines, lambda l: F.to_json(F.struct(l.alias("en"),
+                                                           F.concat(F.lit("["), l, F.lit("]")).alias("bn"))))
+    junk = F.array(*[F.lit(j) for j in SHARD_JUNK])
+    head = F.concat_ws("\n", F.concat(objs, junk))
+    blob = F.concat(F.encode(F.concat(head, F.lit('\n{"en":"bad')), "UTF-8"), F.unhex(F.lit("FF")),
+                    F.encode(F.lit('","bn":"b"}\n{"en":"p","bn":"q"} {"en":"r","bn":"s"}'), "UTF-8"))
+    return docs.select(F.col("doc_id").cast("string").alias("__key__"),
+                       F.col("source").alias("__url__"), blob.alias("jsonl"))
+
+
+@register("expand_jsonl", f"""
+WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS k, source AS u,
+                  string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+docl AS (SELECT k, u, CAST(i - 1 AS BIGINT) AS line_no, ls[i] AS en, '[' || ls[i] || ']' AS bn
+           FROM d, LATERAL (SELECT unnest(range(1, len(d.ls) + 1)) AS i) r),
+extra AS (SELECT k, u, CAST(len(ls) + {len(SHARD_JUNK)} + e.o AS BIGINT) AS line_no, e.en, e.bn
+            FROM d, (VALUES (0, 'bad' || chr(65533), 'b'), (1, 'p', 'q'), (2, 'r', 's')) e(o, en, bn))
+SELECT k AS __key__, u AS __url__, line_no, en, bn FROM docl
+UNION ALL
+SELECT k, u, line_no, en, bn FROM extra
+""")
+def q_expand_jsonl(spark, sf):
+    from corpusflow.sources.shards import expand_jsonl
+    shards = build_shards(table(spark, sf, "documents", ["doc_id", "text", "source"]))
+    out = expand_jsonl(shards, "en", "bn")
+    return out.select("__key__", "__url__", "line_no", F.col("translation.en").alias("en"),
+                      F.col("translation.bn").alias("bn"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
@@ -628,3 +628,255 @@ def q_expand_jsonl(spark, sf):
     out = expand_jsonl(shards, "en", "bn")
     return out.select("__key__", "__url__", "line_no", F.col("translation.en").alias("en"),
                       F.col("translation.bn").alias("bn"))
+
+
+# ---------------------------------------------------------------- T2-T10 tokenizer
+_BPE_MODELS = {}
+BPE_VOCAB = 400
+
+
+def _bpe(spark, sf, vocab_size=BPE_VOCAB):
+    """BPE vocabulary of the whole ``documents`` table, shared by the queries."""
+    from corpusflow.operators.bpe import train_bpe
+    key = (id(spark), sf, vocab_size)
+    if key not in _BPE_MODELS:
+        _BPE_MODELS[key] = train_bpe(table(spark, sf, "documents", ["text"]), vocab_size=vocab_size)
+    return _BPE_MODELS[key]
+
+
+@register("pretokenize", f"""
+SELECT doc_id, CAST(len({S.pretokenize('text')}) AS BIGINT) AS n_words,
+       array_to_string({S.pretokenize('text')}, ' ') AS words
+  FROM documents
+""")
+def q_pretokenize(spark, sf):
+    from corpusflow.operators.bpe import pretokenize
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    w = docs.select("doc_id", pretokenize("text").alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_words"),
+                    F.array_join("w", " ").alias("words"))
+
+
+@register("word_counts", f"""
+SELECT word, CAST(count(*) AS BIGINT) AS n
+  FROM (SELECT unnest({S.pretokenize('text')}) AS word FROM documents) GROUP BY word
+""")
+def q_word_counts(spark, sf):
+    from corpusflow.operators.bpe import word_counts
+    wc = word_counts(table(spark, sf, "documents", ["text"]))
+    return wc.select("word", F.col("count").cast("long").alias("n"))
+
+
+@register("bpe_pair_counts", f"""
+WITH wc AS (SELECT word, count(*) AS c
+              FROM (SELECT unnest({S.pretokenize('text')}) AS word FROM documents) GROUP BY word),
+ch AS (SELECT string_split(word, '') AS s, c FROM wc)
+SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(c) AS BIGINT) AS n
+  FROM ch, LATERAL (SELECT unnest(range(1, len(ch.s))) AS i) r
+ GROUP BY s[i], s[i + 1]
+""")
+def q_bpe_pair_counts(spark, sf):
+    from corpusflow.operators.bpe import char_pair_counts, word_counts
+    pc = char_pair_counts(word_counts(table(spark, sf, "documents", ["text"])))
+    return pc.select("left", "right", F.col("count").cast("long").alias("n"))
+
+
+def _byte_alphabet_sql() -> str:
+    from corpusflow.operators.bpe import byte_alphabet
+    return ", ".join(f"(chr({ord(c)}))" for c in byte_alphabet())
+
+
+def _alphabet_sql() -> str:
+    return f"""
+WITH ch AS (SELECT DISTINCT unnest(string_split(word, '')) AS token
+              FROM (SELECT unnest({S.pretokenize('text')}) AS word FROM documents)
+             WHERE word <> ''),
+a AS (SELECT token FROM ch UNION SELECT token FROM (VALUES {_byte_alphabet_sql()}) v(token)),
+sp AS (SELECT * FROM (VALUES (0, '[UNK]'), (1, '[CLS]'), (2, '[SEP]'), (3, '[PAD]'), (4, '[MASK]')) v(id, token))
+SELECT id, token FROM sp
+UNION ALL
+SELECT CAST(4 + row_number() OVER (ORDER BY token) AS INTEGER) AS id, token FROM a"""
+
+
+@register("bpe_alphabet", f"SELECT CAST(id AS BIGINT) AS id, token FROM ({_alphabet_sql()})")
+def q_bpe_alphabet(spark, sf):
+    """T6 + initial alphabet: a BPE model with no merges is exactly its alphabet."""
+    m = _bpe(spark, sf, vocab_size=0)
+    return m.vocab_df(spark).select(F.col("id").cast("long").alias("id"), "token")
+
+
+@register("bpe_merges")
+def q_bpe_merges(spark, sf):
+    """T5: merges (exact batched training, vocabulary 400); checked against the
+    reference tokenizer library in tests."""
+    return _bpe(spark, sf).merges_df(spark)
+
+
+@register("bpe_vocab")
+def q_bpe_vocab(spark, sf):
+    return _bpe(spark, sf).vocab_df(spark).select("id", "token", "special")
+
+
+def _encode_sql() -> str:
+    return f"""
+WITH alpha AS ({_alphabet_sql()}),
+w AS (SELECT doc_id, {S.pretokenize('text')} AS ws FROM documents),
+wc AS (SELECT doc_id, wi, string_split(ws[wi], '') AS cs
+         FROM w, LATERAL (SELECT unnest(range(1, len(w.ws) + 1)) AS wi) r),
+c AS (SELECT doc_id, wi, ci, cs[ci] AS token
+        FROM wc, LATERAL (SELECT unnest(range(1, len(wc.cs) + 1)) AS ci) r),
+e AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY wi, ci) AS ids, count(*) AS n
+        FROM c JOIN alpha USING (token) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_tokens, coalesce(e.ids, '') AS ids
+  FROM documents d LEFT JOIN e USING (doc_id)"""
+
+
+@register("encode_chars", _encode_sql())
+def q_encode_chars(spark, sf):
+    """T8 through the distributed path (distinct words -> segment -> join back
+    -> ordered reassembly) with the no-merge model, so SQL can check it."""
+    from corpusflow.operators.bpe import encode
+    m = _bpe(spark, sf, vocab_size=0)
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    e = encode(docs, "text", m, ["doc_id"])
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.array_join("ids", ",").alias("ids"))
+
+
+@register("encode_corpus")
+def q_encode_corpus(spark, sf):
+    """T8 with the trained vocabulary; parity with the library is a test."""
+    from corpusflow.operators.bpe import encode
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    e = encode(docs, "text", _bpe(spark, sf), ["doc_id"])
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                    F.array_join("ids", ",").alias("ids"))
+
+
+@register("decode_ids")
+def q_decode_ids(spark, sf):
+    """Round trip of every document through encode and byte-level decode."""
+    from corpusflow.operators.bpe import decode, encode
+    m = _bpe(spark, sf)
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    return decode(encode(docs, "text", m, ["doc_id"]), "ids", m, ["doc_id"])
+
+
+@register("tokenizer_report")
+def q_tokenizer_report(spark, sf):
+    """Tokens per word and unknown rate per language over all documents."""
+    from corpusflow.operators.bpe import tokenizer_report
+    docs = table(spark, sf, "documents", ["doc_id", "text", "lang"])
+    return tokenizer_report(docs, "text", _bpe(spark, sf), ["doc_id"], "lang")
+
+
+# ---------------------------------------------------------------- E1-E7 examples
+def _len_ids(col="text") -> Column:
+    """Id arrays derived from table data (word lengths + 5), so the array
+    operators are checked independently of the tokenizer."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.transform(F.split(F.coalesce(c, F.lit("")), " "), lambda w: F.length(w) + 5)
+
+
+def _len_ids_sql(x: str = "text") -> str:
+    return f"list_transform(string_split(coalesce({x}, ''), ' '), lambda w: CAST(length(w) + 5 AS INTEGER))"
+
+
+def _pad_sql(x: str, value: int, n: int = 128) -> str:
+    return (f"list_concat({x}, list_transform(range(greatest({n} - len({x}), 0)), lambda i: {value}))[1:{n}]")
+
+
+def _ones_sql(k: str, n: int = 128) -> str:
+    return (f"list_concat(list_transform(range(least({k}, {n})), lambda i: 1), "
+            f"list_transform(range({n} - least({k}, {n})), lambda i: 0))")
+
+
+@register("truncate_eos", f"""
+SELECT doc_id, array_to_string(list_concat(({_len_ids_sql()})[1:127], [2]), ',') AS ids FROM documents
+""")
+def q_truncate_eos(spark, sf):
+    from corpusflow.operators.examples import truncate_eos
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.array_join(truncate_eos(_len_ids(), 2), ",").alias("ids"))
+
+
+@register("pad_ids", f"""
+SELECT doc_id, array_to_string({_pad_sql(f"({_len_ids_sql()})[1:60]", 3)}, ',') AS ids FROM documents
+""")
+def q_pad_ids(spark, sf):
+    from corpusflow.operators.examples import pad_ids
+    docs = table(spark, sf, "documents", ["doc_id", "text"])
+    return docs.select("doc_id", F.array_join(pad_ids(F.slice(_len_ids(), 1, 60), 3), ",").alias("ids"))
+
+
+def _u_sql(row: str, pos: str, seed: int = 42, epoch: int = 0) -> str:
+    return (f"(('0x' || substr(md5('{seed}:{epoch}:' || CAST({row} AS VARCHAR) || ':' || CAST({pos} AS VARCHAR)), 1, 8))"
+            f"::UBIGINT / 4294967296.0)")
+
+
+@register("denoise_examples", f"""
+WITH t AS (SELECT doc_id, ({_len_ids_sql()})[1:127] AS t FROM documents),
+n AS (SELECT doc_id, t, list_transform(t, lambda x, i: CASE WHEN {_u_sql('doc_id', 'i - 1')} < 0.15
+                                                       THEN 4 ELSE x END) AS noisy FROM t)
+SELECT doc_id,
+       array_to_string({_pad_sql("list_concat(noisy, [2])", 3)}, ',') AS input_ids,
+       array_to_string({_pad_sql("list_concat(t, [2])", 3)}, ',') AS labels,
+       array_to_string({_ones_sql("len(t)")}, ',') AS attention_mask
+  FROM n
+""")
+def q_denoise_examples(spark, sf):
+    """C4 tail: masking (seed 42, epoch 0), EOS, padding, mask without EOS."""
+    from corpusflow.operators.examples import denoising_examples
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).select("doc_id", _len_ids().alias("ids"))
+    ex = denoising_examples(docs, "ids", "doc_id", eos_id=2, pad_id=3, mask_id=4)
+    return ex.select("doc_id", *[F.array_join(c, ",").alias(c)
+                                 for c in ("input_ids", "labels", "attention_mask")])
+
+
+@register("translation_examples", f"""
+WITH p AS (SELECT conv_id, turn, {_len_ids_sql(f"{S.q('translate English to Bengali: ')} || src")} AS s,
+                  {_len_ids_sql('tgt')} AS t FROM {S.conversation_pairs()}),
+e AS (SELECT conv_id, turn, list_concat(s[1:127], [2]) AS i, list_concat(t[1:127], [2]) AS l FROM p)
+SELECT conv_id, turn,
+       array_to_string({_pad_sql('i', 3)}, ',') AS input_ids,
+       array_to_string({_ones_sql('len(i)')}, ',') AS attention_mask,
+       array_to_string({_pad_sql('l', -100)}, ',') AS labels
+  FROM e
+""")
+def q_translation_examples(spark, sf):
+    """C5 tail: task prefix (B7), EOS, PAD inputs, mask with EOS, labels padded with -100."""
+    from corpusflow.operators.examples import translation_examples
+    from corpusflow.operators.pairs import with_prefix
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    ids = pairs.select("conv_id", "turn", _len_ids(with_prefix("src")).alias("s"), _len_ids("tgt").alias("t"))
+    ex = translation_examples(ids, "s", "t", eos_id=2, pad_id=3)
+    return ex.select("conv_id", "turn", *[F.array_join(c, ",").alias(c)
+                                          for c in ("input_ids", "attention_mask", "labels")])
+
+
+# ---------------------------------------------------------------- M1 BLEU
+_BLEU_COLS = ["bleu", "bp", "sys_len", "ref_len", "correct_1", "correct_2", "correct_3", "correct_4",
+              "total_1", "total_2", "total_3", "total_4", "p1", "p2", "p3", "p4"]
+
+
+def _bleu_out(df):
+    return df.select(*[F.round(c, 6).alias(c) if c in ("bleu", "bp", "p1", "p2", "p3", "p4") else F.col(c)
+                       for c in _BLEU_COLS])
+
+
+@register("corpus_bleu", S.corpus_bleu(
+    f"SELECT conv_id * 100000 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
+def q_corpus_bleu(spark, sf):
+    """BLEU of each user turn against the assistant reply that follows."""
+    from corpusflow.operators.metrics import corpus_bleu
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    return _bleu_out(corpus_bleu(pairs, "src", "tgt", ["conv_id", "turn"]))
+
+
+@register("corpus_bleu_lines", S.corpus_bleu(
+    f"SELECT doc_id * 100000 + line_no AS k, src AS pred, tgt AS ref FROM {S.adjacent_pairs()}", "k"))
+def q_corpus_bleu_lines(spark, sf):
+    """M1 over adjacent document lines (line i as prediction of line i+1)."""
+    from corpusflow.operators.metrics import corpus_bleu
+    pairs = adjacent_line_pairs(table(spark, sf, "documents"))
+    return _bleu_out(corpus_bleu(pairs, "src", "tgt", ["doc_id", "line_no"]))

@@ -93,3 +93,64 @@ def lid_score_ctes(name: str, texts_sql: str, key: str) -> str:
                   CASE WHEN x.n > 0 THEN 1.0 / sum(exp(s.s - x.mx)) ELSE 0.0 END AS score
              FROM {name}_x x JOIN {name}_s s USING ({key})
             GROUP BY x.{key}, x.n, x.top)"""
+
+
+# Word pattern of the pre-tokenizer for RE2 (Unicode word = letters, marks,
+# letter numbers, decimal digits, connector punctuation; White_Space spelled out).
+WORD_CLASS = "\\p{L}\\p{M}\\p{Nl}\\p{Nd}\\p{Pc}"
+WHITE_SPACE = ("\\x{9}-\\x{d}\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}"
+               "\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}")
+
+
+def pretokenize(x: str) -> str:
+    pat = f"[{WORD_CLASS}]+|[^{WORD_CLASS}{WHITE_SPACE}]+"
+    return f"regexp_extract_all(coalesce({x}, ''), {q(pat)})"
+
+
+def tokenize_13a(x: str) -> str:
+    t = f"replace(replace(replace(coalesce({x}, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    t = f"replace(replace(replace(replace({t}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    t = f"(' ' || {t} || ' ')"
+    t = f"regexp_replace({t}, {q('([{-~[-` -&(-+:-@/])')}, ' \\1 ', 'g')"
+    t = f"regexp_replace({t}, '([^0-9])([.,])', '\\1 \\2 ', 'g')"
+    t = f"regexp_replace({t}, '([.,])([^0-9])', ' \\1 \\2', 'g')"
+    t = f"regexp_replace({t}, '([0-9])(-)', '\\1 \\2 ', 'g')"
+    t = strip(f"regexp_replace({t}, {q('[' + P.WS() + ']+')}, ' ', 'g')")
+    return f"(CASE WHEN {t} = '' THEN []::VARCHAR[] ELSE string_split({t}, ' ') END)"
+
+
+def corpus_bleu(pairs_sql: str, key: str) -> str:
+    """One-row BLEU over ``pairs_sql`` selecting ``key, pred, ref``."""
+    grams = []
+    for n in range(1, 5):
+        for side, hv, rv in (("h", 1, 0), ("r", 0, 1)):
+            grams.append(
+                f"SELECT {key}, {n} AS n, unnest(list_transform(range(1, len({side}) - {n} + 2), "
+                f"lambda i: array_to_string({side}[i:i + {n - 1}], ' '))) AS g, {hv} AS ch, {rv} AS cr FROM t")
+    corr = ", ".join(f"CAST(sum(CASE WHEN n = {n} THEN m ELSE 0 END) AS BIGINT) AS correct_{n}" for n in range(1, 5))
+    tot = ", ".join(f"CAST(sum(CASE WHEN n = {n} THEN ch ELSE 0 END) AS BIGINT) AS total_{n}" for n in range(1, 5))
+    prec = []
+    for n in range(1, 5):
+        reached = " AND ".join(f"total_{m} > 0" for m in range(1, n + 1))
+        zeros = " + ".join(f"(CASE WHEN correct_{m} = 0 THEN 1 ELSE 0 END)" for m in range(1, n + 1))
+        prec.append(f"(CASE WHEN NOT ({reached}) THEN 0.0 WHEN correct_{n} > 0 "
+                    f"THEN 100.0 * correct_{n} / total_{n} "
+                    f"ELSE 100.0 / (pow(2.0, {zeros}) * total_{n}) END) AS p{n}")
+    logs = " + ".join(f"(CASE WHEN p{n} = 0.0 THEN -9999999999.0 ELSE ln(p{n}) END)" for n in range(1, 5))
+    return f"""
+WITH t AS (SELECT {key}, {tokenize_13a('pred')} AS h, {tokenize_13a('ref')} AS r FROM ({pairs_sql})),
+g AS ({' UNION ALL '.join(grams)}),
+per AS (SELECT {key}, n, g, sum(ch) AS ch, sum(cr) AS cr FROM g GROUP BY {key}, n, g),
+s AS (SELECT {corr}, {tot} FROM (SELECT n, least(ch, cr) AS m, ch FROM per)),
+l AS (SELECT CAST(sum(len(h)) AS BIGINT) AS sys_len, CAST(sum(len(r)) AS BIGINT) AS ref_len,
+             CAST(count(*) AS BIGINT) AS rows FROM t),
+x AS (SELECT *, CASE WHEN sys_len < ref_len THEN (CASE WHEN sys_len > 0 THEN exp(1.0 - ref_len / sys_len) ELSE 0.0 END)
+                     ELSE 1.0 END AS bp FROM s, l),
+y AS (SELECT *, {', '.join(prec)} FROM x)
+SELECT round(CASE WHEN rows = 0 THEN NULL WHEN correct_1 + correct_2 + correct_3 + correct_4 = 0 THEN 0.0
+                  ELSE bp * exp(({logs}) / 4.0) END, 6) AS bleu,
+       round(bp, 6) AS bp, sys_len, ref_len, correct_1, correct_2, correct_3, correct_4,
+       total_1, total_2, total_3, total_4,
+       round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4
+  FROM y
+"""

@@ -27,6 +27,7 @@ from corpusflow.operators.pairs import resolve_pairs, restore_structure
 from corpusflow.sources.shards import expand_jsonl
 
 REASONS = ("invalid", "empty", "dup", "length", "ratio", "lang", "numbers")
+_INTERNAL = {"_src", "_tgt", "_valid", "_s", "_t", "_ws", "_wt", "_reason0", "_h", "_o"}
 
 
 def _prepare(df: DataFrame, src_lang: str, tgt_lang: str, whitelist: bool,
@@ -70,7 +71,7 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     else:
         src_lang_lid, tgt_lang_lid = src_lang, tgt_lang
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
-    out_cols = [c for c in base.columns if not c.startswith("_") and c != "translation"]
+    out_cols = [c for c in base.columns if c not in _INTERNAL and c != "translation"]
     ok = base.where(F.col("_reason0").isNull() & (count_numbers("_s") == count_numbers("_t")))
     per_row_lid = isinstance(lid, LabelColumnLid)
     if lid is not None and per_row_lid:

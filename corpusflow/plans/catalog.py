@@ -880,3 +880,39 @@ def q_corpus_bleu_lines(spark, sf):
     from corpusflow.operators.metrics import corpus_bleu
     pairs = adjacent_line_pairs(table(spark, sf, "documents"))
     return _bleu_out(corpus_bleu(pairs, "src", "tgt", ["doc_id", "line_no"]))
+
+
+# ---------------------------------------------------------------- C3-C6 composite jobs
+@register("denoise_corpus")
+def q_denoise_corpus(spark, sf):
+    """C4: documents and benchmark texts, BPE-encoded (vocabulary 400), as
+    128-token denoising examples."""
+    from corpusflow.plans.training_data import build_denoising_examples
+    docs = table(spark, sf, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "row_id")
+    bench = table(spark, sf, "benchmark").withColumnRenamed("item_id", "row_id")
+    ex = build_denoising_examples([("en", docs), ("xx", bench)], _bpe(spark, sf))
+    return ex.select("corpus_no", "row_id", *[F.array_join(c, ",").alias(c)
+                                              for c in ("input_ids", "labels", "attention_mask")])
+
+
+@register("translation_corpus")
+def q_translation_corpus(spark, sf):
+    """Conversation pairs -> seeded 1 % validation split -> prefixed,
+    BPE-encoded translation examples; both splits, tagged."""
+    from corpusflow.plans.training_data import build_translation_examples
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    pairs = pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"),
+                         F.struct(F.col("src").alias("en"), F.col("tgt").alias("bn")).alias("translation"))
+    tr, va = build_translation_examples(pairs, _bpe(spark, sf))
+    cols = [F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")]
+    return (tr.select(F.lit("train").alias("split"), "row_id", *cols)
+              .unionByName(va.select(F.lit("validation").alias("split"), "row_id", *cols)))
+
+
+@register("evaluate_pairs", S.corpus_bleu(
+    f"SELECT conv_id * 100000 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
+def q_evaluate_pairs(spark, sf):
+    """C6 with no row cap: same numbers as ``corpus_bleu``."""
+    from corpusflow.plans.training_data import evaluate_pairs
+    pairs = conversation_pairs(table(spark, sf, "conversations"))
+    return _bleu_out(evaluate_pairs(pairs, "src", "tgt", ["conv_id", "turn"]))

@@ -9,7 +9,9 @@ Training (T3-T5): the corpus is read once, for word counts (a partial
 aggregate: hot words collapse map-side). The merge loop then only touches the
 *distinct-word* table with symbol-id arrays. Each round: adjacent-pair counts
 (partial aggregate) -> the top ``top_k`` pairs to the driver -> a batch of
-merges -> one ``aggregate`` fold over each word's ids. Every
+merges -> one left-to-right fold over each word's ids (a small per-word
+helper in an Arrow-batched pandas UDF; Spark's interpreted higher-order
+functions were 5x slower here). Every
 ``checkpoint_every`` rounds the word table is checkpointed into the shared
 folder (lineage cut; lost executors recompute at most that many rounds).
 
@@ -188,30 +190,45 @@ def _choose_batch(top, tokens, tok2id, room: int, mode: str, ratio: float, top_k
     return [(l, rr) for l, rr, _ in keep][:max(room, 1)]
 
 
-def _apply_merges(words: DataFrame, batch: list[tuple[int, int, int]]) -> DataFrame:
-    """One left-to-right fold per word: when (last, x) is a batch pair, the last
-    symbol becomes the merged id. Batch pairs share no symbol and make new
-    tokens, so a single pass equals applying them one after another."""
-    kv = []
-    for l, r, n in batch:
-        kv += [F.struct(F.lit(l).alias("l"), F.lit(r).alias("r")), F.lit(n)]
-    m = F.create_map(*kv)
+def _merge_fold(batch: list[tuple[int, int, int]]):
+    """Per-word helper: one left-to-right pass; when (last, x) is a batch pair
+    the last symbol becomes the merged id. Batch pairs share no symbol and make
+    new tokens, so one pass equals applying them one after another. Words
+    without a batch left id pass through untouched."""
+    table = {(l, r): n for l, r, n in batch}
+    lefts = {l for l, _, _ in batch}
 
-    def step(acc, x):
-        merged = F.try_element_at(m, F.struct(F.try_element_at(acc, F.lit(-1)).alias("l"),
-                                               x.alias("r")))
-        return F.when(merged.isNotNull(),
-                      F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged))
-                      ).otherwise(F.concat(acc, F.array(x)))
+    def fold(col: pd.Series) -> pd.Series:
+        out = []
+        for syms in col:
+            if lefts.isdisjoint(syms):
+                out.append(syms)
+                continue
+            res: list[int] = []
+            for x in syms:
+                if res:
+                    n = table.get((res[-1], x))
+                    if n is not None:
+                        res[-1] = n
+                        continue
+                res.append(int(x))
+            out.append(res)
+        return pd.Series(out)
+
+    return F.pandas_udf(fold, T.ArrayType(T.IntegerType()))
 
-    syms = F.aggregate("syms", F.array().cast("array<int>"), step)
-    return words.select(syms.alias("syms"), "count").where(F.size("syms") >= 2)
+
+def _apply_merges(words: DataFrame, batch: list[tuple[int, int, int]]) -> DataFrame:
+    """Apply one batch to the distinct-word table (narrow; Arrow batches)."""
+    return (words.select(_merge_fold(batch)("syms").alias("syms"), "count")
+                 .where(F.size("syms") >= 2))
 
 
 def _pairs(words: DataFrame) -> DataFrame:
+    """Adjacent symbol pairs weighted by word count (``arrays_zip``: no lambda,
+    so the projection stays in generated code)."""
     n = F.size("syms") - 1
-    z = F.zip_with(F.slice("syms", 1, n), F.slice("syms", 2, n),
-                   lambda a, b: F.struct(a.alias("l"), b.alias("r")))
+    z = F.arrays_zip(F.slice("syms", 1, n).alias("l"), F.slice("syms", 2, n).alias("r"))
     return (words.select(F.explode(z).alias("p"), "count")
                  .groupBy("p.l", "p.r").agg(F.sum("count").alias("c")))
 

@@ -66,6 +66,19 @@ def whitelist_class(lang: str, with_ws: bool = True) -> str | None:
     return None
 
 
+@functools.lru_cache(maxsize=None)
+def whitelist_chars(lang: str | None) -> str | None:
+    """The characters a language's whitelist keeps, other than whitespace
+    (U+0020 included as the one space left after mapping); None = no rule."""
+    base = ("abcdefghijklmnopqrstuvwxyz" "ABCDEFGHIJKLMNOPQRSTUVWXYZ" "0123456789" " " + EN_PUNCT)
+    if lang == "en":
+        return base
+    if lang == "bn":
+        lo, hi = BN_BLOCK
+        return base + "".join(chr(c) for c in range(lo, hi + 1))
+    return None
+
+
 def url_pattern() -> str:
     """``http\\S+|www\\S+`` with Python's whitespace (the ``https`` branch is subsumed)."""
     return f"(?:http|www)[^{WS()}]+"

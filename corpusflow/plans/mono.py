@@ -53,17 +53,19 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
                              threshold: float = THRESHOLD) -> DataFrame:
     """D3 (mono): one row ``total, short, dup, lang, kept``.
 
-    Narrow aggregates only: per hash its row count and the verdict of its first
-    row, then one global sum; the text itself is shuffled once, by hash."""
+    One pass over the text and one narrow shuffle: rows are grouped by the
+    hash of their cleaned text (short rows under a null key), carrying the
+    count and the first row's order key and label - the text itself only when
+    a text-based identifier needs it."""
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
-    per_row = cleaned.select(F.lit(1).alias("total"),
-                             F.when(F.col("_ok_len"), 0).otherwise(1).alias("short"))
-    passing = cleaned.where("_ok_len").drop("_ok_len").withColumn("_h", F.md5(F.col(text_col)))
-    keep_cols = list(order_cols) + [text_col]
-    if lid is not None and hasattr(lid, "label_col"):
+    keep_cols = list(order_cols)
+    if lid is not None and getattr(lid, "text_only", False):
+        keep_cols.append(text_col)
+    elif lid is not None:
         keep_cols += [lid.label_col] + ([lid.score_col] if lid.score_col else [])
     keep_cols = list(dict.fromkeys(keep_cols))
-    per_hash = passing.select("_h", *keep_cols).groupBy("_h").agg(
+    rows = cleaned.select(F.when(F.col("_ok_len"), F.md5(F.col(text_col))).alias("_h"), *keep_cols)
+    per_hash = rows.groupBy("_h").agg(
         F.count(F.lit(1)).alias("_rows"),
         F.min(F.struct(*[F.col(c) for c in keep_cols])).alias("_first"))
     firsts = per_hash.select("_h", "_rows", *[F.col(f"_first.{c}").alias(c) for c in keep_cols])
@@ -72,9 +74,11 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
         ok = strict_keep("_lid_label", "_lid_score", lang, threshold)
     else:
         ok = F.lit(True)
-    per_first = firsts.select((F.col("_rows") - 1).alias("dup"),
-                              F.when(ok, 0).otherwise(1).alias("lang"),
-                              F.when(ok, 1).otherwise(0).alias("kept"))
-    both = per_row.unionByName(per_first, allowMissingColumns=True)
-    return both.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-                      for c in ("total", "short", "dup", "lang", "kept")])
+    short = F.col("_h").isNull()
+    verdict = F.coalesce(ok, F.lit(False))
+    return firsts.agg(
+        F.sum("_rows").cast("long").alias("total"),
+        F.coalesce(F.sum(F.when(short, F.col("_rows"))), F.lit(0)).cast("long").alias("short"),
+        F.coalesce(F.sum(F.when(~short, F.col("_rows") - 1)), F.lit(0)).cast("long").alias("dup"),
+        F.coalesce(F.sum(F.when(~short & ~verdict, 1)), F.lit(0)).cast("long").alias("lang"),
+        F.coalesce(F.sum(F.when(~short & verdict, 1)), F.lit(0)).cast("long").alias("kept"))

@@ -96,26 +96,41 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     """D3 (pairs): one row with ``total`` and a count per reason plus ``kept``.
 
     A row is ``dup`` only if an earlier row with its hash was accepted, so
-    repeated rejects keep their own reason. Narrow columns only: per hash the
-    first accepted order key (partial aggregate), joined back on the hash
-    (AQE splits a hot hash)."""
+    repeated rejects keep their own reason.
+
+    Text-based (or no) language ID: every rule is a function of the cleaned
+    pair, so all rows of one hash share a verdict. One pass, one shuffle:
+    group by (hash, early reason) with a count and the pair text, judge each
+    group once, then sum. Per-row label columns: verdicts may differ inside a
+    hash, so the first accepted order key per hash (partial aggregate) is
+    joined back on the narrow rows (AQE splits a hot hash)."""
     src_lid, tgt_lid = expect or (src_lang, tgt_lang)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
+    base = base.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
+    if lid is None or getattr(lid, "text_only", False):
+        g = base.groupBy("_h", "_reason0").agg(
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", "_t")).alias("_p"))
+        g = g.select("_h", "_reason0", "_n", "_p._s", "_p._t")
+        if lid is not None:
+            g = _lid_columns(g, lid, ["_h", "_reason0"])
+            lid_bad = F.coalesce(_lid_reject(src_lid, tgt_lid, threshold), F.lit(False))
+        else:
+            lid_bad = F.lit(False)
+        reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
+                   .when(lid_bad, "lang")
+                   .when(count_numbers("_s") != count_numbers("_t"), "numbers"))
+        r = g.select("_n", reason.alias("reason"))
+        return r.agg(
+            F.sum("_n").cast("long").alias("total"),
+            *[F.coalesce(F.sum(F.when(F.col("reason") == x, F.col("_n"))), F.lit(0)).cast("long").alias(x)
+              if x != "dup" else
+              F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("_n") - 1)), F.lit(0)).cast("long").alias(x)
+              for x in REASONS],
+            F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1)), F.lit(0)).cast("long").alias("kept"))
     order = F.struct(*[F.col(c) for c in order_cols])
-    base = base.withColumn("_o", order).withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
-    if lid is not None and isinstance(lid, LabelColumnLid):
-        base = _lid_columns(base, lid, list(order_cols))
-        lid_bad = _lid_reject(src_lid, tgt_lid, threshold)
-        rows = base.select("_h", "_o", "_reason0", lid_bad.alias("_lid_bad"), "_s", "_t")
-    elif lid is not None:
-        cand = base.where(F.col("_reason0").isNull()).select("_h", "_s", "_t")
-        distinct = cand.groupBy("_h").agg(F.min(F.struct("_s", "_t")).alias("_p")) \
-                       .select("_h", "_p._s", "_p._t")
-        verdict = _lid_columns(distinct, lid, ["_h"]).select(
-            "_h", _lid_reject(src_lid, tgt_lid, threshold).alias("_lid_bad"))
-        rows = base.select("_h", "_o", "_reason0", "_s", "_t").join(verdict, "_h", "left")
-    else:
-        rows = base.select("_h", "_o", "_reason0", F.lit(False).alias("_lid_bad"), "_s", "_t")
+    base = _lid_columns(base.withColumn("_o", order), lid, list(order_cols))
+    rows = base.select("_h", "_o", "_reason0",
+                       _lid_reject(src_lid, tgt_lid, threshold).alias("_lid_bad"), "_s", "_t")
     rows = rows.withColumn(
         "_reason1",
         F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))

@@ -916,3 +916,53 @@ def q_evaluate_pairs(spark, sf):
     from corpusflow.plans.training_data import evaluate_pairs
     pairs = conversation_pairs(table(spark, sf, "conversations"))
     return _bleu_out(evaluate_pairs(pairs, "src", "tgt", ["conv_id", "turn"]))
+
+
+@register("clean_report_mono_lid", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+c AS (SELECT doc_id, {S.clean('text', 'en')} AS text FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS rn
+        FROM c WHERE length(text) >= 10),
+f AS (SELECT doc_id, text FROM p WHERE rn = 1),
+{S.lid_score_ctes('s', 'SELECT doc_id, text FROM f', 'doc_id')}
+SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS total,
+       CAST((SELECT count(*) FROM c WHERE length(text) < 10) AS BIGINT) AS short,
+       CAST((SELECT count(*) FROM p WHERE rn > 1) AS BIGINT) AS dup,
+       CAST((SELECT count(*) FROM s WHERE NOT (label = 'en' AND score >= 0.5)) AS BIGINT) AS lang,
+       CAST((SELECT count(*) FROM s WHERE label = 'en' AND score >= 0.5) AS BIGINT) AS kept
+""")
+def q_clean_report_mono_lid(spark, sf):
+    """D3 (mono) with the trigram identifier."""
+    docs = table(spark, sf, "documents")
+    return clean_report_monolingual(docs, "en", lid=_lid(spark, sf), order_cols=["doc_id"])
+
+
+@register("clean_report_pairs_lid", f"""
+WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
+c AS (SELECT doc_id * 100000 + line_no AS k, {S.clean('src', None)} AS s, {S.clean('tgt', None)} AS t
+        FROM {S.adjacent_pairs()}),
+w AS (SELECT *, {S.words('s')} AS ws, {S.words('t')} AS wt, md5(s || chr(9) || t) AS h FROM c),
+r0 AS (SELECT *, CASE WHEN s = '' OR t = '' THEN 'empty'
+                      WHEN NOT (ws BETWEEN 2 AND 150 AND wt BETWEEN 2 AND 150) THEN 'length'
+                      WHEN greatest(ws, wt) > 3.0 * least(ws, wt) THEN 'ratio' END AS r0 FROM w),
+{S.lid_score_ctes('ps', 'SELECT k, s AS text FROM r0 WHERE r0 IS NULL', 'k')},
+{S.lid_score_ctes('pt', 'SELECT k, t AS text FROM r0 WHERE r0 IS NULL', 'k')},
+r AS (SELECT r0.*, CASE WHEN r0 IS NOT NULL THEN r0
+                        WHEN (ps.score > 0.5 AND ps.label <> 'en') OR (pt.score > 0.5 AND pt.label <> 'en') THEN 'lang'
+                        WHEN {S.digit_runs('s')} <> {S.digit_runs('t')} THEN 'numbers' END AS r1
+        FROM r0 LEFT JOIN ps USING (k) LEFT JOIN pt USING (k)),
+fa AS (SELECT h, min(k) AS first_ok FROM r WHERE r1 IS NULL GROUP BY h),
+x AS (SELECT CASE WHEN r1 = 'empty' THEN 'empty'
+                  WHEN fa.first_ok IS NOT NULL AND k > fa.first_ok THEN 'dup'
+                  WHEN r1 IS NULL THEN 'kept' ELSE r1 END AS reason
+        FROM r LEFT JOIN fa USING (h))
+SELECT CAST(count(*) AS BIGINT) AS total,
+       {", ".join(f"CAST(sum(CASE WHEN reason = '{x}' THEN 1 ELSE 0 END) AS BIGINT) AS {x}" for x in REASONS + ("kept",))}
+  FROM x
+""")
+def q_clean_report_pairs_lid(spark, sf):
+    """D3 (pairs) with the trigram identifier, English expected on both sides."""
+    pairs = adjacent_line_pairs(table(spark, sf, "documents"))
+    pairs = pairs.withColumnRenamed("src", "en").withColumnRenamed("tgt", "en2")
+    return clean_report_parallel(pairs, "en", "en2", lid=_lid(spark, sf), whitelist=False,
+                                 order_cols=["doc_id", "line_no"], expect=("en", "en"))

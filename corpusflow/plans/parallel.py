@@ -108,11 +108,13 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     base = base.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
     if lid is None or getattr(lid, "text_only", False):
-        g = base.groupBy("_h", "_reason0").agg(
+        # Null-safe group key: the join of LID scores back needs equal keys.
+        g = base.withColumn("_rk", F.coalesce("_reason0", F.lit("ok"))).groupBy("_h", "_rk").agg(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", "_t")).alias("_p"))
-        g = g.select("_h", "_reason0", "_n", "_p._s", "_p._t")
+        g = g.select("_h", "_rk", F.when(F.col("_rk") != "ok", F.col("_rk")).alias("_reason0"),
+                     "_n", "_p._s", "_p._t")
         if lid is not None:
-            g = _lid_columns(g, lid, ["_h", "_reason0"])
+            g = _lid_columns(g, lid, ["_h", "_rk"])
             lid_bad = F.coalesce(_lid_reject(src_lid, tgt_lid, threshold), F.lit(False))
         else:
             lid_bad = F.lit(False)

@@ -12,8 +12,9 @@ aggregate: hot words collapse map-side). The merge loop then only touches the
 merges -> one left-to-right fold over each word's ids (a small per-word
 helper in an Arrow-batched pandas UDF; Spark's interpreted higher-order
 functions were 5x slower here). Every
-``checkpoint_every`` rounds the word table is checkpointed into the shared
-folder (lineage cut; lost executors recompute at most that many rounds).
+``checkpoint_every`` rounds the word table is written into the shared folder
+and read back (lineage cut; lost executors recompute at most that many
+rounds).
 
 Batch rule (``mode='exact'``, same merges as one-at-a-time training): rank
 pairs by (count desc, left id, right id); take the longest prefix whose pairs
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import shared_dir
+from corpusflow.session import materialize, shared_dir
 
 # Special tokens in id order, the pre-tokenizer pattern and the
 # end-of-sequence / padding / mask tokens used by the example builders.
@@ -240,7 +241,7 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
     """T5: learn the vocabulary of ``df[text_col]`` (see module doc)."""
     spark = df.sparkSession
     shared_dir(spark)
-    wc = word_counts(df, text_col).checkpoint()
+    wc = materialize(word_counts(df, text_col), "bpe-word-counts")
     alphabet = {r["ch"] for r in wc.select(F.explode(chars("word")).alias("ch")).distinct().collect()}
     alphabet |= set(byte_alphabet())
     tokens = list(SPECIALS)
@@ -248,6 +249,9 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
         if ch not in tokens:
             tokens.append(ch)
     tok2id = {t: i for i, t in enumerate(tokens)}
+    merges: list[tuple[int, int, int]] = []
+    if len(tokens) >= vocab_size:
+        return BpeModel(tokens, merges, rounds=0, tok2id=tok2id)
     alpha = spark.createDataFrame([(t, i) for t, i in tok2id.items() if t not in SPECIALS],
                                   "ch string, id int")
     parts = loop_partitions or spark.sparkContext.defaultParallelism
@@ -257,9 +261,8 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
                      .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
                      .select(F.transform("s", lambda x: x["id"]).alias("syms"), "count")
                      .where(F.size("syms") >= 2)
-                     .repartition(parts)
-                     .checkpoint())
-    merges: list[tuple[int, int, int]] = []
+                     .repartition(parts))
+    words = materialize(words, "bpe-words")
     rounds = 0
     prev = None
     while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
@@ -284,7 +287,7 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
         rounds += 1
         nxt = _apply_merges(words, batch)
         if rounds % checkpoint_every == 0:
-            nxt = nxt.checkpoint()
+            nxt = materialize(nxt, "bpe-words")
             if words.is_cached:
                 words.unpersist()
         else:
@@ -337,7 +340,7 @@ def encode(df: DataFrame, text_col: str, model: BpeModel, key_cols: list[str],
     bc = spark.sparkContext.broadcast((model.tok2id, ranks, model.tok2id[UNK]))
     words = df.select(*key_cols, F.posexplode_outer(pretokenize(text_col)).alias("wpos", "word"))
     distinct = words.where(F.col("word").isNotNull()).select("word").distinct()
-    seg = distinct.withColumn("wids", _segmenter(bc)("word")).checkpoint()
+    seg = materialize(distinct.withColumn("wids", _segmenter(bc)("word")), "bpe-segments")
     n_words = seg.count()
     side = F.broadcast(seg) if n_words <= MAX_BROADCAST_WORDS else seg
     joined = words.join(side, "word", "left")

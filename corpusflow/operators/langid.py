@@ -49,10 +49,6 @@ def trigrams(c) -> Column:
     return F.regexp_extract_all(lid_text(c), F.lit("(?s)(?=(.{3}))"), 1)
 
 
-def n_trigrams(c) -> Column:
-    return F.greatest(F.length(lid_text(c)) - 2, F.lit(0))
-
-
 class LabelColumnLid:
     """Take the label (and optionally the score) from existing columns."""
 
@@ -99,14 +95,13 @@ class TrigramLid:
         (none when ``df`` is already partitioned by the key)."""
         keys = list(key_cols)
         L = len(self.langs)
-        # Length and trigram array are computed once per row *before* the
-        # explode; an expression over the text above the Generate would be
-        # re-evaluated for every trigram (quadratic in the text length).
-        pre = df.select(*keys, n_trigrams(text_col).alias("_n"), trigrams(text_col).alias("_g"))
-        exploded = pre.select(*keys, "_n", F.explode_outer("_g").alias("gram"))
+        # explode(regexp_extract_all(text)) stays inline in the Generate: no
+        # expression over the text sits above it (it would be re-evaluated per
+        # trigram), and the trigram count n comes from the aggregate itself.
+        exploded = df.select(*keys, F.explode_outer(trigrams(text_col)).alias("gram"))
         joined = exploded.join(self._model_side(), "gram", "left")
         agg = joined.groupBy(*keys).agg(
-            F.max("_n").alias("_n"),
+            F.count("gram").alias("_n"),
             *[F.sum(F.coalesce(F.col(f"d{i}"), F.lit(0.0))).alias(f"_S{i}") for i in range(L)])
         s = [F.col("_n") * F.lit(-self.log_norm[i]) + F.col(f"_S{i}") for i in range(L)]
         agg = agg.select(*keys, "_n", *[s[i].alias(f"_s{i}") for i in range(L)])
@@ -132,27 +127,27 @@ class TrigramLid:
 
 def train_trigram_lid(df: DataFrame, text_col: str = "text", label_col: str = "lang",
                       checkpoint: bool = True) -> TrigramLid:
-    """Count (language, trigram) pairs with a partial aggregate, then pivot
-    to one row per trigram. The model is checkpointed to the shared folder."""
-    from corpusflow.session import shared_dir
-    shared_dir(df.sparkSession)
+    """``groupBy(language, trigram).count()`` over the exploded training
+    text (partial aggregate: frequent trigrams collapse map-side), written to
+    the shared folder; then a pivot of that small table to one row per
+    trigram. Only the language list and per-language totals reach the driver."""
+    from corpusflow.session import materialize
     counts = (df.where(F.col(label_col).isNotNull())
-                .select(F.col(label_col).alias("_lang"),
-                        F.explode(trigrams(text_col)).alias("gram"))
+                .select(F.col(label_col).alias("_lang"), F.explode(trigrams(text_col)).alias("gram"))
                 .groupBy("_lang", "gram").count())
     if checkpoint:
-        counts = counts.checkpoint()
+        counts = materialize(counts, "lid-counts")
     totals = counts.groupBy("_lang").agg(F.sum("count").alias("N")).collect()
     langs = sorted(r["_lang"] for r in totals)
     N = {r["_lang"]: int(r["N"]) for r in totals}
-    V = counts.select("gram").distinct().count()
     model = (counts.groupBy("gram")
                    .pivot("_lang", langs)
                    .agg(F.first(F.log1p(F.col("count").cast("double"))))
                    .na.fill(0.0))
     model = model.select("gram", *[F.col(f"`{l}`").alias(f"d{i}") for i, l in enumerate(langs)])
     if checkpoint:
-        model = model.checkpoint()
+        model = materialize(model, "lid-model")
+    V = model.count()
     return TrigramLid(model=model, langs=langs,
                       log_norm=[math.log(N[l] + V) for l in langs], n_grams=V)
 

@@ -56,3 +56,13 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
     if sub is None:
         return base
     return f"{base}/{sub}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as a Parquet table into the shared folder
+    and reading it back. Computes the plan once (a reliable ``checkpoint()``
+    computes it twice unless cached) and survives executor loss."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

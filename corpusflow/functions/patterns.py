@@ -8,7 +8,6 @@ character database, never typed in by hand.
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 
 def _ranges(codepoints) -> list[tuple[int, int]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import count_numbers, word_count
+from corpusflow.functions.text import count_numbers
 
 # Default bounds of the cleaning rules.
 MIN_MONO_CHARS = 10
@@ -46,7 +46,3 @@ def pair_ratio_ok(src_words, tgt_words, max_ratio: float = MAX_RATIO) -> Column:
 def pair_numbers_ok(src, tgt) -> Column:
     """P5: same number of digit runs on both sides (counts, not values)."""
     return count_numbers(src) == count_numbers(tgt)
-
-
-def words(c) -> Column:
-    return word_count(c)

@@ -10,7 +10,6 @@ the scan already has enough splits, so no shuffle is added there.
 from __future__ import annotations
 
 import os
-import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,7 +62,3 @@ def snapshot_name(dataset_name: str, config_name: str | None = None,
         name += f"_{config_name}"
     name += "_parallel" if parallel else f"_{split}"
     return name
-
-
-def safe_component(s: str) -> str:
-    return re.sub(r"[^A-Za-z0-9._-]", "_", s)

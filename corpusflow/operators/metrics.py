@@ -45,28 +45,29 @@ def tokenize_13a(c) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
-def _ngrams(toks: Column, n: int) -> Column:
-    k = F.size(toks) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), k),
-                                      lambda i: F.array_join(F.slice(toks, i, n), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+def _tagged_ngrams(toks: Column, n: int, hyp: bool) -> Column:
+    """n-grams of ``toks`` as structs ``t0..t3, n, h, r`` (unused token slots
+    null): ``arrays_zip`` of shifted slices, so no lambda is evaluated and the
+    projection stays in generated code."""
+    k = F.greatest(F.size(toks) - n + 1, F.lit(0))
+    cols = [F.slice(toks, j + 1, k).alias(f"t{j}") if j < n
+            else F.array_repeat(F.lit(None).cast("string"), k).alias(f"t{j}")
+            for j in range(MAX_ORDER)]
+    return F.arrays_zip(*cols, F.array_repeat(F.lit(n), k).alias("n"),
+                        F.array_repeat(F.lit(1 if hyp else 0), k).alias("h"),
+                        F.array_repeat(F.lit(0 if hyp else 1), k).alias("r"))
 
 
 def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
     """One row: ``correct_n, total_n (n=1..4), sys_len, ref_len, rows``."""
     tok = df.select(*key_cols, tokenize_13a(pred_col).alias("h"), tokenize_13a(ref_col).alias("r"))
     lens = tok.select(F.size("h").alias("sl"), F.size("r").alias("rl"))
-    def tag(n: int, h: int, r: int):
-        # One-argument lambda: PySpark reads a second parameter as the index.
-        return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"),
-                                  F.lit(h).alias("h"), F.lit(r).alias("r"))
-
-    grams = []
-    for n in range(1, MAX_ORDER + 1):
-        grams.append(F.transform(_ngrams(F.col("h"), n), tag(n, 1, 0)))
-        grams.append(F.transform(_ngrams(F.col("r"), n), tag(n, 0, 1)))
+    grams = [_tagged_ngrams(F.col(side), n, side == "h")
+             for n in range(1, MAX_ORDER + 1) for side in ("h", "r")]
     ex = tok.select(*key_cols, F.explode(F.concat(*grams)).alias("x"))
-    per = ex.groupBy(*key_cols, "x.n", "x.g").agg(F.sum("x.h").alias("ch"), F.sum("x.r").alias("cr"))
+    gram = F.concat_ws(" ", *[F.col(f"x.t{j}") for j in range(MAX_ORDER)])
+    per = ex.groupBy(*key_cols, F.col("x.n").alias("n"), gram.alias("g")).agg(
+        F.sum("x.h").alias("ch"), F.sum("x.r").alias("cr"))
     per_n = per.select("n", F.least("ch", "cr").alias("m"), F.col("ch"))
     agg = per_n.agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).cast("long").alias(f"correct_{n}")
                       for n in range(1, MAX_ORDER + 1)],

@@ -85,3 +85,25 @@ def test_save_load(spark, tmp_path):
     B.save_bpe(m, spark, str(tmp_path / "tok"))
     m2 = B.load_bpe(spark, str(tmp_path / "tok"))
     assert m2.tokens == m.tokens and m2.merges == m.merges
+
+
+def test_batched_training_exact_on_adversarial_corpora(spark):
+    """Repeats, self-pairs, tokens reachable by two merge paths, ties: the
+    batched rounds must give the library's merges in the same order."""
+    import random
+    corpora = [
+        ["aaaa bbbb abab baba"] * 7 + ["ab ba aab abb"] * 5 + ["aaaaaaaa"] * 3,
+        ["abc bca cab abcabc"] * 4 + ["abcd dcba bcd"] * 6 + ["cdcdcd abab"] * 2,
+    ]
+    rng = random.Random(5)
+    corpora.append([" ".join("".join(rng.choice("xyz") for _ in range(rng.randint(2, 7)))
+                             for _ in range(8)) for _ in range(30)])
+    for texts in corpora:
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        base = len(B.train_bpe(df, vocab_size=0).tokens)
+        tok = _library(texts, base + 25)
+        js = json.loads(tok.to_str())
+        lib = [x if isinstance(x, list) else x.split(" ") for x in js["model"]["merges"]]
+        m = B.train_bpe(df, vocab_size=base + 25)
+        assert [[m.tokens[a], m.tokens[b]] for a, b, _ in m.merges] == lib, texts[:2]
+        assert m.rounds <= len(m.merges)

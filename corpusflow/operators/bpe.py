@@ -202,7 +202,7 @@ def _merge_fold(batch: list[tuple[int, int, int]]):
     def fold(col: pd.Series) -> pd.Series:
         out = []
         for syms in col:
-            if lefts.isdisjoint(syms):
+            if syms is None or lefts.isdisjoint(syms):
                 out.append(syms)
                 continue
             res: list[int] = []
@@ -220,9 +220,13 @@ def _merge_fold(batch: list[tuple[int, int, int]]):
 
 
 def _apply_merges(words: DataFrame, batch: list[tuple[int, int, int]]) -> DataFrame:
-    """Apply one batch to the distinct-word table (narrow; Arrow batches)."""
-    return (words.select(_merge_fold(batch)("syms").alias("syms"), "count")
-                 .where(F.size("syms") >= 2))
+    """Apply one batch to the distinct-word table (narrow; Arrow batches).
+    Words without any batch left id are tested JVM-side and hand the Python
+    fold a null, so later rounds move almost nothing through Arrow."""
+    lefts = F.lit(sorted({l for l, _, _ in batch}))
+    hit = F.when(F.arrays_overlap("syms", lefts), F.col("syms"))
+    syms = F.coalesce(_merge_fold(batch)(hit), F.col("syms"))
+    return words.select(syms.alias("syms"), "count").where(F.size("syms") >= 2)
 
 
 def _pairs(words: DataFrame) -> DataFrame:

@@ -31,3 +31,17 @@ def test_idempotent_en_cleaning(spark):
     twice = clean_monolingual(once, "en", order_cols=["doc_id"])
     assert sorted(map(tuple, once.select("doc_id", "text").collect())) == \
         sorted(map(tuple, twice.select("doc_id", "text").collect()))
+
+
+def test_partition_invariance(spark):
+    """Same rows under 1 and 64 partitions and shuffled input."""
+    from conftest import SF
+    from corpusflow.operators.langid import train_trigram_lid
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    lid = train_trigram_lid(docs.select("text", "lang"))
+    outs = []
+    for parts in (1, 64):
+        d = docs.repartition(parts).orderBy(F.rand(parts))
+        rows = clean_monolingual(d, "en", lid=lid, order_cols=["doc_id"]).select("doc_id", "text").collect()
+        outs.append(sorted(map(tuple, rows)))
+    assert outs[0] == outs[1] and len(outs[0]) > 0

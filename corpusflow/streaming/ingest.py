@@ -20,8 +20,10 @@ from corpusflow.session import shared_dir
 def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet",
                   sink: str | None = None, checkpoint: str | None = None,
                   id_col: str | None = None, max_files_per_trigger: int | None = None,
-                  timeout_s: float | None = None) -> str:
-    """Materialise everything available under ``source`` into ``sink``; returns the sink path."""
+                  timeout_s: float | None = None, max_samples: int | None = None) -> str:
+    """Materialise everything available under ``source`` into ``sink``; returns
+    the sink path. ``max_samples`` keeps only the first n rows of the stream
+    (a streaming global limit, in arrival order); 0/None means all."""
     sink = sink or shared_dir(spark, "stream-sink")
     checkpoint = checkpoint or shared_dir(spark, "stream-ckpt")
     reader = spark.readStream.format(fmt).schema(schema)
@@ -34,6 +36,8 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     stream: DataFrame = reader.load(source)
     if id_col and "row_id" not in stream.columns:
         stream = stream.withColumn("row_id", F.col(id_col).cast("long"))
+    if max_samples:
+        stream = stream.limit(max_samples)
     q = (stream.writeStream.format("parquet")
                .option("path", sink)
                .option("checkpointLocation", checkpoint)

@@ -64,3 +64,11 @@ def test_entry_and_registry(spark):
     qs, oracles = E.queries(), E.oracle_sql()
     assert set(oracles) <= set(qs)
     assert len(qs) >= 50
+
+
+def test_stream_first_n(spark, tmp_path):
+    src = f"{SF}/documents.parquet"
+    schema = spark.read.parquet(src).schema
+    sink = stream_ingest(spark, src, schema, sink=str(tmp_path / "s"), checkpoint=str(tmp_path / "c"),
+                         id_col="doc_id", timeout_s=300, max_samples=17)
+    assert read_snapshot(spark, sink).count() == 17

@@ -27,7 +27,7 @@ def inspect_sample(df: DataFrame, name: str, num_samples: int = 3,
     kv = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
                    for c in fields])
     from pyspark.sql import Window
-    numbered = first.withColumn("sample_no", F.row_number().over(Window.orderBy(*w_order)))
+    numbered = first.withColumn("sample_no", F.row_number().over(Window.orderBy(*w_order)).cast("long"))
     rows = numbered.select("sample_no", F.explode(kv).alias("kv")).select(
         "sample_no", "kv.field", truncate_display(F.col("kv.value")).alias("value"))
     total = df.count()

@@ -58,6 +58,24 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
     count and the first row's order key and label - the text itself only when
     a text-based identifier needs it."""
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
+    if (lid is None or not getattr(lid, "text_only", False)) and len(order_cols) == 1:
+        # Fixed-width buffers only (count, min_by(verdict, order)), so Spark
+        # can hash-aggregate instead of sorting: the label verdict is a per-row
+        # column, judged before grouping and taken from the first row.
+        ok_row = (strict_keep(lid.label_col, F.col(lid.score_col) if lid.score_col else F.lit(1.0),
+                              lang, threshold) if lid is not None else F.lit(True))
+        rows = cleaned.select(F.when(F.col("_ok_len"), F.md5(F.col(text_col))).alias("_h"),
+                              F.col(order_cols[0]).alias("_o"),
+                              F.coalesce(ok_row, F.lit(False)).cast("int").alias("_v"))
+        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"),
+                                          F.min_by("_v", "_o").alias("_v"))
+        short, verdict = F.col("_h").isNull(), F.col("_v") == 1
+        return per_hash.agg(
+            F.sum("_rows").cast("long").alias("total"),
+            F.coalesce(F.sum(F.when(short, F.col("_rows"))), F.lit(0)).cast("long").alias("short"),
+            F.coalesce(F.sum(F.when(~short, F.col("_rows") - 1)), F.lit(0)).cast("long").alias("dup"),
+            F.coalesce(F.sum(F.when(~short & ~verdict, 1)), F.lit(0)).cast("long").alias("lang"),
+            F.coalesce(F.sum(F.when(~short & verdict, 1)), F.lit(0)).cast("long").alias("kept"))
     keep_cols = list(order_cols)
     if lid is not None and getattr(lid, "text_only", False):
         keep_cols.append(text_col)

@@ -107,7 +107,21 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     src_lid, tgt_lid = expect or (src_lang, tgt_lang)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     base = base.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
-    if lid is None or getattr(lid, "text_only", False):
+    if lid is None:
+        # Every rule is known per row: aggregate counts only (hash aggregate).
+        r1 = F.when(F.col("_reason0").isNotNull(), F.col("_reason0")).when(
+            count_numbers("_s") != count_numbers("_t"), "numbers")
+        rk = base.select("_h", F.coalesce(r1, F.lit("ok")).alias("_rk"))
+        g = rk.groupBy("_h", "_rk").agg(F.count(F.lit(1)).alias("_n"))
+        r = g.select("_n", F.when(F.col("_rk") != "ok", F.col("_rk")).alias("reason"))
+        return r.agg(
+            F.sum("_n").cast("long").alias("total"),
+            *[F.coalesce(F.sum(F.when(F.col("reason") == x, F.col("_n"))), F.lit(0)).cast("long").alias(x)
+              if x != "dup" else
+              F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("_n") - 1)), F.lit(0)).cast("long").alias(x)
+              for x in REASONS],
+            F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1)), F.lit(0)).cast("long").alias("kept"))
+    if getattr(lid, "text_only", False):
         # Null-safe group key: the join of LID scores back needs equal keys.
         g = base.withColumn("_rk", F.coalesce("_reason0", F.lit("ok"))).groupBy("_h", "_rk").agg(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", "_t")).alias("_p"))

@@ -4,12 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import rule_ledger
+from corpusflow.llm import bpe_dp, min_bin_slack, rule_ledger, token_store
 from corpusflow.llm.common import read
 
+#: Vocabulary files of the queries; the operators take any path.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    stored = token_store.read_store(token_store.write_store(docs, WORD_BPE))
+    return stored.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                         F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    done = bpe_dp.decode(bpe_dp.encode(docs, BYTE_BPE), BYTE_BPE)
+    return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op4_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    packed = min_bin_slack.pack(docs, WORD_BPE)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
 
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
@@ -57,6 +83,9 @@ with t as (
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_store": op1_token_store,
+    "op3_bpe_prefix": op3_bpe_prefix,
+    "op4_min_bin_slack": op4_min_bin_slack,
     "op9_rule_ledger": op9_rule_ledger,
 }
 

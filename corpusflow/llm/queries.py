@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe_dp, min_bin_slack, rule_ledger, token_store
+from corpusflow.llm import bpe_dp, min_bin_slack, pii_boost, rule_ledger, token_store
 from corpusflow.llm.common import read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -37,6 +37,19 @@ def op4_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    found = pii_boost.detect(docs)
+    kinds = ", ".join(f"'{k}'" for k in pii_boost.KINDS)
+    listed = "concat_ws(',', transform({}, s -> concat_ws(':', s.kind, s.start, s.stop)))"
+    every = f"array_sort(transform(concat(base, added), s -> struct(array_position(array({kinds}), s.kind) as k, " \
+            "s.start as start, s.stop as stop, s.kind as kind)))"
+    return found.select(
+        "doc_id", *[F.expr(f"bigint(size(filter(base, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in pii_boost.KINDS],
+        F.sha2(F.expr(listed.format("base")).cast("binary"), 256).alias("base_sha256"),
+        F.expr(listed.format(every)).alias("spans"))
+
+
 def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     out = rule_ledger.verdicts(rule_ledger.ledger(docs), rule_ledger.STRICT)
@@ -86,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op3_bpe_prefix": op3_bpe_prefix,
     "op4_min_bin_slack": op4_min_bin_slack,
+    "op5_pii_boost": op5_pii_boost,
     "op9_rule_ledger": op9_rule_ledger,
 }
 

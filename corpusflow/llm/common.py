@@ -33,3 +33,17 @@ def spaced(text: Column) -> Column:
 def label_split(id_col: str, mod: int, rest: int) -> Column:
     """Whether crc32(id as text) mod ``mod`` is ``rest`` (the held-out fold)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % mod == F.lit(rest)
+
+
+#: A side of a join is broadcast if its rows take no more than this.
+BROADCAST_BYTES = 64 << 20
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """Inner join on ``_id`` of texts with a narrow table of fixed-width rows. The
+    table is counted first: only below ``BROADCAST_BYTES`` is it broadcast, above
+    that Spark shuffles both sides (and splits skewed keys)."""
+    labels = labels.where("_id is not null").dropDuplicates(["_id"])
+    if labels.count() * row_bytes <= BROADCAST_BYTES:
+        labels = F.broadcast(labels)
+    return docs.join(labels, "_id")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe_dp, min_bin_slack, nbsvm, pii_boost, rule_ledger, token_store
+from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, nbsvm, pii_boost, rule_ledger, token_store
 from corpusflow.llm.common import label_split, read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -50,6 +50,14 @@ def op5_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(listed.format(every)).alias("spans"))
 
 
+def op6_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    learn = read(spark, sf_dir, "labels", "doc_id", "toxic").where(~label_split("doc_id", 4, 2))
+    scored = deobfuscate.score(docs, deobfuscate.train(docs, learn, "toxic"))
+    return scored.select("doc_id", label_split("doc_id", 4, 2).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     learn = read(spark, sf_dir, "labels", "doc_id", "quality").where(~label_split("doc_id", 5, 0))
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_prefix": op3_bpe_prefix,
     "op4_min_bin_slack": op4_min_bin_slack,
     "op5_pii_boost": op5_pii_boost,
+    "op6_deobfuscate": op6_deobfuscate,
     "op8_nbsvm": op8_nbsvm,
     "op9_rule_ledger": op9_rule_ledger,
 }

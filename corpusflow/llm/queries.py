@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, nbsvm, pii_boost, rule_ledger, token_store
+from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, nbsvm, partenum, pii_boost, rule_ledger, token_store
 from corpusflow.llm.common import label_split, read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -23,6 +23,10 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.link_components(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     done = bpe_dp.decode(bpe_dp.encode(docs, BYTE_BPE), BYTE_BPE)
@@ -113,6 +117,7 @@ with t as (
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_partenum": op2_partenum,
     "op3_bpe_prefix": op3_bpe_prefix,
     "op4_min_bin_slack": op4_min_bin_slack,
     "op5_pii_boost": op5_pii_boost,

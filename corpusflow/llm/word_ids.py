@@ -1,9 +1,11 @@
 """Token ids of whole texts by the ``tokenizers`` library, chunk by chunk.
 
 The word-level vocabulary drops white space before it splits words, so a text's
-ids are those of its space-separated chunks, one after another. Each worker
-remembers the ids of the chunks it has seen; the memory is bounded and only
-saves time. A chunk is always encoded by the library itself.
+ids are those of its space-separated chunks, one after another. Its rule also parts
+letters from punctuation and lowers case, so a chunk of letters with punctuation
+behind it is a lower-case word and the punctuation. Each worker remembers the ids
+of what it has seen; the memory is bounded and only saves time. All ids come from
+the library.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from corpusflow.llm.common import whole
 
 #: Chunks that a worker remembers before it starts anew, and the longest of them.
 REMEMBERED, LONGEST = 800_000, 48
+#: Punctuation that may stand behind a word; an apostrophe can belong to it.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class ChunkEncoder(dict):
@@ -29,7 +33,15 @@ class ChunkEncoder(dict):
         self.tokenizer.no_padding()
 
     def __missing__(self, chunk: str) -> bytes:
-        found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        core = chunk.rstrip(PUNCTUATION)
+        if core.isalpha() and max(core) < "\u0250":  # Latin: lower case by letter
+            lower = core.lower()
+            if lower.isalpha() and (core != chunk or lower != chunk):
+                found = self[lower] + (self[chunk[len(core):]] if core != chunk else b"")
+                return self._keep(chunk, found)
+        return self._keep(chunk, array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes())
+
+    def _keep(self, chunk: str, found: bytes) -> bytes:
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:
                 self.clear()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, nbsvm, partenum, pii_boost, rule_ledger, token_store
+from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, mincut_html, nbsvm, partenum, pii_boost, rule_ledger, token_store
 from corpusflow.llm.common import label_split, read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -78,6 +78,12 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op10_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    texts = mincut_html.extract(pages, mincut_html.train(pages))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 #: Measurements and fail bits of the ledger over ``documents``.
 LEDGER_SQL = r"""
 with t as (
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_deobfuscate": op6_deobfuscate,
     "op8_nbsvm": op8_nbsvm,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_mincut_html": op10_mincut_html,
 }
 
 ORACLES: dict[str, str] = {

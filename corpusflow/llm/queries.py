@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bpe_dp, deobfuscate, min_bin_slack, mincut_html, nbsvm, partenum, pii_boost, rule_ledger, token_store
+from corpusflow.llm import bm25_wand, bpe_dp, deobfuscate, min_bin_slack, mincut_html, nbsvm, partenum, pii_boost, rule_ledger, token_store
 from corpusflow.llm.common import label_split, read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -62,6 +62,11 @@ def op6_deobfuscate(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return bm25_wand.search(docs, docs.where("doc_id % 20 = 0"))
+
+
 def op8_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     learn = read(spark, sf_dir, "labels", "doc_id", "quality").where(~label_split("doc_id", 5, 0))
@@ -128,12 +133,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_min_bin_slack": op4_min_bin_slack,
     "op5_pii_boost": op5_pii_boost,
     "op6_deobfuscate": op6_deobfuscate,
+    "op7_bm25_wand": op7_bm25_wand,
     "op8_nbsvm": op8_nbsvm,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_mincut_html": op10_mincut_html,
 }
 
+#: The ten best texts for every twentieth text as a query, all pairs scored.
+SEARCH_SQL = r"""
+with w as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) as term
+  from documents
+), tf as (
+  select doc_id, term, count(*)::double as n from w group by all
+), len as (
+  select doc_id, sum(n) as n from tf group by doc_id
+), stat as (
+  select count(*)::double as docs, sum(n) / count(*) as mean from len
+), df as (
+  select term, count(*)::double as n from tf group by term
+), hit as (
+  select q.doc_id as query_id, tf.doc_id, sum(round(
+    tf.n * 2.2 / (tf.n + 1.2 * (1 - 0.75 + 0.75 * len.n / mean)) * (ln(1 + (docs - df.n + 0.5) / (df.n + 0.5)) * 1048576.0)
+  )::bigint)::bigint as score
+  from tf q join df on q.term = df.term join tf on tf.term = q.term join len on len.doc_id = tf.doc_id cross join stat
+  where q.doc_id % 20 = 0 group by all
+), best as (
+  select *, row_number() over (partition by query_id order by score desc, doc_id)::integer as rank from hit
+)
+select query_id, rank, doc_id, score from best where rank <= 10"""
+
 ORACLES: dict[str, str] = {
+    "op7_bm25_wand": SEARCH_SQL,
     "op9_rule_ledger": LEDGER_SQL + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits & 3 <> 0 as base_failed, fail_bits = 0 as kept, fail_bits::bigint as fail_bits

@@ -1,19 +1,26 @@
 """Corpus pipeline over ``documents``, stage by stage.
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before
-kept, and is written as Parquet and reread as the next one's ``docs``.
+kept, and is written as Parquet and reread as the next one's ``docs``. All but the
+last return the columns of ``documents``; the last returns packed pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusflow.llm import rule_ledger
+from corpusflow.llm import min_bin_slack, nbsvm, partenum, pii_boost, rule_ledger
+from corpusflow.llm.common import label_split, narrow, read
 from corpusflow.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+#: A document stays if its probability of good quality is at least this.
+QUALITY = 0.3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,15 +29,56 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where("kept").select(*COLUMNS)
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: learned on the labelled documents of the corpus (the learning fold
+    of the query); documents that score below ``QUALITY`` go."""
+    learn = read(spark, sf_dir, "labels", "doc_id", "quality").where(~label_split("doc_id", 5, 0))
+    model = nbsvm.train(read(spark, sf_dir, "documents", "doc_id", "text"), learn, "quality")
+    scored = nbsvm.score_rows(docs.select(*COLUMNS), model, "score")
+    return scored.where(F.col("score") >= QUALITY).select(*COLUMNS)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: of each group of linked documents, and of rows of one id, the one
+    with the least id stays."""
+    found = materialize(partenum.link_components(docs), "jaccard")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = narrow(materialize(gone, "jaccard-gone"), 16)
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    again = narrow(materialize(again, "jaccard-again"), 16)
+    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: base spans and selected candidates are replaced by their kind."""
+    spans = materialize(pii_boost.find_spans(docs), "pii-spans")
+    clean = pii_boost.redact_rows(docs.select(*COLUMNS), pii_boost.train(spans))
+    return clean.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: all remaining documents in sequences of at most 2048 ids."""
+    packed = min_bin_slack.pack(docs, WORD_BPE)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("pii", pii),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Later stages learn models, which SQL cannot express.
+#: The classifiers are learned, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

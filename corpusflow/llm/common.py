@@ -39,11 +39,12 @@ def label_split(id_col: str, mod: int, rest: int) -> Column:
 BROADCAST_BYTES = 64 << 20
 
 
+def narrow(rows: DataFrame, row_bytes: int) -> DataFrame:
+    """A written table of fixed-width rows, with a broadcast hint only if its counted
+    size allows it; otherwise Spark shuffles and splits skewed keys."""
+    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
+
+
 def with_labels(docs: DataFrame, labels: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """Inner join on ``_id`` of texts with a narrow table of fixed-width rows. The
-    table is counted first: only below ``BROADCAST_BYTES`` is it broadcast, above
-    that Spark shuffles both sides (and splits skewed keys)."""
-    labels = labels.where("_id is not null").dropDuplicates(["_id"])
-    if labels.count() * row_bytes <= BROADCAST_BYTES:
-        labels = F.broadcast(labels)
-    return docs.join(labels, "_id")
+    """Inner join on ``_id`` of texts with a table of labels, one per id."""
+    return docs.join(narrow(labels.where("_id is not null").dropDuplicates(["_id"]), row_bytes), "_id")

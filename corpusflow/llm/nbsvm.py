@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.llm.boosting import platt, sigmoid
 from corpusflow.llm.bpe_dp import slices
@@ -180,15 +181,25 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     return Model(ratio.astype("f4"), weight.astype("f4"), slope, shift + float(np.log(odds)))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score``: the probability of label 1 of every whole text."""
+def score_rows(docs: DataFrame, model: Model, column: str = "score", text_col: str = "text") -> DataFrame:
+    """``docs`` with the probability of label 1 of every whole text in ``column``
+    (in place of a column of that name)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                scores = [sent.value.score(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], schema=arrow)
+                scores = [sent.value.score(t or "") for t in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())],
+                                                 names=[*part.schema.names, column])
+
+    return docs.mapInArrow(run, schema)
 
-    return whole(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, score`` of every whole text."""
+    return score_rows(whole(docs, id_col, text_col), model, "score", "_text").select(
+        F.col("_id").alias("doc_id"), "score")

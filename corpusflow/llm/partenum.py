@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.bpe_dp import slices
-from corpusflow.llm.common import BROADCAST_BYTES, whole
+from corpusflow.llm.common import narrow, whole
 from corpusflow.llm.components import components
 from corpusflow.session import materialize
 
@@ -197,11 +197,6 @@ def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     return whole(docs, id_col, text_col).mapInArrow(run, SETS)
 
 
-def _narrow(rows: DataFrame, row_bytes: int) -> DataFrame:
-    """A written table, with a broadcast hint only if its counted size allows it."""
-    return F.broadcast(rows) if rows.count() * row_bytes <= BROADCAST_BYTES else rows
-
-
 def _features(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """``rep, f0, f1, features`` of the documents named in ``ids(rep)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +209,7 @@ def _features(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
                     [part.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
                      pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], names=["rep", "f0", "f1", "features"])
 
-    texts = whole(docs, id_col, text_col).join(_narrow(ids.withColumnRenamed("rep", "_id"), 24), "_id", "left_semi")
+    texts = whole(docs, id_col, text_col).join(narrow(ids.withColumnRenamed("rep", "_id"), 24), "_id", "left_semi")
     return texts.mapInArrow(run, "rep long, f0 long, f1 long, features array<long>")
 
 
@@ -234,7 +229,7 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
     shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = materialize(shared.select("sig"), "partenum-shared")
     # a set signs once per task at most, so this has no copies worth mentioning
-    members = rows.join(_narrow(shared, 16), "sig").join(main, ["f0", "f1"]).select("sig", "rep", "f0", "f1").distinct()
+    members = rows.join(narrow(shared, 16), "sig").join(main, ["f0", "f1"]).select("sig", "rep", "f0", "f1").distinct()
     members = materialize(members, "partenum-members")
     groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     info = full.where("size(sigs) > 0").select("f0", "f1", "n_shingles", *FIELDS).dropDuplicates(["f0", "f1"])

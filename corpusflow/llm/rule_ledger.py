@@ -99,10 +99,14 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def ledger(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the measurements and ``fail_bits``: every rule evaluated once."""
-    df = measure(df, text_col)
+    """``df`` with the measurements and ``fail_bits``: every rule evaluated once.
+
+    The bits pass through a generator of one row: Spark pushes no filter on a verdict
+    below it, where it would evaluate all measurements again, and more than once.
+    """
+    df = measure(df, text_col).drop("fail_bits")
     bits = " | ".join(f"if({test}, {1 << i}L, 0L)" for i, (_, test) in enumerate(RULES))
-    return df.withColumn("fail_bits", F.expr(bits))
+    return df.select("*", F.explode(F.array(F.expr(bits))).alias("fail_bits"))
 
 
 def verdicts(df: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:

@@ -141,9 +141,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, end_id: int = 1, level: in
                     if out is None:
                         fs.create_dir(root, recursive=True)
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                        shut, first = ShardWriter(out, level), doc_id
+                        shut = ShardWriter(out, level)
                     shut.add(doc_id, encode(text) + end)
-                    last = doc_id
+                    first, last = doc_id if first is None else first, doc_id
             if out is not None:
                 shut.close()
                 out.close()

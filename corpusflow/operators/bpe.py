@@ -22,18 +22,20 @@ share no symbol; a self-pair ``(x, x)`` or a pair whose merged token already
 exists (or was made earlier in the prefix) also ends it, and is merged alone
 if first. With c the count of the pair that ended the prefix, keep the prefix
 pairs with count > c (always the first). ``mode='relaxed'`` skips conflicts and
-takes every non-conflicting pair with count >= ``relaxed_ratio`` x the top
-count: far fewer rounds for large vocabularies, approximate.
-
-Encoding (T8): distinct words are segmented once (a small per-word helper in
-a pandas UDF holding the merge ranks), joined back to word occurrences, and
-reassembled per row in word order. Decoding (T9): ids -> token bytes through a
-broadcast vocabulary (its size is the vocabulary size parameter).
+takes, of the ``top_k`` highest pairs, every non-conflicting one with count >=
+``relaxed_ratio`` x the top count: far fewer rounds for large vocabularies, approximate.
+
+Encoding (T8) and decoding (T9) are narrow: a row's words (or ids) stay in the
+row and pass through one Arrow-batched helper that holds the merge ranks (or the
+tokens' bytes) and remembers the words it has seen. No explode, join or shuffle.
+Merges and tokens are bounded by the vocabulary size parameter, which bounds what
+is broadcast.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import materialize, shared_dir
+from corpusflow.session import discard, materialize, shared_dir
 
 # Special tokens in id order, the pre-tokenizer pattern and the
 # end-of-sequence / padding / mask tokens used by the example builders.
@@ -49,8 +51,8 @@ SPECIALS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 PRETOKEN = "(?U)\\w+|[^\\w\\s]+"
 UNK, EOS, PAD, MASK = "[UNK]", "[SEP]", "[PAD]", "[MASK]"
 
-# Word tables above this many rows are joined by shuffle instead of broadcast.
-MAX_BROADCAST_WORDS = 2_000_000
+# Words that a worker remembers while it encodes, before it starts anew.
+REMEMBERED_WORDS = 500_000
 
 
 @functools.lru_cache(maxsize=None)
@@ -121,6 +123,8 @@ class BpeModel:
     merges: list[tuple[int, int, int]]
     rounds: int = 0
     tok2id: dict[str, int] = field(default_factory=dict)
+    #: False if ``max_rounds`` ended the training before the vocabulary was full.
+    complete: bool = True
 
     def __post_init__(self):
         if not self.tok2id:
@@ -242,16 +246,16 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
               mode: str = "exact", relaxed_ratio: float = 0.9, top_k: int = 1000,
               max_rounds: int | None = None, checkpoint_every: int = 10,
               loop_partitions: int | None = None) -> BpeModel:
-    """T5: learn the vocabulary of ``df[text_col]`` (see module doc)."""
+    """T5: learn the vocabulary of ``df[text_col]`` (see module doc). A model that
+    ``max_rounds`` cut short says so in ``complete``."""
     spark = df.sparkSession
     shared_dir(spark)
+    written: list[DataFrame] = []
     wc = materialize(word_counts(df, text_col), "bpe-word-counts")
     alphabet = {r["ch"] for r in wc.select(F.explode(chars("word")).alias("ch")).distinct().collect()}
     alphabet |= set(byte_alphabet())
     tokens = list(SPECIALS)
-    for ch in sorted(alphabet):
-        if ch not in tokens:
-            tokens.append(ch)
+    tokens += [ch for ch in sorted(alphabet) if ch not in set(SPECIALS)]
     tok2id = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
     if len(tokens) >= vocab_size:
@@ -267,9 +271,14 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
                      .where(F.size("syms") >= 2)
                      .repartition(parts))
     words = materialize(words, "bpe-words")
+    written.append(words)
     rounds = 0
     prev = None
-    while len(tokens) < vocab_size and (max_rounds is None or rounds < max_rounds):
+    complete = True
+    while len(tokens) < vocab_size:
+        if max_rounds is not None and rounds >= max_rounds:
+            complete = False
+            break
         top = _pairs(words).orderBy(F.desc("c"), "l", "r").limit(top_k).collect()
         if prev is not None:
             prev.unpersist()
@@ -294,100 +303,121 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
             nxt = materialize(nxt, "bpe-words")
             if words.is_cached:
                 words.unpersist()
+            # the new table no longer depends on the one written before
+            written.append(nxt)
+            discard(written.pop(0))
         else:
             nxt = nxt.persist()
             prev = words if words.is_cached else None
         words = nxt
     if prev is not None:
         prev.unpersist()
-    return BpeModel(tokens, merges, rounds=rounds, tok2id=tok2id)
+    for table in [wc, *written]:
+        discard(table)
+    return BpeModel(tokens, merges, rounds=rounds, tok2id=tok2id, complete=complete)
+
+
+def segment(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Merge the adjacent pair of lowest rank, leftmost first, until none is left: a
+    heap of pairs over a linked list, so a word of n symbols takes n log n steps."""
+    n = len(symbols)
+    symbols, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (found := ranks.get((symbols[i], symbols[j]))) is not None:
+            heapq.heappush(heap, (found[0], i, symbols[i], symbols[j], found[1]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, left, right, new = heapq.heappop(heap)
+        j = after[i]
+        if symbols[i] != left or j >= n or symbols[j] != right:
+            continue  # one of the two has been merged since
+        symbols[i], symbols[j], after[i] = new, -1, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return [x for x in symbols if x >= 0]
 
 
 def _segmenter(bc):
-    """Per-word BPE segmentation: repeatedly merge the adjacent pair with the
-    lowest merge rank (leftmost first). Unknown characters are ``[UNK]``."""
+    """Words of a row -> its ids. Unknown characters are ``[UNK]``."""
 
-    def seg(words: pd.Series) -> pd.Series:
+    def seg(rows: pd.Series) -> pd.Series:
         tok2id, ranks, unk = bc.value
-        cache: dict[str, list[int]] = {}
+        seen: dict[str, list[int]] = {}
         out = []
-        for w in words:
-            if w in cache:
-                out.append(cache[w])
-                continue
-            syms = [tok2id.get(ch, unk) for ch in w]
-            while len(syms) > 1:
-                best = None
-                for i in range(len(syms) - 1):
-                    rk = ranks.get((syms[i], syms[i + 1]))
-                    if rk is not None and (best is None or rk[0] < best[0]):
-                        best = (rk[0], i, rk[1])
-                if best is None:
-                    break
-                _, i, nid = best
-                syms[i:i + 2] = [nid]
-            cache[w] = syms
-            out.append(syms)
-        return pd.Series(out)
+        for words in rows:
+            ids: list[int] = []
+            for w in words:
+                found = seen.get(w)
+                if found is None:
+                    if len(seen) >= REMEMBERED_WORDS:
+                        seen.clear()
+                    found = seen[w] = segment([tok2id.get(ch, unk) for ch in w], ranks)
+                ids += found
+            out.append(ids)
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(seg, T.ArrayType(T.IntegerType()))
 
 
 def encode(df: DataFrame, text_col: str, model: BpeModel, key_cols: list[str],
            out_col: str = "ids") -> DataFrame:
-    """``keys, ids`` for every row (empty text -> empty array).
-
-    Distinct words are segmented once; the word table is broadcast when its
-    (checked) size allows, else shuffle-joined (AQE splits hot words)."""
-    spark = df.sparkSession
-    ranks = {(a, b): (r, n) for r, (a, b, n) in enumerate(model.merges)}
-    bc = spark.sparkContext.broadcast((model.tok2id, ranks, model.tok2id[UNK]))
-    words = df.select(*key_cols, F.posexplode_outer(pretokenize(text_col)).alias("wpos", "word"))
-    distinct = words.where(F.col("word").isNotNull()).select("word").distinct()
-    seg = materialize(distinct.withColumn("wids", _segmenter(bc)("word")), "bpe-segments")
-    n_words = seg.count()
-    side = F.broadcast(seg) if n_words <= MAX_BROADCAST_WORDS else seg
-    joined = words.join(side, "word", "left")
-    g = joined.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("wpos", "wids"))).alias("_s"))
-    ids = F.flatten(F.transform(F.filter("_s", lambda x: x["wids"].isNotNull()),
-                                lambda x: x["wids"]))
-    return g.select(*key_cols, F.coalesce(ids, F.array().cast("array<int>")).alias(out_col))
+    """``keys, ids`` for every row (empty text -> empty array), in one narrow
+    pass over the rows."""
+    ranks = {(a, b): (r, n) for r, (a, b, n) in reversed(list(enumerate(model.merges)))}
+    bc = df.sparkSession.sparkContext.broadcast((model.tok2id, ranks, model.tok2id[UNK]))
+    return df.select(*key_cols, _segmenter(bc)(pretokenize(text_col)).alias(out_col))
 
 
 def decode(df: DataFrame, ids_col: str, model: BpeModel, key_cols: list[str],
            out_col: str = "text", sep: str = "") -> DataFrame:
     """Ids -> text with the byte-level decoder, skipping special tokens.
     ``sep=''`` reproduces the decoder exactly (no word boundaries);
-    ``sep=' '`` puts a space between tokens."""
-    spark = df.sparkSession
-    vocab = model.vocab_df(spark).where(~F.col("special")).select("id", "token_bytes")
-    e = df.select(*key_cols, F.posexplode_outer(ids_col).alias("pos", "id"))
-    j = e.join(F.broadcast(vocab), "id", "left")
-    g = j.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("pos", "token_bytes"))).alias("_s"))
-    sep_b = F.encode(F.lit(sep), "UTF-8")
+    ``sep=' '`` puts a space between tokens. Linear in the ids."""
+    pieces = [None if t in SPECIALS else token_bytes(t) for t in model.tokens]
+    bc = df.sparkSession.sparkContext.broadcast(pieces)
+
+    def join(rows: pd.Series) -> pd.Series:
+        known, between = bc.value, sep.encode()
+        return pd.Series([between.join([p for i in (ids if ids is not None else ())
+                                        if 0 <= i < len(known) and (p := known[i]) is not None]) for ids in rows],
+                         dtype=object)
+
+    raw = F.pandas_udf(join, T.BinaryType())(ids_col)
+    return df.select(*key_cols, F.make_valid_utf8(raw.cast("string")).alias(out_col))
+
+
+def tokenizer_rows(df: DataFrame, text_col: str, model: BpeModel, key_cols: list[str]) -> DataFrame:
+    """T10 per row: ``keys, text, tokens, ids, decoded``."""
+    enc = encode(df, text_col, model, [*key_cols, text_col])
+    bc = df.sparkSession.sparkContext.broadcast(model.tokens)
 
-    def step(acc, x):
-        b = x["token_bytes"]
-        joined = F.when(F.length(acc) > 0, F.concat(acc, sep_b, b)).otherwise(b) if sep else F.concat(acc, b)
-        return F.when(b.isNull(), acc).otherwise(joined)
+    def names(rows: pd.Series) -> pd.Series:
+        return pd.Series([[bc.value[i] for i in ids] for ids in rows], dtype=object)
 
-    raw = F.aggregate("_s", F.encode(F.lit(""), "UTF-8"), step)
-    return g.select(*key_cols, F.make_valid_utf8(raw.cast("string")).alias(out_col))
+    enc = enc.withColumn("tokens", F.pandas_udf(names, T.ArrayType(T.StringType()))("ids"))
+    out = decode(enc, "ids", model, [*key_cols, text_col, "tokens", "ids"], "decoded")
+    return out.select(*key_cols, F.col(text_col).alias("text"), "tokens", "ids", "decoded")
 
 
 def tokenizer_report(df: DataFrame, text_col: str, model: BpeModel, key_cols: list[str],
                      group_col: str | None = None) -> DataFrame:
     """Per group: rows, words, tokens, unknown tokens, tokens per word,
     unknown rate."""
-    enc = encode(df, text_col, model, key_cols)
-    base = df.select(*key_cols, *([group_col] if group_col else []),
-                     F.size(pretokenize(text_col)).alias("_w"))
+    group = [group_col] if group_col else []
+    base = df.select(*key_cols, *group, text_col, F.size(pretokenize(text_col)).alias("_w"))
+    enc = encode(base, text_col, model, [*group, "_w"])
     unk = model.tok2id[UNK]
-    j = base.join(enc, key_cols)
-    j = j.select(*([group_col] if group_col else []), "_w", F.size("ids").alias("_t"),
-                 F.size(F.filter("ids", lambda x: x == F.lit(unk))).alias("_u"))
-    g = j.groupBy(*([group_col] if group_col else []))
+    j = enc.select(*group, "_w", F.size("ids").alias("_t"),
+                   F.size(F.filter("ids", lambda x: x == F.lit(unk))).alias("_u"))
+    g = j.groupBy(*group)
     out = g.agg(F.count(F.lit(1)).cast("long").alias("rows"), F.sum("_w").cast("long").alias("words"),
                 F.sum("_t").cast("long").alias("tokens"), F.sum("_u").cast("long").alias("unknown"))
     return (out.withColumn("tokens_per_word", F.round(F.col("tokens") / F.nullif("words", F.lit(0)), 4))

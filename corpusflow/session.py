@@ -57,6 +57,7 @@ def shared_dir(spark: SparkSession, sub: str | None = None) -> str:
         base = tempfile.mkdtemp(prefix="corpusflow-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     base = base.rstrip("/")
     if sub is None:
         return base
@@ -71,3 +72,15 @@ def materialize(df, name: str):
     path = shared_dir(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(table) -> None:
+    """Delete the files of a table that :func:`materialize` wrote and nothing that is
+    still in use reads. Other tables, and other places, are left alone."""
+    spark = table.sparkSession
+    base = shared_dir(spark)
+    fs = spark._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path, root = fs.Path(folder), fs.Path(base)
+        if path.toUri().getPath().startswith(root.toUri().getPath().rstrip("/") + "/"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -360,7 +360,7 @@ def _lid(spark, sf):
     """Trigram model trained on the whole ``documents`` table (label = ``lang``);
     cached per (session, table dir) so several queries share one training job."""
     from corpusflow.operators.langid import train_trigram_lid
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _LID_MODEL:
         _LID_MODEL.clear()
         _LID_MODEL[key] = train_trigram_lid(table(spark, sf, "documents", ["text", "lang"]))
@@ -380,8 +380,8 @@ def q_lid_predict(spark, sf):
 
 @register("lid_predict_conv", f"""
 WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
-{S.lid_score_ctes('p', "SELECT conv_id * 100000 + turn AS k, text FROM conversations", 'k')}
-SELECT k // 100000 AS conv_id, k % 100000 AS turn, label, round(score, 4) AS score FROM p
+{S.lid_score_ctes('p', "SELECT conv_id * 4294967296 + turn AS k, text FROM conversations", 'k')}
+SELECT k // 4294967296 AS conv_id, k % 4294967296 AS turn, label, round(score, 4) AS score FROM p
 """)
 def q_lid_predict_conv(spark, sf):
     conv = table(spark, sf, "conversations", ["conv_id", "turn", "text"])
@@ -391,15 +391,18 @@ def q_lid_predict_conv(spark, sf):
 
 
 @register("lid_accuracy", f"""
-WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
-{S.lid_score_ctes('p', 'SELECT doc_id, text FROM documents', 'doc_id')}
+WITH {S.lid_model_ctes("SELECT lang, text FROM documents WHERE doc_id % 2 = 1")},
+{S.lid_score_ctes('p', 'SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0', 'doc_id')}
 SELECT d.lang, CAST(count(*) AS BIGINT) AS n,
        CAST(sum(CASE WHEN p.label = d.lang THEN 1 ELSE 0 END) AS BIGINT) AS correct
   FROM documents d JOIN p USING (doc_id) GROUP BY d.lang
 """)
 def q_lid_accuracy(spark, sf):
+    """Accuracy on the documents that the model wasn't trained on."""
+    from corpusflow.operators.langid import train_trigram_lid
     docs = table(spark, sf, "documents", ["doc_id", "text", "lang"])
-    sc = _lid(spark, sf).annotate(docs, "text", ["doc_id"], prefix="p")
+    model = train_trigram_lid(docs.where("doc_id % 2 = 1").select("text", "lang"))
+    sc = model.annotate(docs.where("doc_id % 2 = 0"), "text", ["doc_id"], prefix="p")
     return sc.groupBy("lang").agg(
         F.count(F.lit(1)).cast("long").alias("n"),
         F.sum(F.when(F.col("p_label") == F.col("lang"), 1).otherwise(0)).cast("long").alias("correct"))
@@ -419,10 +422,10 @@ def q_lid_strict(spark, sf):
 
 @register("lid_lenient", f"""
 WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
-_pairs AS (SELECT doc_id * 100000 + line_no AS k, src, tgt FROM {S.adjacent_pairs()}),
+_pairs AS (SELECT doc_id * 4294967296 + line_no AS k, src, tgt FROM {S.adjacent_pairs()}),
 {S.lid_score_ctes('ps', 'SELECT k, src AS text FROM _pairs', 'k')},
 {S.lid_score_ctes('pt', 'SELECT k, tgt AS text FROM _pairs', 'k')}
-SELECT k // 100000 AS doc_id, k % 100000 AS line_no FROM ps JOIN pt USING (k)
+SELECT k // 4294967296 AS doc_id, k % 4294967296 AS line_no FROM ps JOIN pt USING (k)
  WHERE NOT (ps.score > 0.5 AND ps.label <> 'en') AND NOT (pt.score > 0.5 AND pt.label <> 'en')
 """)
 def q_lid_lenient(spark, sf):
@@ -454,10 +457,10 @@ def q_clean_mono_lid(spark, sf):
 @register("clean_pairs_lid", f"""
 WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
 ok AS ({_pairs_sql(S.adjacent_pairs(), "doc_id, line_no")}),
-k AS (SELECT doc_id * 100000 + line_no AS k, src, tgt FROM ok),
+k AS (SELECT doc_id * 4294967296 + line_no AS k, src, tgt FROM ok),
 {S.lid_score_ctes('ps', 'SELECT k, src AS text FROM k', 'k')},
 {S.lid_score_ctes('pt', 'SELECT k, tgt AS text FROM k', 'k')}
-SELECT k // 100000 AS doc_id, k % 100000 AS line_no, src, tgt
+SELECT k // 4294967296 AS doc_id, k % 4294967296 AS line_no, src, tgt
   FROM k JOIN ps USING (k) JOIN pt USING (k)
  WHERE NOT (ps.score > 0.5 AND ps.label <> 'en') AND NOT (pt.score > 0.5 AND pt.label <> 'en')
 """)
@@ -571,7 +574,7 @@ def q_ingest_stream(spark, sf):
 
 
 @register("ingest_pairs", f"""
-SELECT conv_id * 100000 + turn AS row_id, conv_id, turn, src AS en, tgt AS bn
+SELECT conv_id * 4294967296 + turn AS row_id, conv_id, turn, src AS en, tgt AS bn
   FROM {S.conversation_pairs()}
 """)
 def q_ingest_pairs(spark, sf):
@@ -581,7 +584,7 @@ def q_ingest_pairs(spark, sf):
     from corpusflow.sources.readers import read_snapshot, write_snapshot
     pairs = conversation_pairs(table(spark, sf, "conversations"))
     staged = write_snapshot(
-        pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), "conv_id", "turn",
+        pairs.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("row_id"), "conv_id", "turn",
                      F.struct(F.col("src").alias("en"), F.col("tgt").alias("bn")).alias("translation")),
         shared_dir(spark, "staged-pairs"))
     path = ingest_parallel(spark, staged, "corpus/conversations", "sf",
@@ -593,7 +596,9 @@ def q_ingest_pairs(spark, sf):
 # ---------------------------------------------------------------- B2 shard expansion
 # Junk lines appended to every generated shard (each must be dropped).
 SHARD_JUNK = ["", "   ", "not json", "[1]", '{"en":"a"}', '{"en":null,"bn":"b"}',
-              "{'en':'a','bn':'b'}", '{"en":"a","bn":"b"} junk']
+              "{'en':'a','bn':'b'}", '{"en":"a","bn":"b"} junk', '{"en":"a","bn":"b"} junk}',
+              '{"en":"a","bn":"b"}}', '{"en":"a","bn":"b"},{"x":1}', '{"en":"a","bn":"b"} {"en":"c","bn":"d"}',
+              '{"en":"a","bn":"b"]}', '{"en":"a","bn":"b"}]}', '{"en":"a","bn":"b"}] [{}']
 
 
 def build_shards(docs: DataFrame) -> DataFrame:
@@ -638,7 +643,7 @@ BPE_VOCAB = 400
 def _bpe(spark, sf, vocab_size=BPE_VOCAB):
     """BPE vocabulary of the whole ``documents`` table, shared by the queries."""
     from corpusflow.operators.bpe import train_bpe
-    key = (id(spark), sf, vocab_size)
+    key = (spark.sparkContext.applicationId, sf, vocab_size)
     if key not in _BPE_MODELS:
         _BPE_MODELS[key] = train_bpe(table(spark, sf, "documents", ["text"]), vocab_size=vocab_size)
     return _BPE_MODELS[key]
@@ -705,14 +710,23 @@ def q_bpe_alphabet(spark, sf):
     return m.vocab_df(spark).select(F.col("id").cast("long").alias("id"), "token")
 
 
-@register("bpe_merges")
+def _bpe_sql(*extra: str) -> str:
+    return f"WITH RECURSIVE {S.bpe_ctes(_alphabet_sql(), BPE_VOCAB, extra)}"
+
+
+_DOC_IDS = S.encoded("e", "doc_id", "SELECT doc_id, text FROM documents")
+
+
+@register("bpe_merges", f"""{_bpe_sql()}
+SELECT CAST(step - 1 AS INTEGER) AS rank, a.token AS "left", b.token AS "right", nid AS new_id
+  FROM merge JOIN tok a ON a.id = l JOIN tok b ON b.id = r
+""")
 def q_bpe_merges(spark, sf):
-    """T5: merges (exact batched training, vocabulary 400); checked against the
-    reference tokenizer library in tests."""
+    """T5: merges (exact batched training, vocabulary 400), in order."""
     return _bpe(spark, sf).merges_df(spark)
 
 
-@register("bpe_vocab")
+@register("bpe_vocab", f"{_bpe_sql()} SELECT id, token, id < 5 AS special FROM tok")
 def q_bpe_vocab(spark, sf):
     return _bpe(spark, sf).vocab_df(spark).select("id", "token", "special")
 
@@ -743,9 +757,11 @@ def q_encode_chars(spark, sf):
                     F.array_join("ids", ",").alias("ids"))
 
 
-@register("encode_corpus")
+@register("encode_corpus", f"""{_bpe_sql()}, {_DOC_IDS}
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_tokens, array_to_string(ids, ',') AS ids FROM e
+""")
 def q_encode_corpus(spark, sf):
-    """T8 with the trained vocabulary; parity with the library is a test."""
+    """T8 with the trained vocabulary."""
     from corpusflow.operators.bpe import encode
     docs = table(spark, sf, "documents", ["doc_id", "text"])
     e = encode(docs, "text", _bpe(spark, sf), ["doc_id"])
@@ -753,7 +769,14 @@ def q_encode_corpus(spark, sf):
                     F.array_join("ids", ",").alias("ids"))
 
 
-@register("decode_ids")
+# Byte symbols from U+00A1 on are single bytes that are no UTF-8 by themselves; a token
+# with any other character stands for its own UTF-8.
+@register("decode_ids", f"""{_bpe_sql()}, {_DOC_IDS},
+d AS (SELECT id, CASE WHEN id < 5 THEN '' WHEN regexp_matches(token, '[^!-~\u00a1-\u00ac\u00ae-\u00ff]') THEN token
+                      ELSE regexp_replace(token, '[\u00a1-\u00ac\u00ae-\u00ff]', chr(65533), 'g') END AS t FROM tok),
+m AS (SELECT list(t ORDER BY id) AS t FROM d)
+SELECT doc_id, array_to_string(list_transform(ids, lambda i: m.t[i + 1]), '') AS text FROM e, m
+""")
 def q_decode_ids(spark, sf):
     """Round trip of every document through encode and byte-level decode."""
     from corpusflow.operators.bpe import decode, encode
@@ -762,7 +785,14 @@ def q_decode_ids(spark, sf):
     return decode(encode(docs, "text", m, ["doc_id"]), "ids", m, ["doc_id"])
 
 
-@register("tokenizer_report")
+@register("tokenizer_report", f"""{_bpe_sql()}, {_DOC_IDS},
+x AS (SELECT lang, len({S.pretokenize('text')}) AS w, len(ids) AS t, len(list_filter(ids, lambda i: i = 0)) AS u
+        FROM documents JOIN e USING (doc_id))
+SELECT lang, CAST(count(*) AS BIGINT) AS "rows", CAST(sum(w) AS BIGINT) AS words, CAST(sum(t) AS BIGINT) AS tokens,
+       CAST(sum(u) AS BIGINT) AS unknown, round(sum(t) / nullif(sum(w), 0), 4) AS tokens_per_word,
+       round(sum(u) / nullif(sum(t), 0), 6) AS unknown_rate
+  FROM x GROUP BY lang
+""")
 def q_tokenizer_report(spark, sf):
     """Tokens per word and unknown rate per language over all documents."""
     from corpusflow.operators.bpe import tokenizer_report
@@ -800,13 +830,24 @@ def q_truncate_eos(spark, sf):
     return docs.select("doc_id", F.array_join(truncate_eos(_len_ids(), 2), ",").alias("ids"))
 
 
+#: Longest example of the padding query: above any document of the test tables, so
+#: that padding is seen and nothing is cut.
+PAD_TO = 32768
+
+
 @register("pad_ids", f"""
-SELECT doc_id, array_to_string({_pad_sql(f"({_len_ids_sql()})[1:60]", 3)}, ',') AS ids FROM documents
+SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p[1:len(ids) + 3], ',') AS ids,
+       CAST(len(list_filter(p, lambda x: x = 3)) AS BIGINT) AS n_pad
+  FROM (SELECT doc_id, {_len_ids_sql()} AS ids, {_pad_sql(_len_ids_sql(), 3, PAD_TO)} AS p FROM documents)
 """)
 def q_pad_ids(spark, sf):
+    """E3 on whole texts: the ids, the padding behind them, and the total length."""
     from corpusflow.operators.examples import pad_ids
     docs = table(spark, sf, "documents", ["doc_id", "text"])
-    return docs.select("doc_id", F.array_join(pad_ids(F.slice(_len_ids(), 1, 60), 3), ",").alias("ids"))
+    p = docs.select("doc_id", _len_ids().alias("i"), pad_ids(_len_ids(), 3, PAD_TO).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"),
+                    F.array_join(F.slice("p", F.lit(1), F.size("i") + 3), ",").alias("ids"),
+                    F.size(F.filter("p", lambda x: x == 3)).cast("long").alias("n_pad"))
 
 
 def _u_sql(row: str, pos: str, seed: int = 42, epoch: int = 0) -> str:
@@ -865,7 +906,7 @@ def _bleu_out(df):
 
 
 @register("corpus_bleu", S.corpus_bleu(
-    f"SELECT conv_id * 100000 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
+    f"SELECT conv_id * 4294967296 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
 def q_corpus_bleu(spark, sf):
     """BLEU of each user turn against the assistant reply that follows."""
     from corpusflow.operators.metrics import corpus_bleu
@@ -874,7 +915,7 @@ def q_corpus_bleu(spark, sf):
 
 
 @register("corpus_bleu_lines", S.corpus_bleu(
-    f"SELECT doc_id * 100000 + line_no AS k, src AS pred, tgt AS ref FROM {S.adjacent_pairs()}", "k"))
+    f"SELECT doc_id * 4294967296 + line_no AS k, src AS pred, tgt AS ref FROM {S.adjacent_pairs()}", "k"))
 def q_corpus_bleu_lines(spark, sf):
     """M1 over adjacent document lines (line i as prediction of line i+1)."""
     from corpusflow.operators.metrics import corpus_bleu
@@ -883,7 +924,21 @@ def q_corpus_bleu_lines(spark, sf):
 
 
 # ---------------------------------------------------------------- C3-C6 composite jobs
-@register("denoise_corpus")
+_BOTH_TEXTS = ("SELECT 0 AS corpus_no, doc_id AS row_id, text FROM documents UNION ALL "
+               "SELECT 1, item_id, text FROM benchmark")
+
+
+@register("denoise_corpus", f"""{_bpe_sql("SELECT text FROM benchmark")},
+{S.encoded("e", "corpus_no, row_id", _BOTH_TEXTS)},
+t AS (SELECT corpus_no, row_id, ids[1:127] AS t FROM e),
+n AS (SELECT corpus_no, row_id, t, list_transform(t, lambda x, i: CASE
+        WHEN {_u_sql("corpus_no || ':' || row_id", 'i - 1')} < 0.15 THEN 4 ELSE x END) AS noisy FROM t)
+SELECT corpus_no, row_id,
+       array_to_string({_pad_sql("list_concat(noisy, [2])", 3)}, ',') AS input_ids,
+       array_to_string({_pad_sql("list_concat(t, [2])", 3)}, ',') AS labels,
+       array_to_string({_ones_sql("len(t)")}, ',') AS attention_mask
+  FROM n
+""")
 def q_denoise_corpus(spark, sf):
     """C4: documents and benchmark texts, BPE-encoded (vocabulary 400), as
     128-token denoising examples."""
@@ -895,13 +950,28 @@ def q_denoise_corpus(spark, sf):
                                               for c in ("input_ids", "labels", "attention_mask")])
 
 
-@register("translation_corpus")
+_PREFIXED = f"SELECT conv_id * 4294967296 + turn AS row_id, {S.q('translate English to Bengali: ')} || src AS src, tgt FROM {S.conversation_pairs()}"
+
+
+@register("translation_corpus", f"""{_bpe_sql(f"SELECT src AS text FROM ({_PREFIXED})", f"SELECT tgt AS text FROM ({_PREFIXED})")},
+{S.encoded("a", "row_id", _PREFIXED, "src")},
+{S.encoded("b", "row_id", _PREFIXED, "tgt")},
+v AS (SELECT row_id, row_number() OVER (ORDER BY substr(md5('42:' || row_id), 1, 15), row_id) AS k, count(*) OVER () AS n FROM a),
+e AS (SELECT row_id, CASE WHEN k <= ceil(n * 0.01) THEN 'validation' ELSE 'train' END AS split,
+             list_concat(a.ids[1:127], [2]) AS i, list_concat(b.ids[1:127], [2]) AS l
+        FROM a JOIN b USING (row_id) JOIN v USING (row_id))
+SELECT split, row_id,
+       array_to_string({_pad_sql('i', 3)}, ',') AS input_ids,
+       array_to_string({_ones_sql('len(i)')}, ',') AS attention_mask,
+       array_to_string({_pad_sql('l', -100)}, ',') AS labels
+  FROM e
+""")
 def q_translation_corpus(spark, sf):
     """Conversation pairs -> seeded 1 % validation split -> prefixed,
     BPE-encoded translation examples; both splits, tagged."""
     from corpusflow.plans.training_data import build_translation_examples
     pairs = conversation_pairs(table(spark, sf, "conversations"))
-    pairs = pairs.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"),
+    pairs = pairs.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("row_id"),
                          F.struct(F.col("src").alias("en"), F.col("tgt").alias("bn")).alias("translation"))
     tr, va = build_translation_examples(pairs, _bpe(spark, sf))
     cols = [F.array_join(c, ",").alias(c) for c in ("input_ids", "attention_mask", "labels")]
@@ -910,7 +980,7 @@ def q_translation_corpus(spark, sf):
 
 
 @register("evaluate_pairs", S.corpus_bleu(
-    f"SELECT conv_id * 100000 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
+    f"SELECT conv_id * 4294967296 + turn AS k, src AS pred, tgt AS ref FROM {S.conversation_pairs()}", "k"))
 def q_evaluate_pairs(spark, sf):
     """C6 with no row cap: same numbers as ``corpus_bleu``."""
     from corpusflow.plans.training_data import evaluate_pairs
@@ -939,7 +1009,7 @@ def q_clean_report_mono_lid(spark, sf):
 
 @register("clean_report_pairs_lid", f"""
 WITH {S.lid_model_ctes(_LID_TRAIN_SQL)},
-c AS (SELECT doc_id * 100000 + line_no AS k, {S.clean('src', None)} AS s, {S.clean('tgt', None)} AS t
+c AS (SELECT doc_id * 4294967296 + line_no AS k, {S.clean('src', None)} AS s, {S.clean('tgt', None)} AS t
         FROM {S.adjacent_pairs()}),
 w AS (SELECT *, {S.words('s')} AS ws, {S.words('t')} AS wt, md5(s || chr(9) || t) AS h FROM c),
 r0 AS (SELECT *, CASE WHEN s = '' OR t = '' THEN 'empty'

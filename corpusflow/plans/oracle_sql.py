@@ -8,6 +8,8 @@ tables have none that it changes) or the already-normalised literal.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from corpusflow.functions import patterns as P
 
 
@@ -108,7 +110,8 @@ def pretokenize(x: str) -> str:
 
 
 def tokenize_13a(x: str) -> str:
-    t = f"replace(replace(replace(coalesce({x}, ''), '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    t = f"regexp_replace(coalesce({x}, ''), {q('[' + P.WS() + ']+$')}, '')"
+    t = f"replace(replace(replace({t}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
     t = f"replace(replace(replace(replace({t}, '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
     t = f"(' ' || {t} || ' ')"
     t = f"regexp_replace({t}, {q('([{-~[-` -&(-+:-@/])')}, ' \\1 ', 'g')"
@@ -154,3 +157,55 @@ SELECT round(CASE WHEN rows = 0 THEN NULL WHEN correct_1 + correct_2 + correct_3
        round(p1, 6) AS p1, round(p2, 6) AS p2, round(p3, 6) AS p3, round(p4, 6) AS p4
   FROM y
 """
+
+
+def bpe_ctes(alphabet_sql: str, vocab: int, extra: Sequence[str] = ()) -> str:
+    """Byte-pair training over ``documents``, one merge a step, and what it leaves:
+    ``tok`` (id, token), ``merge`` (step, l, r, nid) and ``seg`` (word, ids).
+
+    A word is a string of ``<id>`` symbols, so a replacement merges from left to
+    right. ``extra`` are queries of further texts, whose words follow the merges
+    without a count of their own. The row without a word carries the tokens."""
+    texts = "SELECT text, 1 AS c FROM documents" + "".join(f" UNION ALL SELECT text, 0 FROM ({x})" for x in extra)
+    return f"""
+alpha AS ({alphabet_sql}),
+wc AS (SELECT word, CAST(sum(c) AS BIGINT) AS c
+         FROM (SELECT unnest({pretokenize('text')}) AS word, c FROM ({texts})) GROUP BY word),
+ch AS (SELECT word, c, s[i] AS ch, i
+         FROM (SELECT word, c, string_split(word, '') AS s FROM wc) x, LATERAL (SELECT unnest(range(1, len(x.s) + 1)) AS i) r),
+init AS (SELECT word, c, string_agg('<' || coalesce(id, 0) || '>', '' ORDER BY i) AS syms
+           FROM ch LEFT JOIN alpha ON token = ch GROUP BY word, c),
+bpe AS (
+  SELECT 0 AS step, word, c, syms, NULL::VARCHAR[] AS toks, NULL::INTEGER AS l, NULL::INTEGER AS r, NULL::INTEGER AS nid FROM init
+  UNION ALL
+  SELECT 0, NULL, 0, NULL, (SELECT list(token ORDER BY id) FROM alpha), NULL, NULL, NULL
+  UNION ALL
+  SELECT b.step + 1, b.word, b.c, replace(b.syms, '<' || t.l || '><' || t.r || '>', '<' || t.nid || '>'),
+         CASE WHEN b.word IS NULL THEN (CASE WHEN t.nid < len(t.toks) THEN t.toks ELSE list_append(t.toks, t.new) END) END,
+         t.l, t.r, t.nid
+    FROM bpe b,
+         (SELECT l, r, toks, toks[l + 1] || toks[r + 1] AS new,
+                 CAST(coalesce(list_position(toks, toks[l + 1] || toks[r + 1]), len(toks) + 1) - 1 AS INTEGER) AS nid
+            FROM (SELECT l, r FROM (
+                    SELECT x[i] AS l, x[i + 1] AS r, c
+                      FROM (SELECT list_transform(string_split(syms[2:len(syms) - 1], '><'), lambda v: CAST(v AS INTEGER)) AS x, c
+                              FROM bpe WHERE word IS NOT NULL AND c > 0) y, LATERAL (SELECT unnest(range(1, len(y.x))) AS i) z)
+                   GROUP BY l, r ORDER BY sum(c) DESC, l, r LIMIT 1) top,
+                 (SELECT toks FROM bpe WHERE word IS NULL) k
+           WHERE len(toks) < {vocab}) t),
+last AS (SELECT * FROM bpe WHERE step = (SELECT max(step) FROM bpe)),
+merge AS (SELECT step, l, r, nid FROM bpe WHERE word IS NULL AND step > 0),
+tok AS (SELECT CAST(i - 1 AS INTEGER) AS id, toks[i] AS token
+          FROM (SELECT toks FROM last WHERE word IS NULL) x, LATERAL (SELECT unnest(range(1, len(x.toks) + 1)) AS i) r),
+seg AS (SELECT word, list_transform(string_split(syms[2:len(syms) - 1], '><'), lambda v: CAST(v AS INTEGER)) AS ids
+          FROM last WHERE word IS NOT NULL)"""
+
+
+def encoded(name: str, keys: str, texts_sql: str, text: str = "text") -> str:
+    """``name`` (keys, ids): the ids of every text of a query, in word order."""
+    return f"""
+{name}_w AS (SELECT {keys}, {pretokenize(text)} AS ws FROM ({texts_sql})),
+{name}_s AS (SELECT {keys}, i, ids FROM (SELECT {keys}, i, ws[i] AS word FROM {name}_w x,
+                LATERAL (SELECT unnest(range(1, len(x.ws) + 1)) AS i) r) JOIN seg USING (word)),
+{name}_g AS (SELECT {keys}, flatten(list(ids ORDER BY i)) AS ids FROM {name}_s GROUP BY {keys}),
+{name} AS (SELECT {keys}, coalesce(ids, []::INTEGER[]) AS ids FROM {name}_w LEFT JOIN {name}_g USING ({keys}))"""

@@ -2,7 +2,7 @@
 
 Spark has no implicit row order, so "first" is the minimum of explicit order
 columns (``row_id``, or e.g. ``doc_id, line_no``). The survivor is found with a
-single ``groupBy(key).agg(min(struct(order..., payload...)))``: the aggregate is
+single ``groupBy(key).agg(min_by(payload, order))``: the aggregate is
 partial (map-side), so a hot key holding a third of all rows is reduced to one
 row per map task before the shuffle, and the payload never needs a second
 shuffle or a join back. ``dropDuplicates`` is not used: it keeps an arbitrary row.
@@ -27,7 +27,8 @@ def first_per_key(df: DataFrame, key: str, order_cols: Sequence[str],
     order_cols = list(order_cols)
     payload = [c for c in df.columns if c not in order_cols and c != key]
     packed = F.struct(*[F.col(c) for c in order_cols], *[F.col(c) for c in payload])
-    out = df.groupBy(key).agg(F.min(packed).alias("_first"))
+    # only the order columns are compared, so a payload may hold maps
+    out = df.groupBy(key).agg(F.min_by(packed, F.struct(*[F.col(c) for c in order_cols])).alias("_first"))
     cols = [F.col(f"_first.{c}").alias(c) if c != key else F.col(key)
             for c in df.columns]
     res = out.select(*cols)

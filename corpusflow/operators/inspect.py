@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import truncate_display
@@ -20,6 +21,8 @@ def inspect_sample(df: DataFrame, name: str, num_samples: int = 3,
                    order_cols: Sequence[str] = ("row_id",)) -> DataFrame:
     """Columns ``dataset, total, sample_no, field, value``. The total is one
     aggregate; the samples are a TakeOrdered of ``num_samples`` rows."""
+    if num_samples is None or num_samples < 0:
+        raise ValueError("num_samples must be 0 or more")
     fields = df.columns
     first = head_n(df, num_samples, order_cols)
     w_order = [F.col(c) for c in order_cols]
@@ -35,6 +38,21 @@ def inspect_sample(df: DataFrame, name: str, num_samples: int = 3,
                        "sample_no", "field", "value")
 
 
+def inspect_path(spark: SparkSession, path: str, name: str, num_samples: int = 3,
+                 order_cols: Sequence[str] = ("row_id",)) -> DataFrame:
+    """As :func:`inspect_sample` of a snapshot; an absent one gives a single row with
+    a null total and the field ``missing`` (its path is the value)."""
+    try:
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(1).select(F.lit(name).alias("dataset"), F.lit(None).cast("long").alias("total"),
+                                     F.lit(0).cast("long").alias("sample_no"), F.lit("missing").alias("field"),
+                                     F.lit(path).alias("value"))
+    return inspect_sample(df, name, num_samples, order_cols)
+
+
 def raw_vs_clean(pairs: Sequence[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
     """One row per corpus: ``corpus, raw_rows, clean_rows, kept_pct``."""
     parts = []

@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 NO_LABEL = "other"
 
-# A model above this many trigrams is joined by shuffle instead of broadcast.
-MAX_BROADCAST_GRAMS = 4_000_000
+# A model is broadcast only if its rows (one double per language, the trigram and
+# overhead) take no more bytes than this; otherwise the join is a shuffle.
+MAX_BROADCAST_BYTES = 256 << 20
+GRAM_BYTES = 48
 
 
 def _c(x) -> Column:
@@ -82,7 +84,7 @@ class TrigramLid:
     n_grams: int                   # V, rows of ``model``
 
     def _model_side(self) -> DataFrame:
-        if self.n_grams <= MAX_BROADCAST_GRAMS:
+        if self.n_grams * (GRAM_BYTES + 8 * len(self.langs)) <= MAX_BROADCAST_BYTES:
             return F.broadcast(self.model)
         return self.model
 

@@ -7,8 +7,8 @@ exponential smoothing of zero counts, scaled to 0..100, 0 when nothing matches.
 
 Plan: tokenise (regex, JVM-side) -> explode n-grams of both sides ->
 ``groupBy(row, n, gram)`` (all n-grams of a row are in one partition, so the
-partial aggregate reduces them before the shuffle) -> clipped sums per n ->
-one-row formula. With no rows the score is null.
+partial aggregate reduces them before the shuffle) -> clipped sums per n and the
+lengths (the 1-grams) in one aggregate -> one-row formula. With no rows the score is null.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions import patterns
 from corpusflow.functions.text import ws_to_space
 
 MAX_ORDER = 4
@@ -33,6 +34,7 @@ RULES_13A = [
 def tokenize_13a(c) -> Column:
     """Array of 13a tokens."""
     t = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    t = F.regexp_replace(t, f"[{patterns.WS()}]+\\z", "")  # white space at the end goes first
     t = F.replace(t, F.lit("<skipped>"), F.lit(""))
     t = F.replace(t, F.lit("-\n"), F.lit(""))
     t = F.replace(t, F.lit("\n"), F.lit(" "))
@@ -59,24 +61,26 @@ def _tagged_ngrams(toks: Column, n: int, hyp: bool) -> Column:
 
 
 def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
-    """One row: ``correct_n, total_n (n=1..4), sys_len, ref_len, rows``."""
+    """One row: ``correct_n, total_n (n=1..4), sys_len, ref_len`` and ``groups``, the
+    number of (row, n, n-gram) groups, which is 0 only without rows."""
     tok = df.select(*key_cols, tokenize_13a(pred_col).alias("h"), tokenize_13a(ref_col).alias("r"))
-    lens = tok.select(F.size("h").alias("sl"), F.size("r").alias("rl"))
     grams = [_tagged_ngrams(F.col(side), n, side == "h")
              for n in range(1, MAX_ORDER + 1) for side in ("h", "r")]
-    ex = tok.select(*key_cols, F.explode(F.concat(*grams)).alias("x"))
+    # a row without tokens keeps one gram that counts nothing, so rows are counted too
+    ex = tok.select(*key_cols, F.explode_outer(F.concat(*grams)).alias("x"))
     gram = F.concat_ws(" ", *[F.col(f"x.t{j}") for j in range(MAX_ORDER)])
     per = ex.groupBy(*key_cols, F.col("x.n").alias("n"), gram.alias("g")).agg(
         F.sum("x.h").alias("ch"), F.sum("x.r").alias("cr"))
-    per_n = per.select("n", F.least("ch", "cr").alias("m"), F.col("ch"))
+    per_n = per.select("n", F.least("ch", "cr").alias("m"), F.col("ch"), F.col("cr"))
     agg = per_n.agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).cast("long").alias(f"correct_{n}")
                       for n in range(1, MAX_ORDER + 1)],
                     *[F.sum(F.when(F.col("n") == n, F.col("ch")).otherwise(0)).cast("long").alias(f"total_{n}")
-                      for n in range(1, MAX_ORDER + 1)])
-    la = lens.agg(F.sum("sl").cast("long").alias("sys_len"), F.sum("rl").cast("long").alias("ref_len"),
-                  F.count(F.lit(1)).cast("long").alias("rows"))
-    # Both sides are single-row aggregates: a one-row-by-one-row join on a constant key.
-    return agg.withColumn("_k", F.lit(1)).join(la.withColumn("_k", F.lit(1)), "_k").drop("_k")
+                      for n in range(1, MAX_ORDER + 1)],
+                    # tokens are 1-grams, so the lengths come from the same aggregate
+                    F.sum(F.when(F.col("n") == 1, F.col("ch")).otherwise(0)).cast("long").alias("sys_len"),
+                    F.sum(F.when(F.col("n") == 1, F.col("cr")).otherwise(0)).cast("long").alias("ref_len"),
+                    F.count(F.lit(1)).cast("long").alias("groups"))
+    return agg
 
 
 def bleu_from_stats(stats: DataFrame) -> DataFrame:
@@ -100,7 +104,7 @@ def bleu_from_stats(stats: DataFrame) -> DataFrame:
     logs = [F.when(p == 0.0, F.lit(-9999999999.0)).otherwise(F.log(p)) for p in precisions]
     mean_log = sum(logs[1:], logs[0]) / F.lit(float(MAX_ORDER))
     any_match = sum(c[1:], c[0]) > 0
-    score = F.when(F.col("rows") == 0, F.lit(None).cast("double")).when(
+    score = F.when(F.col("groups") == 0, F.lit(None).cast("double")).when(
         ~any_match, F.lit(0.0)).otherwise(bp * F.exp(mean_log))
     return stats.select("*", score.alias("bleu"), bp.alias("bp"),
                         *[p.alias(f"p{n + 1}") for n, p in enumerate(precisions)])

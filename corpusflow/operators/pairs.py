@@ -21,18 +21,18 @@ from pyspark.sql import types as T
 DEFAULT_PREFIX = "translate English to Bengali: "
 
 
-def pair_layout(schema: T.StructType, src_lang: str, tgt_lang: str) -> str:
-    names = set(schema.fieldNames())
-    if "translation" in names:
-        return "translation"
-    if src_lang in names and tgt_lang in names:
-        return "flat_lang_cols"
-    if "src" in names and "tgt" in names:
-        return "src_tgt_cols"
-    raise ValueError(
-        "Unsupported dataset schema for parallel cleaning. Expected `translation` "
-        f"or flat `{src_lang}`/`{tgt_lang}` (or `src`/`tgt`). "
-        f"Got keys: {sorted(names)}")
+def pair_columns(schema: T.StructType, src_lang: str, tgt_lang: str) -> tuple[Column, Column, Column]:
+    """(source, target, valid) of the first accepted layout that ``schema`` has;
+    a row is invalid if its ``translation`` value itself is null."""
+    have = schema.fieldNames()
+    if "translation" in have:
+        value, kind = F.col("translation"), schema["translation"].dataType
+        return _side(value, kind, src_lang), _side(value, kind, tgt_lang), value.isNotNull()
+    for s, t in ((src_lang, tgt_lang), ("src", "tgt")):
+        if s in have and t in have:
+            return F.col(s), F.col(t), F.lit(True)
+    raise ValueError(f"no pair of texts among the columns {', '.join(sorted(have))}: neither `translation` "
+                     f"nor `{src_lang}` and `{tgt_lang}` nor `src` and `tgt`")
 
 
 def _side(tr: Column, dtype: T.DataType, lang: str) -> Column:
@@ -50,16 +50,7 @@ def resolve_pairs(df: DataFrame, src_lang: str, tgt_lang: str,
                   valid_out: str = "_valid") -> DataFrame:
     """B1 + B3: add raw ``src_out``/``tgt_out`` (null side -> '') and
     ``valid_out`` (false when the ``translation`` value itself is null)."""
-    layout = pair_layout(df.schema, src_lang, tgt_lang)
-    if layout == "translation":
-        dtype = df.schema["translation"].dataType
-        tr = F.col("translation")
-        s, t = _side(tr, dtype, src_lang), _side(tr, dtype, tgt_lang)
-        valid = tr.isNotNull()
-    elif layout == "flat_lang_cols":
-        s, t, valid = F.col(src_lang), F.col(tgt_lang), F.lit(True)
-    else:
-        s, t, valid = F.col("src"), F.col("tgt"), F.lit(True)
+    s, t, valid = pair_columns(df.schema, src_lang, tgt_lang)
     return (df.withColumn(src_out, F.coalesce(s.cast("string"), F.lit("")))
               .withColumn(tgt_out, F.coalesce(t.cast("string"), F.lit("")))
               .withColumn(valid_out, valid))
@@ -67,10 +58,9 @@ def resolve_pairs(df: DataFrame, src_lang: str, tgt_lang: str,
 
 def pairs_from_translation(df: DataFrame, src_lang: str, tgt_lang: str) -> DataFrame:
     """Flatten any accepted layout to ``<src_lang>``, ``<tgt_lang>`` columns (B1+B3)."""
-    layout = pair_layout(df.schema, src_lang, tgt_lang)
-    keep = [c for c in df.columns
-            if c not in ("translation",) and not (layout == "flat_lang_cols" and c in (src_lang, tgt_lang))
-            and not (layout == "src_tgt_cols" and c in ("src", "tgt"))]
+    layouts = [("translation",), (src_lang, tgt_lang), ("src", "tgt")]
+    used = next((x for x in layouts if set(x) <= set(df.columns)), ())
+    keep = [c for c in df.columns if c not in used and c != "translation"]
     r = resolve_pairs(df, src_lang, tgt_lang)
     return r.select(*keep, F.col("_src").alias(src_lang), F.col("_tgt").alias(tgt_lang),
                     F.col("_valid").alias("valid"))

@@ -24,10 +24,10 @@ HASH_BITS = 60
 LEVEL_BITS = 15
 
 
-def head_n(df: DataFrame, n: int, order_cols: Sequence[str] = ("row_id",)) -> DataFrame:
+def head_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("row_id",)) -> DataFrame:
     """K1: first ``n`` rows in corpus order (TakeOrdered: top-n per partition,
-    then a merge of n rows per partition). ``n`` falsy means all rows."""
-    if not n:
+    then a merge of n rows per partition). None means all rows, 0 none."""
+    if n is None:
         return df
     return df.orderBy(*order_cols).limit(n)
 
@@ -86,6 +86,8 @@ def train_val_split(df: DataFrame, fraction: float = 0.01, seed: int = 42,
     k = math.ceil(n * fraction)
     if k == 0:
         return df.withColumn(split_col, F.lit("train"))
+    if k == n:
+        raise ValueError(f"{n} row(s) and a fraction of {fraction} leave no training rows")
     hk, rk = _kth(keyed, k)
     val = (h < F.lit(hk)) | ((h == F.lit(hk)) & (F.col(row_id) <= F.lit(rk)))
     return df.withColumn(split_col, F.when(val, "validation").otherwise("train"))

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_text
 from corpusflow.operators.dedup import first_per_key
 from corpusflow.operators.filters import MIN_MONO_CHARS, mono_length_ok
 from corpusflow.operators.langid import THRESHOLD, strict_keep
+from corpusflow.sources.readers import read_snapshot, write_snapshot
 
 
 def _cleaned(df: DataFrame, lang: str | None, text_col: str, whitelist: bool,
@@ -58,45 +59,32 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
     count and the first row's order key and label - the text itself only when
     a text-based identifier needs it."""
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
-    if (lid is None or not getattr(lid, "text_only", False)) and len(order_cols) == 1:
-        # Fixed-width buffers only (count, min_by(verdict, order)), so Spark
-        # can hash-aggregate instead of sorting: the label verdict is a per-row
-        # column, judged before grouping and taken from the first row.
-        ok_row = (strict_keep(lid.label_col, F.col(lid.score_col) if lid.score_col else F.lit(1.0),
-                              lang, threshold) if lid is not None else F.lit(True))
-        rows = cleaned.select(F.when(F.col("_ok_len"), F.md5(F.col(text_col))).alias("_h"),
-                              F.col(order_cols[0]).alias("_o"),
-                              F.coalesce(ok_row, F.lit(False)).cast("int").alias("_v"))
-        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"),
-                                          F.min_by("_v", "_o").alias("_v"))
-        short, verdict = F.col("_h").isNull(), F.col("_v") == 1
-        return per_hash.agg(
-            F.sum("_rows").cast("long").alias("total"),
-            F.coalesce(F.sum(F.when(short, F.col("_rows"))), F.lit(0)).cast("long").alias("short"),
-            F.coalesce(F.sum(F.when(~short, F.col("_rows") - 1)), F.lit(0)).cast("long").alias("dup"),
-            F.coalesce(F.sum(F.when(~short & ~verdict, 1)), F.lit(0)).cast("long").alias("lang"),
-            F.coalesce(F.sum(F.when(~short & verdict, 1)), F.lit(0)).cast("long").alias("kept"))
-    keep_cols = list(order_cols)
-    if lid is not None and getattr(lid, "text_only", False):
-        keep_cols.append(text_col)
-    elif lid is not None:
-        keep_cols += [lid.label_col] + ([lid.score_col] if lid.score_col else [])
-    keep_cols = list(dict.fromkeys(keep_cols))
-    rows = cleaned.select(F.when(F.col("_ok_len"), F.md5(F.col(text_col))).alias("_h"), *keep_cols)
-    per_hash = rows.groupBy("_h").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min(F.struct(*[F.col(c) for c in keep_cols])).alias("_first"))
-    firsts = per_hash.select("_h", "_rows", *[F.col(f"_first.{c}").alias(c) for c in keep_cols])
-    if lid is not None:
-        firsts = lid.annotate(firsts, text_col, ["_h"], prefix="_lid")
-        ok = strict_keep("_lid_label", "_lid_score", lang, threshold)
+    rows = cleaned.withColumn("_h", F.when(F.col("_ok_len"), F.md5(F.col(text_col))))
+    order = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
+    if getattr(lid, "text_only", False):
+        # the identifier works on texts: score the first row of each hash
+        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"), F.first(text_col).alias(text_col))
+        per_hash = lid.annotate(per_hash, text_col, ["_h"], prefix="_lid").withColumn(
+            "_v", strict_keep("_lid_label", "_lid_score", lang, threshold))
     else:
-        ok = F.lit(True)
-    short = F.col("_h").isNull()
-    verdict = F.coalesce(ok, F.lit(False))
-    return firsts.agg(
-        F.sum("_rows").cast("long").alias("total"),
-        F.coalesce(F.sum(F.when(short, F.col("_rows"))), F.lit(0)).cast("long").alias("short"),
-        F.coalesce(F.sum(F.when(~short, F.col("_rows") - 1)), F.lit(0)).cast("long").alias("dup"),
-        F.coalesce(F.sum(F.when(~short & ~verdict, 1)), F.lit(0)).cast("long").alias("lang"),
-        F.coalesce(F.sum(F.when(~short & verdict, 1)), F.lit(0)).cast("long").alias("kept"))
+        # the verdict is a column of the row, judged before grouping and taken from the
+        # first row: fixed-width buffers only, so Spark can hash-aggregate
+        if lid is None:
+            rows = rows.withColumn("_v", F.lit(True))
+        else:
+            rows = lid.annotate(rows, text_col, list(order_cols), prefix="_lid").withColumn(
+                "_v", strict_keep("_lid_label", "_lid_score", lang, threshold))
+        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"),
+                                          F.min_by(F.coalesce("_v", F.lit(False)), order).alias("_v"))
+    short, verdict = F.col("_h").isNull(), F.coalesce("_v", F.lit(False))
+    total = lambda when, n, name: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("long").alias(name)
+    return per_hash.agg(F.sum("_rows").cast("long").alias("total"), total(short, F.col("_rows"), "short"),
+                        total(~short, F.col("_rows") - 1, "dup"), total(~short & ~verdict, 1, "lang"),
+                        total(~short & verdict, 1, "kept"))
+
+
+def clean_snapshot(spark: SparkSession, source: str, target: str, lang: str, **options) -> dict[str, int]:
+    """C1 from snapshot to snapshot: returns the row counts before and after."""
+    raw = read_snapshot(spark, source)
+    write_snapshot(clean_monolingual(raw, lang, **options), target)
+    return {"before": raw.count(), "after": read_snapshot(spark, target).count()}

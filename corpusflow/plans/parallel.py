@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_text, count_numbers, word_count
@@ -24,6 +24,7 @@ from corpusflow.operators.filters import (MAX_RATIO, MAX_WORDS, MIN_WORDS, pair_
                                           pair_ratio_ok)
 from corpusflow.operators.langid import THRESHOLD, LabelColumnLid, lenient_reject
 from corpusflow.operators.pairs import resolve_pairs, restore_structure
+from corpusflow.sources.readers import read_snapshot, write_snapshot
 from corpusflow.sources.shards import expand_jsonl
 
 REASONS = ("invalid", "empty", "dup", "length", "ratio", "lang", "numbers")
@@ -57,8 +58,18 @@ def _lid_reject(src_lang: str, tgt_lang: str, threshold: float):
             | lenient_reject("_lt_label", "_lt_score", tgt_lang, threshold))
 
 
+def _order(df: DataFrame, order_cols: Sequence[str] | None) -> list[str]:
+    """The order columns given, or by default those of the input: ``row_id``, and for
+    packed shards the shard (its ``row_id``, or else key) with ``line_no``."""
+    if order_cols is not None:
+        return list(order_cols)
+    if "jsonl" in df.columns:
+        return ["row_id" if "row_id" in df.columns else "__key__", "line_no"]
+    return ["row_id"]
+
+
 def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
-                   order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
+                   order_cols: Sequence[str] | None = None, whitelist: bool = True,
                    min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
                    max_ratio: float = MAX_RATIO, threshold: float = THRESHOLD,
                    expect: tuple[str, str] | None = None) -> DataFrame:
@@ -70,6 +81,7 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
         src_lang_lid, tgt_lang_lid = expect
     else:
         src_lang_lid, tgt_lang_lid = src_lang, tgt_lang
+    order_cols = _order(df, order_cols)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     out_cols = [c for c in base.columns if c not in _INTERNAL and c != "translation"]
     ok = base.where(F.col("_reason0").isNull() & (count_numbers("_s") == count_numbers("_t")))
@@ -88,7 +100,7 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
 
 
 def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
-                          order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
+                          order_cols: Sequence[str] | None = None, whitelist: bool = True,
                           min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
                           max_ratio: float = MAX_RATIO,
                           threshold: float = THRESHOLD,
@@ -105,6 +117,7 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     hash, so the first accepted order key per hash (partial aggregate) is
     joined back on the narrow rows (AQE splits a hot hash)."""
     src_lid, tgt_lid = expect or (src_lang, tgt_lang)
+    order_cols = _order(df, order_cols)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     base = base.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
     if lid is None:
@@ -152,14 +165,23 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
         F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
          .when(F.col("_lid_bad"), "lang")
          .when(count_numbers("_s") != count_numbers("_t"), "numbers")).drop("_s", "_t")
+    # empty and invalid pairs share one hash and can't be duplicates: they don't join
+    early = F.coalesce(F.col("_reason1").isin("invalid", "empty"), F.lit(False))
     first_ok = rows.where(F.col("_reason1").isNull()).groupBy("_h").agg(F.min("_o").alias("_first"))
-    joined = rows.join(first_ok, "_h", "left")
-    early = F.col("_reason1").isin("invalid", "empty")
-    reason = (F.when(early, F.col("_reason1"))
-               .when(F.col("_first").isNotNull() & (F.col("_o") > F.col("_first")), "dup")
+    joined = rows.where(~early).join(first_ok, "_h", "left").select("_o", "_first", "_reason1").unionByName(
+        rows.where(early).select("_o", F.lit(None).cast(rows.schema["_o"].dataType).alias("_first"), "_reason1"))
+    reason = (F.when(F.col("_first").isNotNull() & (F.col("_o") > F.col("_first")), "dup")
                .when(F.col("_reason1").isNull(), "kept")
                .otherwise(F.col("_reason1")))
     r = joined.select(reason.alias("reason"))
     return r.agg(F.count(F.lit(1)).alias("total"),
                  *[F.sum(F.when(F.col("reason") == x, 1).otherwise(0)).cast("long").alias(x)
                    for x in REASONS + ("kept",)])
+
+
+def clean_pairs_snapshot(spark: SparkSession, source: str, target: str, src_lang: str, tgt_lang: str,
+                         **options) -> dict[str, int]:
+    """C2 from snapshot to snapshot: returns the row counts before and after."""
+    raw = read_snapshot(spark, source)
+    write_snapshot(clean_parallel(raw, src_lang, tgt_lang, **options), target)
+    return {"before": raw.count(), "after": read_snapshot(spark, target).count()}

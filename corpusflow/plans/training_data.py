@@ -17,6 +17,7 @@ from corpusflow.operators.examples import (MASK_PROB, MAX_LENGTH, denoising_exam
 from corpusflow.operators.metrics import corpus_bleu
 from corpusflow.operators.pairs import DEFAULT_PREFIX, resolve_pairs, union_corpora, with_prefix
 from corpusflow.operators.sample import choose_eval, head_n
+from corpusflow.session import materialize
 
 
 def train_tokenizer(corpora: Sequence[tuple[str, DataFrame]], vocab_size: int = 32000,
@@ -32,7 +33,8 @@ def build_denoising_examples(corpora: Sequence[tuple[str, DataFrame]], model: Bp
     sp = require_specials(model, ("[PAD]", "[SEP]", "[MASK]"))
     u = union_corpora(corpora)
     enc = encode(u, "text", model, ["corpus_no", "row_id"])
-    keyed = enc.withColumn("_rid", F.col("corpus_no").cast("long") * F.lit(1 << 40) + F.col("row_id"))
+    # the noise key is both fields, so it is unique whatever the row ids are
+    keyed = enc.withColumn("_rid", F.concat_ws(":", "corpus_no", "row_id"))
     ex = denoising_examples(keyed, "ids", "_rid", eos_id=sp["[SEP]"], pad_id=sp["[PAD]"],
                             mask_id=sp["[MASK]"], max_length=max_length, p=mask_prob, seed=seed,
                             epoch=epoch, mask_eos=mask_eos)
@@ -49,15 +51,18 @@ def build_translation_examples(pairs: DataFrame, model: BpeModel, src_lang: str
     """(train, validation) example tables from a parallel corpus with
     ``row_id``: K3/K2 split -> K1 caps -> B7 prefix -> T8 both sides -> E6."""
     sp = require_specials(model)
+    if eval_pairs is None:  # the split reads its input several times
+        pairs = materialize(pairs, "translation-pairs")
     train, val = choose_eval(pairs, eval_pairs, val_size, seed)
 
     def build(df: DataFrame, cap: int | None) -> DataFrame:
-        df = head_n(df, cap or 0)
+        df = head_n(df, cap)
         r = resolve_pairs(df, src_lang, tgt_lang).select("row_id", "_src", "_tgt")
         r = r.withColumn("_src", with_prefix("_src", prefix))
-        s = encode(r, "_src", model, ["row_id"], "src_ids")
-        t = encode(r, "_tgt", model, ["row_id"], "tgt_ids")
-        return translation_examples(s.join(t, "row_id"), "src_ids", "tgt_ids",
+        # both sides in one narrow pass: no join, no shuffle
+        r = encode(r, "_src", model, ["row_id", "_tgt"], "src_ids")
+        r = encode(r, "_tgt", model, ["row_id", "src_ids"], "tgt_ids")
+        return translation_examples(r, "src_ids", "tgt_ids",
                                     eos_id=sp["[SEP]"], pad_id=sp["[PAD]"],
                                     max_input_length=max_input_length,
                                     max_target_length=max_target_length)
@@ -68,8 +73,7 @@ def build_translation_examples(pairs: DataFrame, model: BpeModel, src_lang: str
 def evaluate_pairs(scored: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
                    key_cols: list[str] | None = None, max_rows: int | None = None) -> DataFrame:
     """BLEU over (prediction, reference) rows; ``max_rows`` keeps the first
-    rows in order (the evaluation cap), None = all."""
+    rows in order (the evaluation cap): None = all, 0 = none, so no score."""
     key_cols = key_cols or ["row_id"]
-    if max_rows:
-        scored = head_n(scored, max_rows, key_cols)
+    scored = head_n(scored, max_rows, key_cols)
     return corpus_bleu(scored, pred_col, ref_col, key_cols)

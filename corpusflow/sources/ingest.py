@@ -1,17 +1,23 @@
 """Ingest a monolingual or parallel source into a snapshot.
 
 A source is any Spark file format (parquet, json, csv, text, orc). Rows get a
-stable ``row_id`` once, at ingest: an existing key column if given, otherwise
-``monotonically_increasing_id`` (increasing in scan order) - materialised by
-the write, so it never changes on recomputation. Errors raise.
+stable ``row_id`` once, at ingest: an existing key column if given, otherwise the
+row's place in the corpus, counted from 0 over the files in order of their paths.
+Errors raise.
+
+Spark packs file splits by size, so scan order isn't file order. A row's place is
+its place in its file (for Parquet the scan's own row index; for other formats its
+rank within its file block) plus the rows of all files (blocks) before. Only one
+count per file or block is summed up in order; the rows themselves aren't sorted,
+and the first n rows are a filter on ``row_id``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.operators.pairs import pair_layout
+from corpusflow.operators.pairs import pair_columns
 from corpusflow.operators.sample import head_n
 from corpusflow.session import shared_dir
 from corpusflow.sources.readers import snapshot_name, write_snapshot
@@ -25,12 +31,33 @@ def read_source(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.load(path)
 
 
-def with_row_id(df: DataFrame, id_col: str | None = None) -> DataFrame:
+def with_row_id(df: DataFrame, id_col: str | None = None, fmt: str = "parquet") -> DataFrame:
+    """``df``, as read from its files, with ``row_id``."""
     if "row_id" in df.columns:
         return df
     if id_col:
         return df.withColumn("row_id", F.col(id_col).cast("long"))
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+    columns = df.columns
+    place = [F.col("_metadata.file_path").alias("_f")]
+    if fmt == "parquet":
+        rows = df.select("*", *place, F.lit(0).cast("long").alias("_b"), F.col("_metadata.row_index").alias("_i"))
+    else:
+        rows = df.select("*", *place, F.col("_metadata.file_block_start").alias("_b"),
+                         F.monotonically_increasing_id().alias("_m"))
+        rank = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m"))
+        rows = rows.withColumn("_i", (rank - 1).cast("long")).drop("_m")
+    sizes = df.select(*place, (F.lit(0) if fmt == "parquet" else F.col("_metadata.file_block_start"))
+                      .cast("long").alias("_b")).groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per file or block
+    starts = sizes.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return rows.join(starts, ["_f", "_b"]).select(*columns, (F.col("_s") + F.col("_i")).alias("row_id"))
+
+
+def _first(df: DataFrame, max_samples: int | None, counted: bool) -> DataFrame:
+    """The first rows (0/None = all): by their number where it counts from 0."""
+    if not max_samples:
+        return df
+    return df.where(F.col("row_id") < max_samples) if counted else head_n(df, max_samples)
 
 
 def ingest(spark: SparkSession, source: str, dataset_name: str, config_name: str | None = None,
@@ -39,8 +66,8 @@ def ingest(spark: SparkSession, source: str, dataset_name: str, config_name: str
            options: dict | None = None) -> str:
     """S3: read ``source``, keep the first ``max_samples`` rows (0/None = all),
     write ``<output_dir>/<name>_<config>_<split>``; returns the path."""
-    df = with_row_id(read_source(spark, source, fmt, options), id_col)
-    df = head_n(df, max_samples or 0)
+    raw = read_source(spark, source, fmt, options)
+    df = _first(with_row_id(raw, id_col, fmt), max_samples, not id_col and "row_id" not in raw.columns)
     out = (output_dir or shared_dir(spark, "ingest")).rstrip("/")
     path = f"{out}/{snapshot_name(dataset_name, config_name, split)}"
     return write_snapshot(df, path)
@@ -52,11 +79,12 @@ def ingest_parallel(spark: SparkSession, source: str, dataset_name: str,
                     max_samples: int | None = None, id_col: str | None = None) -> str:
     """As :func:`ingest`, checking the pair layout on the schema first;
     the folder ends in ``_parallel``. An empty source raises."""
-    df = with_row_id(read_source(spark, source, fmt), id_col)
-    pair_layout(df.schema, src_lang, tgt_lang)
+    raw = read_source(spark, source, fmt)
+    df = with_row_id(raw, id_col, fmt)
+    pair_columns(df.schema, src_lang, tgt_lang)
     if df.isEmpty():
         raise ValueError(f"parallel source {source} is empty")
-    df = head_n(df, max_samples or 0)
+    df = _first(df, max_samples, not id_col and "row_id" not in raw.columns)
     out = (output_dir or shared_dir(spark, "ingest")).rstrip("/")
     path = f"{out}/{snapshot_name(dataset_name, config_name, parallel=True)}"
     return write_snapshot(df, path)

@@ -1,10 +1,9 @@
 """Snapshot read and write.
 
 A snapshot is a Parquet directory. Reads keep Catalyst's column pruning and
-filter pushdown; a scan that yields fewer splits than the cluster has cores
-(one large file with a single row group) is spread with a round-robin
-``repartition`` so the regex work is parallel - at scale files are many and
-the scan already has enough splits, so no shuffle is added there.
+filter pushdown and add nothing to the scan. Only on request (``spread``) is a
+scan with fewer splits than cores dealt out by a round-robin ``repartition``:
+that is for the test tables, one file of one row group each.
 """
 
 from __future__ import annotations
@@ -16,20 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when the input has too few splits."""
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session has no RDD API
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
 def read_snapshot(spark: SparkSession, path: str, columns: list[str] | None = None,
-                  parallel: bool = True) -> DataFrame:
-    """Read a Parquet snapshot (optionally only ``columns``)."""
+                  parallel: bool = False) -> DataFrame:
+    """Read a Parquet snapshot (optionally only ``columns``). ``parallel``
+    deals out the rows of too few splits, at the price of a shuffle."""
     df = spark.read.parquet(path)
     if columns:
         df = df.select(*columns)

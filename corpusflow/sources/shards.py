@@ -41,15 +41,19 @@ def expand_jsonl(df: DataFrame, src_lang: str, tgt_lang: str,
                  blob_col: str = "jsonl") -> DataFrame:
     """Rows with a ``translation`` struct<src_lang, tgt_lang> per valid line.
 
-    ``from_json`` is made as strict as Python's ``json.loads`` where it matters:
-    single quotes are refused and the whole line must be one ``{...}`` (Spark
-    would otherwise accept trailing junk). Non-string values become their JSON
-    text. Lineage columns (``__key__``, ``__url__``, ``line_no``) are kept."""
+    ``from_json`` ignores what follows a value, so a line is parsed twice: inside
+    an array, which must then have one element, and inside an object. Junk behind
+    the object breaks at least one of the two. Single quotes are refused.
+    Non-string values become their JSON text. Lineage columns (``__key__``, ``__url__``, ``line_no``) are kept."""
     schema = T.StructType([T.StructField(src_lang, T.StringType()),
                            T.StructField(tgt_lang, T.StringType())])
     lines = jsonl_lines(df, blob_col)
-    obj = F.from_json(F.col("line"), schema, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    parsed = lines.where(F.col("line").rlike("^\\{.*\\}$")).withColumn("_obj", obj)
+    options = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
+    one = F.from_json(F.concat(F.lit("["), "line", F.lit("]")), T.ArrayType(schema), options)
+    inner = F.from_json(F.concat(F.lit('{"o":'), "line", F.lit("}")),
+                        T.StructType([T.StructField("o", schema)]), options)
+    parsed = lines.where(F.col("line").rlike("(?s)^\\{.*\\}$")).where(F.size(one) == 1) \
+        .withColumn("_obj", inner.getField("o"))
     ok = parsed.where(F.col(f"_obj.`{src_lang}`").isNotNull() & F.col(f"_obj.`{tgt_lang}`").isNotNull())
     others = [c for c in lines.columns if c != "line"]
     return ok.select(*others, F.struct(F.col(f"_obj.`{src_lang}`").alias(src_lang),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as X
 from corpusflow.operators import bpe as B
 from corpusflow.operators.sample import train_val_split
-from test_text import py_clean, py_normalize
+from test_text import expected
 
 # Pool of characters that exercise every rule: all 29 whitespace characters,
 # URL starts, whitelist edges, Bengali letters/digits/danda, joiners,
@@ -24,7 +24,7 @@ def test_random_cleaning_matches_python(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for lang in ("en", "bn", None):
         out = df.select("i", X.clean_text("t", lang).alias("o")).collect()
-        bad = [(texts[r.i], r.o) for r in out if r.o != py_clean(py_normalize(texts[r.i]), lang)]
+        bad = [(texts[r.i], r.o) for r in out if r.o != expected(texts[r.i], lang)]
         assert not bad, (lang, bad[:3])
 
 

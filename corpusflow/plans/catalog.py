@@ -895,6 +895,30 @@ def q_translation_examples(spark, sf):
                                           for c in ("input_ids", "attention_mask", "labels")])
 
 
+@register("choose_eval", """
+SELECT 'train' AS split, doc_id AS row_id FROM documents
+UNION ALL SELECT 'validation', item_id FROM benchmark
+""")
+def q_choose_eval(spark, sf):
+    """K3: a given evaluation set replaces the split, so all other rows train."""
+    from corpusflow.operators.sample import choose_eval
+    docs = table(spark, sf, "documents", ["doc_id"]).withColumnRenamed("doc_id", "row_id")
+    bench = table(spark, sf, "benchmark", ["item_id"]).withColumnRenamed("item_id", "row_id")
+    train, val = choose_eval(docs, bench)
+    return train.select(F.lit("train").alias("split"), "row_id").unionByName(
+        val.select(F.lit("validation").alias("split"), "row_id"))
+
+
+@register("required_specials", f"""{_bpe_sql()}
+SELECT token, id FROM tok WHERE token IN ('[PAD]', '[SEP]', '[MASK]')
+""")
+def q_required_specials(spark, sf):
+    """The ids of the special tokens that the example builders need."""
+    from corpusflow.operators.examples import require_specials
+    ids = require_specials(_bpe(spark, sf), ("[PAD]", "[SEP]", "[MASK]"))
+    return _bpe(spark, sf).vocab_df(spark).where(F.col("id").isin(list(ids.values()))).select("token", "id")
+
+
 # ---------------------------------------------------------------- M1 BLEU
 _BLEU_COLS = ["bleu", "bp", "sys_len", "ref_len", "correct_1", "correct_2", "correct_3", "correct_4",
               "total_1", "total_2", "total_3", "total_4", "p1", "p2", "p3", "p4"]

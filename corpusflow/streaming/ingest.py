@@ -1,17 +1,20 @@
 """Bounded streaming ingest with Structured Streaming.
 
-``readStream`` over the source files -> optional ``row_id`` from a key ->
-``writeStream`` to a Parquet sink with ``Trigger.AvailableNow``: every file
-present at start is processed (in as many micro-batches as the rate limits
-give) and the query stops. The checkpoint lives in the shared folder, so a
-restarted job resumes where it stopped and never writes a file twice.
+``readStream`` over the source files -> ``row_id`` -> ``writeStream`` to a Parquet
+sink with ``Trigger.AvailableNow``: every file present at start is processed (in
+as many micro-batches as the rate limits give) and the query stops. The
+checkpoint lives in the shared folder, so a restarted job resumes where it
+stopped and never writes a file twice.
+
+``row_id`` comes from a key column. A Parquet source without one is numbered in
+order of arrival: batch after batch, and within a batch by file path and row. Such
+batches are written by ``foreachBatch`` to a folder each, which a repeated batch
+replaces, so its numbers start behind the rows of all folders before it.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.session import shared_dir
@@ -27,23 +30,26 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     sink = sink or shared_dir(spark, "stream-sink")
     checkpoint = checkpoint or shared_dir(spark, "stream-ckpt")
     reader = spark.readStream.format(fmt).schema(schema)
-    if os.path.isfile(source):
+    path = spark._jvm.org.apache.hadoop.fs.Path(source)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
         # The file source watches directories: watch the parent, admit one name.
-        reader = reader.option("pathGlobFilter", os.path.basename(source))
-        source = os.path.dirname(source)
+        reader = reader.option("pathGlobFilter", path.getName())
+        source = path.getParent().toString()
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream: DataFrame = reader.load(source)
     if id_col and "row_id" not in stream.columns:
         stream = stream.withColumn("row_id", F.col(id_col).cast("long"))
+    numbered = fmt == "parquet" and "row_id" not in stream.columns
+    if numbered:
+        stream = stream.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
     if max_samples:
         stream = stream.limit(max_samples)
-    q = (stream.writeStream.format("parquet")
-               .option("path", sink)
-               .option("checkpointLocation", checkpoint)
-               .outputMode("append")
-               .trigger(availableNow=True)
-               .start())
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
+    if numbered:
+        q = writer.foreachBatch(lambda batch, n: _write_numbered(batch, n, sink)).start()
+    else:
+        q = writer.format("parquet").option("path", sink).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -51,3 +57,17 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return sink
+
+
+def _write_numbered(batch: DataFrame, n: int, sink: str) -> None:
+    """Write batch ``n`` with row ids that follow those of the batches before."""
+    spark = batch.sparkSession
+    earlier = [f"{sink}/batch={k}" for k in range(n)]
+    done = spark.read.parquet(*earlier).count() if n else 0
+    columns = [c for c in batch.columns if c not in ("_f", "_i")]
+    # a row per file; a limit may leave gaps in a file's own row indexes, so rows count
+    files = batch.groupBy("_f").agg((F.max("_i") + 1).alias("_n"))
+    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    rows = batch.join(files, "_f").select(*columns, (F.lit(done) + F.col("_s") + F.col("_i")).alias("row_id"))
+    rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")

@@ -117,3 +117,25 @@ def test_snapshot_jobs_and_missing_data(spark, tmp_path):
     missing = inspect_path(spark, str(tmp_path / "none"), "none").collect()
     assert [(r.dataset, r.total, r.field) for r in missing] == [("none", None, "missing")]
     assert {r.field for r in inspect_path(spark, str(tmp_path / "raw"), "raw").collect()} == {"row_id", "text"}
+
+
+def test_stream_sink_feeds_the_cleaner(spark, tmp_path):
+    from corpusflow.streaming.ingest import stream_ingest
+    want = []
+    for k, n in enumerate((5, 60, 20)):
+        part = [f"text number {k} and {i}" for i in range(n)]
+        want += part
+        spark.createDataFrame([(x,) for x in part], "text string").coalesce(1).write.parquet(str(tmp_path / "made" / f"p{k}"))
+        (tmp_path / "source").mkdir(exist_ok=True)
+        made = next(f for f in (tmp_path / "made" / f"p{k}").iterdir() if f.name.startswith("part-"))
+        made.rename(tmp_path / "source" / f"f{k}.parquet")
+    for per in (None, 1):
+        sink = stream_ingest(spark, str(tmp_path / "source"), "text string", max_files_per_trigger=per)
+        rows = spark.read.parquet(sink)
+        got = sorted((r.row_id, r.text) for r in rows.collect())
+        assert [i for i, _ in got] == list(range(len(want))) and sorted(t for _, t in got) == sorted(want)
+        if per is None:
+            assert [t for _, t in got] == want
+        assert clean_monolingual(rows, "en").count() == len(want)
+    one = stream_ingest(spark, str(tmp_path / "source" / "f1.parquet"), "text string")
+    assert spark.read.parquet(one).count() == 60

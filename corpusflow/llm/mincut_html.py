@@ -51,6 +51,9 @@ BOILER_HINTS = frozenset(
     "notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search "
     "searchbox form share sharing social related recommended more-links pagination pager comment comments reply replies "
     "discussion disqus respond copyright legal skip hidden".split())
+HEADINGS = frozenset("header head masthead".split())
+READERS = frozenset("comment comments reply replies discussion disqus respond related recommended ad ads advert "
+                    "sponsored promo".split())
 CONTENT_HINTS = frozenset("article content main post entry story body text article-body post-content entry-content".split())
 #: An opening tag ends an open element of these first.
 CLOSES = {
@@ -79,6 +82,7 @@ class Element:
     tag: str
     parent: Element | None
     stated: int  # 1 content, -1 boilerplate, 0 nothing stated, by the nearest element that says
+    firm: bool  # boilerplate that an article inside can't overrule
     hints: tuple[int, int]
 
 
@@ -91,31 +95,39 @@ class Block:
 
 
 def _open(tag: str, attrs: str, parent: Element) -> Element:
-    stated, (bad, good) = parent.stated, parent.hints
-    names = set()
+    stated, firm, (bad, good) = parent.stated, parent.firm, parent.hints
+    whole, parts = set(), set()
     if attrs and len(attrs) > 4:
         for m in _NAMES.finditer(attrs):
             value = (m[1] or m[2] or m[3] or "").lower()
-            names.update(re.split(r"[\s_]+", value))
-            names.update(re.split(r"[\s_-]+", value))
-    if tag in CONTENT_TAGS:
-        stated = 1
+            whole.update(value.split())
+            parts.update(re.split(r"[\s_-]+", value))
+    # parts of names of outer layers, like "has-sidebar", often describe the page
+    exact, loose = whole & BOILER_HINTS, parts & BOILER_HINTS
+    if stated > 0:  # an article has headings of its own
+        exact, loose = exact - HEADINGS, loose - HEADINGS
+    if tag in ("html", "body"):
+        pass
+    elif tag in CONTENT_TAGS:
+        if exact & READERS:
+            stated, firm = -1, True
+        elif not (stated < 0 and firm):
+            stated, firm = 1, False
     elif tag in BOILER_TAGS and not (tag == "header" and stated > 0):
-        stated = -1
-    if names & BOILER_HINTS:
-        # a page's outermost layers are often called "has-sidebar" and the like
-        if tag not in ("html", "body"):
-            bad, stated = bad + 1, -1
-    elif names & CONTENT_HINTS:
+        stated, firm, bad = -1, True, bad + bool(exact or loose)
+    elif exact or loose:
+        firm = firm and stated < 0 or bool(exact or loose & READERS)
+        stated, bad = -1, bad + 1
+    elif whole & CONTENT_HINTS or parts & CONTENT_HINTS:
         good += 1
     if attrs and stated >= 0 and tag not in ("html", "body") and _HIDDEN.search(attrs):
-        stated = -1
-    return Element(tag, parent, stated, (bad, good))
+        stated, firm = -1, True
+    return Element(tag, parent, stated, firm, (bad, good))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: white space inside is one space, none is empty."""
-    root = Element("", None, 0, (0, 0))
+    root = Element("", None, 0, False, (0, 0))
     at, out, buffer, linked, inner, links, stack = root, [], [], 0, "", 0, []
 
     def flush():

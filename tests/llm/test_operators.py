@@ -536,6 +536,17 @@ def test_page_text():
     assert "First para, with bold words." in text and "cookies" not in text and "disagree" not in text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="has-sidebar"><article class="post has-comments"><p>The story, told here.</p></article></div>', "The story, told here."),
+    ('<article><div class="article-header"><h1>Title</h1></div><p>One, two.</p></article><div class="comments">'
+     '<article class="comment"><p>I think so, too.</p></article></div>', "Title\nOne, two."),
+    ('<main><p>Kept, all of it.</p><article class="comment">Mine, not yours.</article></main>', "Kept, all of it."),
+    ('<aside><article><p>Read this other story, please.</p></article></aside><main><p>Main, and long.</p></main>', "Main, and long."),
+])
+def test_stated_markup(page, text):
+    assert mincut_html.main_text(page) == text
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>only this, and nothing else."), (4, "u", "plain words, no tags at all."), (5, "u", PAGE),
             (5, "u", PAGE), (6, "u", "<!-- never closed <p>x</p>"), (7, "u", '<div "' * 3000), (8, "u", "<div>" * 3000 + "deep, and alone.")]

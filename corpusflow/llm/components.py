@@ -19,18 +19,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and hash sum: equal only for the same set of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """``node, component`` of the nodes of ``edges(u, v)``; a component's name is its
     least node. Every round is written to the shared folder; rounds grow with the
     logarithm of the longest chain, and no list of nodes reaches the driver."""
     edges = materialize(edges.select("u", "v").where("u <> v").distinct(), name)
-    while True:
-        after = materialize(_star(_star(edges, True), False), name)
-        same = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        last = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        edges = after
-        if tuple(same) == tuple(last):
-            break
+    last, same = None, _mark(edges)
+    while same != last:
+        edges = materialize(_star(_star(edges, True), False), name)
+        last, same = same, _mark(edges)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         roots.select("node", F.col("node").alias("component")))

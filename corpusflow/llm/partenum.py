@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.bpe_dp import slices
 from corpusflow.llm.common import narrow, whole
 from corpusflow.llm.components import components
-from corpusflow.session import materialize
+from corpusflow.session import discard, materialize
 
 REMEMBERED = 600_000
 SKETCH = 8  # longs of the parity sketch
@@ -217,7 +217,9 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: sets link when
     100 * intersection >= percent * union."""
-    signed = materialize(sign(docs, words, percent, id_col, text_col), "partenum-sets")
+    written = materialize(sign(docs, words, percent, id_col, text_col), "partenum-sets")
+    signed = materialize(written.select("doc_id", "n_shingles", "f0", "f1", *FIELDS, (F.size("sigs") > 0).alias("signs")),
+                         "partenum-documents")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # classes of equal sets; row (id, set) -> class, the least id with that set
     classes = full.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
@@ -225,14 +227,20 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
     # should one id stand for several sets, the least of them has its links
     main = classes.groupBy("rep").agg(F.min(F.struct("f0", "f1")).alias("f")).select("rep", "f.f0", "f.f1")
 
-    rows = full.select("doc_id", "f0", "f1", F.explode("sigs").alias("sig"))
+    # a class may have signed in several tasks: all signers but one of each go
+    signs = full.where("signs").select("doc_id", "f0", "f1")
+    one = signs.groupBy("f0", "f1").agg(F.min("doc_id").alias("one"))
+    copies = signs.join(one, ["f0", "f1"]).where("doc_id <> one").select("doc_id", "f0", "f1").distinct()
+    copies = narrow(materialize(copies, "partenum-copies"), 40)
+    signers = written.where("doc_id is not null and size(sigs) > 0").join(copies, ["doc_id", "f0", "f1"], "left_anti")
+    rows = signers.select("doc_id", "f0", "f1", F.explode("sigs").alias("sig"))
     shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = materialize(shared.select("sig"), "partenum-shared")
-    # a set signs once per task at most, so this has no copies worth mentioning
     members = rows.join(narrow(shared, 16), "sig").join(main, ["f0", "f1"]).select("sig", "rep", "f0", "f1").distinct()
     members = materialize(members, "partenum-members")
+    discard(written)  # the signatures, by far the largest table, have done their work
     groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    info = full.where("size(sigs) > 0").select("f0", "f1", "n_shingles", *FIELDS).dropDuplicates(["f0", "f1"])
+    info = full.where("signs").select("f0", "f1", "n_shingles", *FIELDS).dropDuplicates(["f0", "f1"])
     info = members.select("rep", "f0", "f1").distinct().join(info, ["f0", "f1"])
     info = materialize(info, "partenum-info")
     sets = _features(docs, info.select("rep").distinct(), words, id_col, text_col)

@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = ["clean_mono", "clean_report_mono", "clean_pairs", "clean_report_pairs",
             "lid_predict", "clean_mono_lid", "word_counts", "encode_chars",
-            "corpus_bleu", "train_val_split"]
+            "corpus_bleu", "train_val_split", "clean_pairs_lid", "corpus_bleu_lines"]
 
 
 def main() -> None:

@@ -51,6 +51,8 @@ SPECIALS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 PRETOKEN = "(?U)\\w+|[^\\w\\s]+"
 UNK, EOS, PAD, MASK = "[UNK]", "[SEP]", "[PAD]", "[MASK]"
 
+# Distinct words in a task of the merge loop.
+WORDS_PER_TASK = 50_000
 # Words that a worker remembers while it encodes, before it starts anew.
 REMEMBERED_WORDS = 500_000
 
@@ -262,7 +264,8 @@ def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
         return BpeModel(tokens, merges, rounds=0, tok2id=tok2id)
     alpha = spark.createDataFrame([(t, i) for t, i in tok2id.items() if t not in SPECIALS],
                                   "ch string, id int")
-    parts = loop_partitions or spark.sparkContext.defaultParallelism
+    # partitions by the number of distinct words: a round over few words is one task
+    parts = loop_partitions or -(-max(1, wc.count()) // WORDS_PER_TASK)
     exploded = wc.select("word", "count", F.posexplode(chars("word")).alias("pos", "ch"))
     words = (exploded.join(F.broadcast(alpha), "ch")
                      .groupBy("word", "count")

@@ -48,3 +48,14 @@ def narrow(rows: DataFrame, row_bytes: int) -> DataFrame:
 def with_labels(docs: DataFrame, labels: DataFrame, row_bytes: int = 32) -> DataFrame:
     """Inner join on ``_id`` of texts with a table of labels, one per id."""
     return docs.join(narrow(labels.where("_id is not null").dropDuplicates(["_id"]), row_bytes), "_id")
+
+
+def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """At most ``n`` rows, those of the least hash of ``columns``, equal ones once. The
+    rows are counted and thinned to about 2 * n by their hash where they are, so no
+    task ever gathers more, however many partitions there are."""
+    total = df.count()
+    df = df.withColumn("_h", F.xxhash64(*columns))
+    if total > 4 * n:
+        df = df.where(F.col("_h") < int(-(1 << 63) + (1 << 64) * (2 * n / total)))
+    return df.dropDuplicates(["_h"]).orderBy("_h").limit(n).drop("_h")

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.boosting import sigmoid
 from corpusflow.llm.bpe_dp import slices
+from corpusflow.llm.common import hash_sample
 
 # Tags by what they do, and hints in class and id names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr !doctype".split())
@@ -319,7 +320,7 @@ def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
 def train(pages: DataFrame, html_col: str = "html", sample: int = 1500) -> np.ndarray:
     """Weights from blocks whose markup states a label, on ``sample`` pages."""
     some = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("_html")).where("_html <> ''")
-    some = some.orderBy(F.xxhash64("_html"), "_html").limit(sample)
+    some = hash_sample(some, sample, "_html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

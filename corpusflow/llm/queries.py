@@ -119,7 +119,7 @@ with t as (
   select *, (case when n_words < 20 then 1 else 0 end)
     + (case when 100 * n_repeat_words > 30 * n_words then 2 else 0 end)
     + (case when 100 * n_symbols > 20 * n_words then 4 else 0 end)
-    + (case when 100 * n_dup_lines > 30 * n_lines then 8 else 0 end)
+    + (case when n_dup_lines > 3 and 100 * n_dup_lines > 50 * n_lines then 8 else 0 end)
     + (case when word_chars < 2 * n_words or word_chars > 15 * n_words then 16 else 0 end)
     + (case when 100 * n_exclaims > 30 * n_words then 32 else 0 end) as fail_bits
   from m

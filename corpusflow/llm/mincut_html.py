@@ -51,7 +51,7 @@ BOILER_HINTS = frozenset(
     "menu submenu breadcrumb breadcrumbs sidebar side rail widget footer foot header masthead topbar toolbar notice "
     "notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search "
     "searchbox form share sharing social related recommended more-links pagination pager comment comments reply replies "
-    "discussion disqus respond copyright legal skip hidden".split())
+    "discussion disqus respond copyright legal skip".split())
 HEADINGS = frozenset("header head masthead".split())
 READERS = frozenset("comment comments reply replies discussion disqus respond related recommended ad ads advert "
                     "sponsored promo".split())
@@ -73,8 +73,8 @@ _TOKEN = re.compile(
     rf"(?:{_ATTRS})(?:.*?</(?P=raw)\s*>|.*)|<[!?][^<>]*+>"
     rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attrs>{_ATTRS})"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*\"?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 _SPACE = re.compile(r"\s+")
 
 
@@ -95,14 +95,32 @@ class Block:
     inner: str  # tag of the first inline element, or ""
 
 
+def attributes(attrs: str) -> dict[str, str]:
+    """Values in lower case by name; of equal names the first one counts."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        value = m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), (html.unescape(value) if "&" in value else value).lower())
+    return found
+
+
+def is_hidden(found: dict[str, str]) -> bool:
+    """By a hidden attribute, aria-hidden, or the last display or visibility of the style."""
+    if found.get("hidden", "false").strip() != "false" or found.get("aria-hidden", "").strip() == "true":
+        return True
+    style = dict(_SHOWN.findall(found.get("style", "")))
+    return style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 def _open(tag: str, attrs: str, parent: Element) -> Element:
     stated, firm, (bad, good) = parent.stated, parent.firm, parent.hints
-    whole, parts = set(), set()
+    whole, parts, found = set(), set(), {}
     if attrs and len(attrs) > 4:
-        for m in _NAMES.finditer(attrs):
-            value = (m[1] or m[2] or m[3] or "").lower()
-            whole.update(value.split())
-            parts.update(re.split(r"[\s_-]+", value))
+        found = attributes(attrs)
+        for name in ("class", "id", "role"):
+            if value := found.get(name):
+                whole.update(value.split())
+                parts.update(re.split(r"[\s_-]+", value))
     # parts of names of outer layers, like "has-sidebar", often describe the page
     exact, loose = whole & BOILER_HINTS, parts & BOILER_HINTS
     if stated > 0:  # an article has headings of its own
@@ -121,7 +139,7 @@ def _open(tag: str, attrs: str, parent: Element) -> Element:
         stated, bad = -1, bad + 1
     elif whole & CONTENT_HINTS or parts & CONTENT_HINTS:
         good += 1
-    if attrs and stated >= 0 and tag not in ("html", "body") and _HIDDEN.search(attrs):
+    if found and stated >= 0 and tag not in ("html", "body") and is_hidden(found):
         stated, firm = -1, True
     return Element(tag, parent, stated, firm, (bad, good))
 

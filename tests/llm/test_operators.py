@@ -547,6 +547,19 @@ def test_stated_markup(page, text):
     assert mincut_html.main_text(page) == text
 
 
+@pytest.mark.parametrize("attrs, hidden", [
+    ('style="overflow:hidden"', 0), ('class="overflow-hidden"', 0), ('class="md:hidden"', 0), ('title="The hidden truth"', 0),
+    ("data-state=hidden", 0), ('aria-label="aria-hidden=true"', 0), ('hidden="false"', 0), ('aria-hidden="false"', 0),
+    ('style="display:none;display:block"', 0), ('class="hidden-xs" title="a > b, display:none"', 0),
+    ("hidden", 1), ('hidden=""', 1), ("HIDDEN", 1), ('aria-hidden="true"', 1), ("aria-hidden=true", 1), ('class="x" hidden', 1),
+    ('style="color:red; Display : none !important"', 1), ("style='visibility:hidden'", 1)])
+def test_only_hidden_elements_are_hidden(attrs, hidden):
+    story = "The story, told here at some length, with commas."
+    page = f"<main><p>Before it, all is said.</p><{{}} {attrs}><p>{story}</p></{{}}></main>"
+    for tag in ("div", "article"):
+        assert (story in mincut_html.main_text(page.format(tag, tag))) == (not hidden)
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>only this, and nothing else."), (4, "u", "plain words, no tags at all."), (5, "u", PAGE),
             (5, "u", PAGE), (6, "u", "<!-- never closed <p>x</p>"), (7, "u", '<div "' * 3000), (8, "u", "<div>" * 3000 + "deep, and alone.")]

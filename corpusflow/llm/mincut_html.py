@@ -17,7 +17,7 @@ most four edges per block.
 
 Defined cases: a null or empty html has an empty text; a page of one plain text is
 its own block; unclosed tags and comments end with the page or the next tag that
-excludes them; null ids and urls stay null; rows that repeat are judged one by one;
+excludes them; custom elements like svg-icon are no raw text, and a self-closed svg is empty; null ids and urls stay null; rows that repeat are judged one by one;
 other columns are not read; an empty table gives no rows; without pages to learn
 from, fixed weights are used.
 """
@@ -69,7 +69,8 @@ BLOCK_STARTS_END_P = frozenset(
 # a tag beyond that ends at its first ">".
 _ATTRS = r"(?:[^>\"'<]++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,200}+>|[^<>]*+>"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<(?P<raw>script|style|template|noscript|textarea|title|iframe|svg|select)\b"
+    rf"<!--(?:.*?-->|.*)|<svg(?=[\s/])(?:{_ATTRS})(?<=/>)"
+    r"|<(?P<raw>script|style|template|noscript|textarea|title|iframe|svg|select)(?=[\s/>])"
     rf"(?:{_ATTRS})(?:.*?</(?P=raw)\s*>|.*)|<[!?][^<>]*+>"
     rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attrs>{_ATTRS})"
     r"|(?P<text>[^<]+|<)", re.S | re.I)

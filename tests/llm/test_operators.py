@@ -560,6 +560,14 @@ def test_only_hidden_elements_are_hidden(attrs, hidden):
         assert (story in mincut_html.main_text(page.format(tag, tag))) == (not hidden)
 
 
+@pytest.mark.parametrize("middle", [
+    "<svg-icon></svg-icon>", "<SELECT-menu x='1'><b></b></select-menu>", "<title-bar></title-bar>", "<template-x/>",
+    '<svg class="i"/>', "<svg/>", '<svg viewBox="0 0 1 1" />', "<svg><title>no</title><svg-x></svg-x></svg>", "<script\n>no</script>",
+    '<script src="a/">no</script>', "<select><option>no</select >"])
+def test_only_raw_elements_are_raw(middle):
+    assert [b.text for b in mincut_html.blocks(f"<p>one</p>{middle}<p>two</p>")] == ["one", "two"]
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>only this, and nothing else."), (4, "u", "plain words, no tags at all."), (5, "u", PAGE),
             (5, "u", PAGE), (6, "u", "<!-- never closed <p>x</p>"), (7, "u", '<div "' * 3000), (8, "u", "<div>" * 3000 + "deep, and alone.")]

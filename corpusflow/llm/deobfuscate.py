@@ -5,8 +5,11 @@ repeating them. A token that shows any of this becomes a character lattice: each
 run of equal characters offers the letters it may stand for, with a channel cost
 each (one or two letters for a run, the letters that a digit or sign resembles,
 nothing for a separator). A Viterbi search over states of two letters finds the
-cheapest path under channel cost plus a character trigram model. Restored words
-are then scored.
+cheapest path under channel cost plus a character trigram model. Every token with a
+repeated letter, a digit or a sign goes through it, numbers too; a token of letters
+counts as it stands besides. In a run of spaced-out characters each gap may end a
+word, and the lexicon is also asked at every start within the run. Restored words are
+then scored.
 
 * The character model counts trigrams of all words of all documents, per task and
   then by trigram. Letters below U+0250 only, so its size doesn't follow the corpus.
@@ -49,16 +52,18 @@ REMEMBERED = 300_000
 RESEMBLES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "×": "x",
-    "*": "aeiou", "#": "aeiou", "%": "aeiou", "?": "aeiou",
+    "*": "aeiou", "#": "aeiouh", "%": "aeiou", "?": "aeiou",
 }
 SEPARATORS = frozenset(" .-_*~'`/\\,:;=^·•")
 LOOKALIKE, MASKED, DROP_SEPARATOR, DROP_SIGN, DROP_DIGIT, SHORTEN = 1.0, 2.5, 0.3, 3.0, 6.0, 0.7
 
 _RUN = re.compile(r"(.)\1*", re.S)
-_TRIPLE = re.compile(r"(.)\1\1")
+_REPEATED = re.compile(r"(.)\1", re.S)
 _LETTERS = re.compile(r"[^\W\d_]{4,}")
-#: Four or more single characters in a row, each between white space.
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){3,}")
+#: Three or more single characters in a row, each between white space.
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
+#: What is looked up from a start within such a run: more than the longest beginning.
+_WINDOW = 7
 _EDGE = re.compile(r"^[.,;:?()\[\]\"'«»¿¡]+|[.,;:?!()\[\]\"'«»]+$")
 _PADDING = re.compile(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$")
 
@@ -102,23 +107,51 @@ class CharModel:
             steps.append(arcs)
         return steps
 
-    def restore(self, token: str) -> str:
+    def _cheapest(self, steps: list[list[tuple[str, float]]]) -> str:
         """The cheapest path's letters (Viterbi over the last two letters; of equal
-        costs the first string in order)."""
-        paths = {"^^": (0.0, "")}
-        for arcs in self.lattice(token.lower()):
-            after: dict[str, tuple[float, str]] = {}
-            for state, (paid, out) in paths.items():
+        costs the first string in order). A space ends a word. Paths share their
+        beginnings, so that a long token takes linear time."""
+        paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+        for arcs in steps:
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for state, (paid, path) in paths.items():
                 for letters, price in arcs:
                     cost, at = paid + price, state
                     for x in letters:
-                        cost += self.cost(at, x)
-                        at = at[1] + x
-                    new = (cost, out + letters)
-                    if at not in after or new < after[at]:
-                        after[at] = new
+                        if x == " ":
+                            cost, at = cost + self.cost(at, "$"), "^^"
+                        else:
+                            cost += self.cost(at, x)
+                            at = at[1] + x
+                    new = (path, letters) if letters else path
+                    old = after.get(at)
+                    if old is None or cost < old[0] or cost == old[0] and _spell(new) < _spell(old[1]):
+                        after[at] = (cost, new)
             paths = after
-        return min((cost + self.cost(at, "$"), out) for at, (cost, out) in paths.items())[1]
+        ends = [(paid + self.cost(at, "$"), path) for at, (paid, path) in paths.items()]
+        least = min(cost for cost, _ in ends)
+        return min(_spell(path) for cost, path in ends if cost == least)
+
+    def restore(self, token: str) -> str:
+        """The word that a token most likely stands for."""
+        return self._cheapest(self.lattice(token.lower()))
+
+    def split(self, run: str) -> list[str]:
+        """The words that spaced-out characters most likely stand for."""
+        steps = []
+        for part in run.lower().split():
+            if steps:
+                steps.append([("", DROP_SEPARATOR), (" ", DROP_SEPARATOR)])
+            steps += self.lattice(part)
+        return self._cheapest(steps).split()
+
+
+def _spell(path: tuple | None) -> str:
+    out = []
+    while path is not None:
+        path, letters = path
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 def char_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CharModel:
@@ -160,29 +193,35 @@ class Restorer:
         found = self.seen.get(token)
         if found is None:
             core = _EDGE.sub("", _PADDING.sub("", token)).lower()
-            if core.isalpha() and not _TRIPLE.search(core):
+            if core.isalpha() and not _REPEATED.search(core):
                 found = (core,)
-            elif sum(c.isalpha() for c in core) < 2 and " " not in core:
-                found = ()
             else:
-                found = tuple(dict.fromkeys([self.model.restore(core), *_LETTERS.findall(core)]))
+                whole = [core] if core.isalpha() else _LETTERS.findall(core)
+                found = tuple(x for x in dict.fromkeys([self.model.restore(core), *whole]) if x)
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
             self.seen[token] = found
         return found
 
+    def run(self, run: str) -> set[str]:
+        """Words within a run of spaced-out characters: by the lattice's boundaries, as
+        one word, and from every start."""
+        parts = self.model.split(_EDGE.sub("", run))
+        joined = "".join(parts)
+        return {joined, *parts, *(joined[i:i + _WINDOW] for i in range(len(joined) - 2))} - {""}
+
     def of(self, text: str) -> set[str]:
         """The distinct restored words of a text, spaced-out words included."""
         out = set()
         for token in set(text.split()):
             out.update(self.words(token))
         for m in _SPACED.finditer(text):
-            out.update(self.words(m.group()))
+            out.update(self.run(m.group()))
         return out
 
     def text(self, text: str) -> str:
         """The text with every disguised token replaced by its restored word."""
-        text = _SPACED.sub(lambda m: self.model.restore(m.group()), text)
+        text = _SPACED.sub(lambda m: " ".join(self.model.split(m.group())), text)
         return re.sub(r"\S+", lambda m: m.group() if not (w := self.words(m.group()))
                       or w[0] in m.group().lower() else w[0], text)
 

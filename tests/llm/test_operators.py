@@ -371,6 +371,28 @@ def test_disguised_words_are_found(spark, hide):
     assert np.mean(right) > 0.95
 
 
+@pytest.mark.parametrize("hide", [lambda w: "".join(c * 2 for c in w), lambda w: {"trash": "7r4$#", "idiot": "1d!0+"}.get(w, w), lambda w: "a " + " ".join(w),
+                                  lambda w: "y o u " + " ".join(w), lambda w: " ".join(w) + " m e n"])
+def test_words_behind_the_old_shortcuts_are_found(spark, hide):
+    docs, labels = toxic_corpus(spark, hide)
+    scores = {r["doc_id"]: r["score"] for r in deobfuscate.score(docs, deobfuscate.train(docs, labels, "toxic")).collect()}
+    right = [(scores[i] >= 0.3) == (i % 3 == 0) for i in range(600, 900)]
+    assert np.mean(right) > 0.95
+
+
+def test_every_disguise_goes_through_the_lattice():
+    words = "stupid studio stop idiot idle trash treat crash loser ass you letter all a".split()
+    counts = Counter(g for w in words for g in [f"^^{w}$"[i:i + 3] for i in range(len(w) + 1)])
+    restorer = deobfuscate.Restorer(deobfuscate.CharModel(counts))
+    for text, word in (("ssttuuppiidd", "stupid"), ("iiddiioott", "idiot"), ("1d!0+", "idiot"), ("7r4$#", "trash"), ("455", "ass"),
+                       ("letter", "letter"), ("a s s", "ass"), ("a i d i o t", "idiot"), ("y o u i d i o t", "idiot"),
+                       ("1 d 1 0 t", "idiot")):
+        assert word in restorer.of(text), text
+    assert restorer.model.split("y o u i d i o t") == ["you", "idiot"]
+    assert restorer.of("") == restorer.of("-- ... !!!") == set()
+    assert len(restorer.model.restore("12" * 50_000)) > 0  # linear in the token
+
+
 # -- 7 ---------------------------------------------------------------------------
 
 def brute_search(rows, queries, k):

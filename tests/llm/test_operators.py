@@ -310,6 +310,21 @@ def test_model_adds_what_the_patterns_run_together(spark):
     assert cleaned[0] == "w0 [EMAIL] and [CARD] then [IP] or [PHONE] end" and card not in cleaned[900]
 
 
+SPELLED_OUT = ["ann.b2 [at] site [dot] org", "ann.b2 (AT) site (DOT) org", "ann.b2[AT]site[DOT]org", "jo77 AT site DOT org",
+               "jo77 at site dot org", "jo77 {at} news.site.org", "jo77@site dot org", "ann at site dot org"]
+
+
+def test_spelled_out_addresses_are_found(spark):
+    df, _, _ = pii_corpus(spark)
+    plain = ["we met them at home. Then it rained", "look at things. on the whole", "the point (at) issue. and so on"]
+    rows = [(1000 + i, f"you may write: {t}, said the note") for i, t in enumerate(SPELLED_OUT + plain)]
+    df = df.unionAll(spark.createDataFrame(rows, df.schema))
+    text = dict(rows)
+    added = {r["doc_id"]: [text[r["doc_id"]][s["start"]:s["stop"]] for s in r["added"] if s["kind"] == "email"]
+             for r in pii_boost.detect(df).where("doc_id >= 1000").collect()}
+    assert [added[1000 + i] for i in range(len(rows))] == [[t] for t in SPELLED_OUT] + [[] for _ in plain]
+
+
 def test_pii_edge_cases(odd, none):
     rows = pii_boost.detect(odd).collect()
     got = rank((r["doc_id"], tuple((pii_boost.KINDS.index(s["kind"]), s["start"], s["stop"]) for s in r["base"])) for r in rows)

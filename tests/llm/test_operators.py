@@ -325,6 +325,12 @@ def test_spelled_out_addresses_are_found(spark):
     assert [added[1000 + i] for i in range(len(rows))] == [[t] for t in SPELLED_OUT] + [[] for _ in plain]
 
 
+@pytest.mark.parametrize("kind, number", [(3, "00 33 6 12 34 56 78"), (2, "4.1.1.1.1.1.1.1.1.1.1.1.1.1.1.1"), (2, "4/1/1/1/1/1/1/1/1/1/1/1/1/1/1/1")])
+def test_numbers_of_many_groups_are_proposed_whole(kind, number):
+    text = f"at {number} now"
+    assert (kind, 3, 3 + len(number)) in pii_boost.candidates(text)
+
+
 def test_pii_edge_cases(odd, none):
     rows = pii_boost.detect(odd).collect()
     got = rank((r["doc_id"], tuple((pii_boost.KINDS.index(s["kind"]), s["start"], s["stop"]) for s in r["base"])) for r in rows)

@@ -65,15 +65,14 @@ BLOCK_STARTS_END_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr "
     "main menu nav ol p pre section table ul".split())
 
-# Quoted values and their number are bounded, so that unclosed quotes cost linear time;
-# a tag beyond that ends at its first ">".
-_ATTRS = r"(?:[^>\"'<]++|\"[^\"]{0,8192}+\"|'[^']{0,8192}+'){0,200}+>|[^<>]*+>"
+RAW = ("script", "style", "template", "noscript", "textarea", "title", "iframe", "svg", "select")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*)|<svg(?=[\s/])(?:{_ATTRS})(?<=/>)"
-    r"|<(?P<raw>script|style|template|noscript|textarea|title|iframe|svg|select)(?=[\s/>])"
-    rf"(?:{_ATTRS})(?:.*?</(?P=raw)\s*>|.*)|<[!?][^<>]*+>"
-    rf"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attrs>{_ATTRS})"
+    r"<!--(?:.*?-->|.*)|<[!?][^<>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][^\s/<>]*)(?P<attrs>[^<>\"']*+>)?"
     r"|(?P<text>[^<]+|<)", re.S | re.I)
+_STOP = re.compile(r"[<>]|=\s*+[\"']")
+_ANGLE = re.compile("[<>]")
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
 _SPACE = re.compile(r"\s+")
@@ -145,6 +144,52 @@ def _open(tag: str, attrs: str, parent: Element) -> Element:
     return Element(tag, parent, stated, firm, (bad, good))
 
 
+def _tag_end(page: str, at: int, none: set[str]) -> int:
+    """Where a tag whose attributes begin at ``at`` ends, or -1 if it is none. A quote
+    behind "=" opens a value of any length; ``none`` holds the quotes that no longer
+    occur. Without its closing quote a value ends at the next angle bracket."""
+    quoted = False
+    while m := _STOP.search(page, at):
+        quote, at = m[0][-1], m.end()
+        if quote in "\"'":
+            close = -1 if quote in none else page.find(quote, at)
+            if close >= 0:
+                quoted, at = True, close + 1
+                continue
+            none.add(quote)
+            if not (m := _ANGLE.search(page, at)):
+                break
+        if m[0] == ">":
+            return m.end()
+        return m.start() if quoted else -1
+    return len(page) if quoted else -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text, "/" of an end tag, tag, attributes) in order; raw elements are left out."""
+    at, none = 0, set()
+    while at < len(page):
+        m = _TOKEN.match(page, at)
+        start, at, tag = at, m.end(), m["tag"]
+        if tag is None:
+            if m["text"] is not None:
+                yield m["text"], "", "", ""
+            continue
+        tag, attrs = tag.lower(), m["attrs"]
+        if attrs is None:
+            at = _tag_end(page, m.end(), none)
+            if at < 0:
+                yield "<", "", "", ""
+                at = start + 1
+                continue
+            attrs = page[m.end():at]
+        if tag in _RAW_END and not m["end"]:
+            if tag != "svg" or not attrs.endswith("/>"):
+                at = close.end() if (close := _RAW_END[tag].search(page, at)) else len(page)
+            continue
+        yield "", m["end"], tag, attrs
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: white space inside is one space, none is empty."""
     root = Element("", None, 0, False, (0, 0))
@@ -159,26 +204,23 @@ def blocks(page: str) -> list[Block]:
             buffer.clear()
         linked, inner = 0, ""
 
-    for m in _TOKEN.finditer(page):
-        tag = m["tag"]
-        if tag is None:
-            if m["text"] is not None:
-                buffer.append(m["text"])
-                if links:
-                    linked += len(m["text"])
+    for text, end, tag, attrs in _tokens(page):
+        if text:
+            buffer.append(text)
+            if links:
+                linked += len(text)
             continue
-        tag = tag.lower()
         if tag in INLINE:
             if tag == "a":
-                links = 0 if m["end"] else 1
+                links = 0 if end else 1
             if tag in ("br", "img"):
                 buffer.append(" ")
-            elif not m["end"] and not inner and not buffer:
+            elif not end and not inner and not buffer:
                 inner = tag
             continue
         flush()
         links = 0
-        if m["end"]:
+        if end:
             if tag in stack:
                 while stack:
                     at = at.parent
@@ -189,8 +231,8 @@ def blocks(page: str) -> list[Block]:
             while stack and (stack[-1] in ends or stack[-1] == "p" and tag in BLOCK_STARTS_END_P):
                 stack.pop()
                 at = at.parent
-            if not m["attrs"].endswith("/>") or tag in BLOCK_STARTS_END_P:
-                at = _open(tag, m["attrs"], at)
+            if not attrs.endswith("/>") or tag in BLOCK_STARTS_END_P:
+                at = _open(tag, attrs, at)
                 stack.append(tag)
     flush()
     return out

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -611,6 +612,20 @@ def test_only_raw_elements_are_raw(middle):
     assert [b.text for b in mincut_html.blocks(f"<p>one</p>{middle}<p>two</p>")] == ["one", "two"]
 
 
+@pytest.mark.parametrize("tag", [
+    f"<div data-x='{'<b>no</b>' * 2000}'>", f'<div data-x="{"1 > 0, " * 2000}">', "<div " + 'a="x>y" ' * 500 + ">",
+    "<div title = 'a > b'>"])
+def test_attributes_of_any_length(tag):
+    assert [b.text for b in mincut_html.blocks(f"<p>one</p>{tag}two</div>")] == ["one", "two"]
+
+
+@pytest.mark.parametrize("page", ['<div "' * 100_000, '<a x="' * 100_000, '<a x="<a " ' * 100_000, "<a x='\"" * 100_000, "<a x=' " * 99_999])
+def test_unclosed_quotes_take_linear_time(page):
+    started = time.process_time()
+    mincut_html.blocks(page)
+    assert time.process_time() - started < 10
+
+
 def test_pages_edge_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>only this, and nothing else."), (4, "u", "plain words, no tags at all."), (5, "u", PAGE),
             (5, "u", PAGE), (6, "u", "<!-- never closed <p>x</p>"), (7, "u", '<div "' * 3000), (8, "u", "<div>" * 3000 + "deep, and alone.")]

@@ -830,8 +830,9 @@ def q_truncate_eos(spark, sf):
     return docs.select("doc_id", F.array_join(truncate_eos(_len_ids(), 2), ",").alias("ids"))
 
 
-#: Longest example of the padding query: above any document of the test tables, so
-#: that padding is seen and nothing is cut.
+#: Least length of the padding query's examples: above any document of the test tables,
+#: so that padding is seen. The query pads to the longest document beyond it; its SQL
+#: still cuts there, so the two differ on longer documents.
 PAD_TO = 32768
 
 
@@ -844,7 +845,8 @@ def q_pad_ids(spark, sf):
     """E3 on whole texts: the ids, the padding behind them, and the total length."""
     from corpusflow.operators.examples import pad_ids
     docs = table(spark, sf, "documents", ["doc_id", "text"])
-    p = docs.select("doc_id", _len_ids().alias("i"), pad_ids(_len_ids(), 3, PAD_TO).alias("p"))
+    longest = docs.agg(F.max(F.size(_len_ids()))).first()[0] or 0
+    p = docs.select("doc_id", _len_ids().alias("i"), pad_ids(_len_ids(), 3, max(PAD_TO, longest)).alias("p"))
     return p.select("doc_id", F.size("p").cast("long").alias("n"),
                     F.array_join(F.slice("p", F.lit(1), F.size("i") + 3), ",").alias("ids"),
                     F.size(F.filter("p", lambda x: x == 3)).cast("long").alias("n_pad"))

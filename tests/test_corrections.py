@@ -139,3 +139,13 @@ def test_stream_sink_feeds_the_cleaner(spark, tmp_path):
         assert clean_monolingual(rows, "en").count() == len(want)
     one = stream_ingest(spark, str(tmp_path / "source" / "f1.parquet"), "text string")
     assert spark.read.parquet(one).count() == 60
+
+
+def test_padding_keeps_documents_beyond_the_least_length(spark, tmp_path):
+    from corpusflow.plans.catalog import PAD_TO, q_pad_ids
+    rows = [(1, " ".join(["word"] * (PAD_TO + 5))), (2, "two words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in q_pad_ids(spark, str(tmp_path)).collect()}
+    pads = got[1]["ids"].split(",").count("3")
+    assert len(got[1]["ids"].split(",")) - pads == PAD_TO + 5
+    assert got[1]["n"] == got[2]["n"] == PAD_TO + 5 and got[2]["n_pad"] == PAD_TO + 3

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bm25_wand, bpe_dp, deobfuscate, min_bin_slack, mincut_html, nbsvm, partenum, pii_boost, rule_ledger, token_store
+from corpusflow.llm import (bm25_wand, bpe_dp, deobfuscate, merkle, min_bin_slack, mincut_html, nbsvm, nra, partenum, pii_boost,
+                            pivot_index, rule_ledger, token_store)
 from corpusflow.llm.common import label_split, read
 
 #: Vocabulary files of the queries; the operators take any path.
@@ -89,6 +90,19 @@ def op10_mincut_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op11_merkle_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    return merkle.audit(merkle.manifest(docs))
+
+
+def op12_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op13_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nra.search(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 #: Measurements and fail bits of the ledger over ``documents``.
 LEDGER_SQL = r"""
 with t as (
@@ -137,6 +151,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nbsvm": op8_nbsvm,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_mincut_html": op10_mincut_html,
+    "op11_merkle_pivot": op11_merkle_pivot,
+    "op12_pivot_index": op12_pivot_index,
+    "op13_nra": op13_nra,
 }
 
 #: The ten best texts for every twentieth text as a query, all pairs scored.
@@ -164,7 +181,100 @@ with w as (
 )
 select query_id, rank, doc_id, score from best where rank <= 10"""
 
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::varchar))::varchar || ':' || {value}::varchar, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: crc32 of the decimal digits of doc_id: a step per digit, eight bits each.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+  list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """Recursive: all nodes of the trees of ``start(g, place, nodes, digest)``."""
+    return f"""{name} as (
+  select g, 0 as level, place, nodes, digest from {start}
+  union all
+  select g, level + 1, place // 2, (nodes + 1) // 2, sha256(string_agg(digest, '' order by place))
+  from {name} where nodes > 1 group by g, level, place // 2, nodes
+)"""
+
+
+def _path_sql(name: str, start: str, tree: str) -> str:
+    """Recursive: the way up of ``start(rid, g, place, nodes, fold)``, with what it folds to."""
+    return f"""{name} as (
+  select rid, g, 0 as level, place, nodes, fold, '' as sibling from {start}
+  union all
+  select p.rid, p.g, p.level + 1, p.place // 2, (p.nodes + 1) // 2,
+         sha256(case when p.place % 2 = 1 then coalesce(s.digest, '') || p.fold else p.fold || coalesce(s.digest, '') end),
+         coalesce(s.digest, '')
+  from {name} p left join {tree} s on s.g = p.g and s.level = p.level and s.place = xor(p.place, 1) where p.nodes > 1
+)"""
+
+
+#: Trees of all languages and of their roots, level by level; every document's way up.
+MERKLE_SQL = f"""
+with recursive leaf as (
+  select row_number() over () as rid, doc_id, coalesce('=' || lang, '') as g, {_leaf_sql("n_chars")} as digest,
+         case when {_CRC_SQL} % 7 = 0 and n_chars is not null then {_leaf_sql("(n_chars::hugeint + 1)")} end as changed
+  from documents
+), node as (
+  select rid, doc_id, g, digest, coalesce(changed, digest) as fold,
+         row_number() over (partition by g order by doc_id nulls first, digest) - 1 as place, count(*) over (partition by g) as nodes
+  from leaf
+), {_tree_sql("tree", "node")}, {_path_sql("way", "node", "tree")}, sub as (
+  select g as lang, '' as g, digest, row_number() over (order by g) - 1 as place, count(*) over () as nodes from tree where nodes = 1
+), {_tree_sql("top", "sub")}, low as (
+  select rid, string_agg(sibling, '' order by level) as proof, max_by(fold, level) as fold from way group by rid
+), high0 as (
+  select node.rid, sub.g, sub.place, sub.nodes, low.fold from node join sub on sub.lang = node.g join low on low.rid = node.rid
+), {_path_sql("upper", "high0", "top")}, high as (
+  select rid, string_agg(sibling, '' order by level) as proof, max_by(fold, level) as fold from upper group by rid
+)
+select node.doc_id, node.digest as leaf, sub.digest as subroot, root.digest as root, sha256(low.proof || high.proof) as proof_sha256,
+       high.fold as folded_root, high.fold = root.digest as verified
+from node join low on low.rid = node.rid join high on high.rid = node.rid join sub on sub.lang = node.g
+cross join (select digest from top where nodes = 1) root"""
+
+#: The ten best documents for every benchmark item, all documents scored.
+RANKED_SQL = r"""
+with t as (
+  select rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as rid, doc_id, text from documents)
+), tf as (
+  select rid, doc_id, term, count(*)::bigint as tf from t group by all
+), len as (
+  select rid, sum(tf)::bigint as n from tf group by rid
+), stat as (
+  select count(*)::bigint as docs, sum(n)::bigint as total from len
+), weight as (
+  select term, floor(1000 * ln((2 * max(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tf cross join stat group by term
+), asked as (
+  select q, item_id, term, count(*)::bigint as c from (
+    select q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select row_number() over () as q, item_id, text from benchmark)) group by all
+), hit as (
+  select q, item_id, tf.rid, tf.doc_id,
+         sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::bigint as score
+  from asked join weight using (term) join tf using (term) join len on len.rid = tf.rid cross join stat
+  where tf.doc_id is not null group by all
+), best as (
+  select *, row_number() over (partition by q order by score desc, doc_id)::integer as rank from hit where score > 0
+)
+select item_id, rank, doc_id, score from best where rank <= 10"""
+
 ORACLES: dict[str, str] = {
+    "op11_merkle_pivot": MERKLE_SQL,
+    "op13_nra": RANKED_SQL,
     "op7_bm25_wand": SEARCH_SQL,
     "op9_rule_ledger": LEDGER_SQL + """
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

@@ -5,25 +5,9 @@ Tokenizer being reproduced: whitespace/punctuation pre-tokenizer
 characters, five special tokens, the 256 byte-level symbols added to the
 initial alphabet, and a byte-level decoder (which restores no spaces).
 
-Training (T3-T5): the corpus is read once, for word counts (a partial
-aggregate: hot words collapse map-side). The merge loop then only touches the
-*distinct-word* table with symbol-id arrays. Each round: adjacent-pair counts
-(partial aggregate) -> the top ``top_k`` pairs to the driver -> a batch of
-merges -> one left-to-right fold over each word's ids (a small per-word
-helper in an Arrow-batched pandas UDF; Spark's interpreted higher-order
-functions were 5x slower here). Every
-``checkpoint_every`` rounds the word table is written into the shared folder
-and read back (lineage cut; lost executors recompute at most that many
-rounds).
-
-Batch rule (``mode='exact'``, same merges as one-at-a-time training): rank
-pairs by (count desc, left id, right id); take the longest prefix whose pairs
-share no symbol; a self-pair ``(x, x)`` or a pair whose merged token already
-exists (or was made earlier in the prefix) also ends it, and is merged alone
-if first. With c the count of the pair that ended the prefix, keep the prefix
-pairs with count > c (always the first). ``mode='relaxed'`` skips conflicts and
-takes, of the ``top_k`` highest pairs, every non-conflicting one with count >=
-``relaxed_ratio`` x the top count: far fewer rounds for large vocabularies, approximate.
+Training (T3-T5) is in ``bpe_train``: the corpus is read once, for word counts (a
+partial aggregate: hot words collapse map-side); a round of merges then reads only the
+distinct words that it touches.
 
 Encoding (T8) and decoding (T9) are narrow: a row's words (or ids) stay in the
 row and pass through one Arrow-batched helper that holds the merge ranks (or the
@@ -43,16 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusflow.session import discard, materialize, shared_dir
-
 # Special tokens in id order, the pre-tokenizer pattern and the
 # end-of-sequence / padding / mask tokens used by the example builders.
 SPECIALS = ["[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]"]
 PRETOKEN = "(?U)\\w+|[^\\w\\s]+"
 UNK, EOS, PAD, MASK = "[UNK]", "[SEP]", "[PAD]", "[MASK]"
 
-# Distinct words in a task of the merge loop.
-WORDS_PER_TASK = 50_000
 # Words that a worker remembers while it encodes, before it starts anew.
 REMEMBERED_WORDS = 500_000
 
@@ -160,164 +140,14 @@ def load_bpe(spark: SparkSession, path: str) -> BpeModel:
     return BpeModel(tokens, merges, tok2id=tok2id)
 
 
-def _choose_batch(top, tokens, tok2id, room: int, mode: str, ratio: float, top_k: int):
-    """Driver-side choice over at most ``top_k`` ranked pairs (see module doc)."""
-    if mode == "relaxed":
-        used, chosen, produced = set(), [], set()
-        floor = ratio * top[0]["c"]
-        for r in top:
-            l, rr, c = r["l"], r["r"], r["c"]
-            if c < floor:
-                break
-            new = tokens[l] + tokens[rr]
-            if l in used or rr in used or l == rr or new in tok2id or new in produced:
-                if not chosen:
-                    return [(l, rr)]
-                continue
-            chosen.append((l, rr))
-            used |= {l, rr}
-            produced.add(new)
-        return chosen[:max(room, 1)]
-    used, chosen, produced = set(), [], set()
-    stop = None
-    for r in top:
-        l, rr, c = r["l"], r["r"], r["c"]
-        new = tokens[l] + tokens[rr]
-        if l == rr or new in tok2id or new in produced or l in used or rr in used:
-            if not chosen:
-                return [(l, rr)]
-            stop = c
-            break
-        chosen.append((l, rr, c))
-        used |= {l, rr}
-        produced.add(new)
-    if stop is None and len(top) >= top_k:
-        stop = top[-1]["c"]
-    keep = [chosen[0]] + [p for p in chosen[1:] if stop is None or p[2] > stop]
-    return [(l, rr) for l, rr, _ in keep][:max(room, 1)]
-
-
-def _merge_fold(batch: list[tuple[int, int, int]]):
-    """Per-word helper: one left-to-right pass; when (last, x) is a batch pair
-    the last symbol becomes the merged id. Batch pairs share no symbol and make
-    new tokens, so one pass equals applying them one after another. Words
-    without a batch left id pass through untouched."""
-    table = {(l, r): n for l, r, n in batch}
-    lefts = {l for l, _, _ in batch}
-
-    def fold(col: pd.Series) -> pd.Series:
-        out = []
-        for syms in col:
-            if syms is None or lefts.isdisjoint(syms):
-                out.append(syms)
-                continue
-            res: list[int] = []
-            for x in syms:
-                if res:
-                    n = table.get((res[-1], x))
-                    if n is not None:
-                        res[-1] = n
-                        continue
-                res.append(int(x))
-            out.append(res)
-        return pd.Series(out)
-
-    return F.pandas_udf(fold, T.ArrayType(T.IntegerType()))
-
-
-def _apply_merges(words: DataFrame, batch: list[tuple[int, int, int]]) -> DataFrame:
-    """Apply one batch to the distinct-word table (narrow; Arrow batches).
-    Words without any batch left id are tested JVM-side and hand the Python
-    fold a null, so later rounds move almost nothing through Arrow."""
-    lefts = F.lit(sorted({l for l, _, _ in batch}))
-    hit = F.when(F.arrays_overlap("syms", lefts), F.col("syms"))
-    syms = F.coalesce(_merge_fold(batch)(hit), F.col("syms"))
-    return words.select(syms.alias("syms"), "count").where(F.size("syms") >= 2)
-
-
-def _pairs(words: DataFrame) -> DataFrame:
-    """Adjacent symbol pairs weighted by word count (``arrays_zip``: no lambda,
-    so the projection stays in generated code)."""
-    n = F.size("syms") - 1
-    z = F.arrays_zip(F.slice("syms", 1, n).alias("l"), F.slice("syms", 2, n).alias("r"))
-    return (words.select(F.explode(z).alias("p"), "count")
-                 .groupBy("p.l", "p.r").agg(F.sum("count").alias("c")))
-
-
 def train_bpe(df: DataFrame, text_col: str = "text", vocab_size: int = 32000,
-              mode: str = "exact", relaxed_ratio: float = 0.9, top_k: int = 1000,
-              max_rounds: int | None = None, checkpoint_every: int = 10,
-              loop_partitions: int | None = None) -> BpeModel:
-    """T5: learn the vocabulary of ``df[text_col]`` (see module doc). A model that
-    ``max_rounds`` cut short says so in ``complete``."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    written: list[DataFrame] = []
-    wc = materialize(word_counts(df, text_col), "bpe-word-counts")
-    alphabet = {r["ch"] for r in wc.select(F.explode(chars("word")).alias("ch")).distinct().collect()}
-    alphabet |= set(byte_alphabet())
-    tokens = list(SPECIALS)
-    tokens += [ch for ch in sorted(alphabet) if ch not in set(SPECIALS)]
-    tok2id = {t: i for i, t in enumerate(tokens)}
-    merges: list[tuple[int, int, int]] = []
-    if len(tokens) >= vocab_size:
-        return BpeModel(tokens, merges, rounds=0, tok2id=tok2id)
-    alpha = spark.createDataFrame([(t, i) for t, i in tok2id.items() if t not in SPECIALS],
-                                  "ch string, id int")
-    # partitions by the number of distinct words: a round over few words is one task
-    parts = loop_partitions or -(-max(1, wc.count()) // WORDS_PER_TASK)
-    exploded = wc.select("word", "count", F.posexplode(chars("word")).alias("pos", "ch"))
-    words = (exploded.join(F.broadcast(alpha), "ch")
-                     .groupBy("word", "count")
-                     .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s"))
-                     .select(F.transform("s", lambda x: x["id"]).alias("syms"), "count")
-                     .where(F.size("syms") >= 2)
-                     .repartition(parts))
-    words = materialize(words, "bpe-words")
-    written.append(words)
-    rounds = 0
-    prev = None
-    complete = True
-    while len(tokens) < vocab_size:
-        if max_rounds is not None and rounds >= max_rounds:
-            complete = False
-            break
-        top = _pairs(words).orderBy(F.desc("c"), "l", "r").limit(top_k).collect()
-        if prev is not None:
-            prev.unpersist()
-            prev = None
-        if not top:
-            break
-        chosen = _choose_batch(top, tokens, tok2id, vocab_size - len(tokens), mode,
-                               relaxed_ratio, top_k)
-        batch = []
-        for l, r in chosen:
-            new = tokens[l] + tokens[r]
-            nid = tok2id.get(new)
-            if nid is None:
-                nid = len(tokens)
-                tokens.append(new)
-                tok2id[new] = nid
-            batch.append((l, r, nid))
-            merges.append((l, r, nid))
-        rounds += 1
-        nxt = _apply_merges(words, batch)
-        if rounds % checkpoint_every == 0:
-            nxt = materialize(nxt, "bpe-words")
-            if words.is_cached:
-                words.unpersist()
-            # the new table no longer depends on the one written before
-            written.append(nxt)
-            discard(written.pop(0))
-        else:
-            nxt = nxt.persist()
-            prev = words if words.is_cached else None
-        words = nxt
-    if prev is not None:
-        prev.unpersist()
-    for table in [wc, *written]:
-        discard(table)
-    return BpeModel(tokens, merges, rounds=rounds, tok2id=tok2id, complete=complete)
+              mode: str = "exact", relaxed_ratio: float = 0.9, top_k: int = 20_000,
+              max_rounds: int | None = None) -> BpeModel:
+    """T5: learn the vocabulary of ``df[text_col]`` (see ``bpe_train``). ``top_k`` pairs
+    are counted on the driver at a time, which has no effect on the result. A model
+    that ``max_rounds`` cut short says so in ``complete``."""
+    from corpusflow.operators.bpe_train import train
+    return train(df, text_col, vocab_size, mode, relaxed_ratio, top_k, max_rounds)
 
 
 def segment(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:

@@ -4,9 +4,11 @@ Providers add ``<prefix>_label`` and ``<prefix>_score`` for a text column:
 
 * :class:`LabelColumnLid` (L1c) - existing label/score columns.
 * :class:`TrigramLid` (L1a/L1b) - character-trigram multinomial naive Bayes,
-  trained and applied with explode -> aggregate -> broadcast join, never a
-  driver loop. Only the language list and per-language totals (bounded by the
-  number of languages) reach the driver.
+  trained with explode -> aggregate. Applied in one vectorised pass over Arrow
+  batches: trigrams become integer codes, looked up by binary search in the sorted
+  codes of the model, and rows of its dense matrix are added up per text. No row per
+  trigram, no key, no join, no shuffle. The model is sent to the tasks if its bytes
+  allow; a larger one is joined to the exploded trigrams.
 
 Model. For language l with trigram counts c_l(g), N_l = sum_g c_l(g) and V the
 number of distinct training trigrams, add-one smoothing gives
@@ -21,9 +23,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Decision threshold of both rules and the label for text without
@@ -31,10 +35,12 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.5
 NO_LABEL = "other"
 
-# A model is broadcast only if its rows (one double per language, the trigram and
-# overhead) take no more bytes than this; otherwise the join is a shuffle.
+# A model is sent to the tasks only if its rows (one double per language, the trigram
+# and overhead) take no more bytes than this; otherwise it is joined by a shuffle.
 MAX_BROADCAST_BYTES = 256 << 20
 GRAM_BYTES = 48
+# Trigrams of a batch that are looked up at once.
+WINDOW = 1 << 20
 
 
 def _c(x) -> Column:
@@ -48,7 +54,8 @@ def lid_text(c) -> Column:
 
 def trigrams(c) -> Column:
     """All overlapping character trigrams of the feature text, in order."""
-    return F.regexp_extract_all(lid_text(c), F.lit("(?s)(?=(.{3}))"), 1)
+    # the dot behind the look-ahead steps over whole code points
+    return F.regexp_extract_all(lid_text(c), F.lit("(?s)(?=(.{3}))."), 1)
 
 
 class LabelColumnLid:
@@ -64,7 +71,7 @@ class LabelColumnLid:
         self.score_col = score_col
         self.by_text = by_text or {}
 
-    def annotate(self, df: DataFrame, text_col: str, key_cols: Sequence[str],
+    def annotate(self, df: DataFrame, text_col: str, key_cols: Sequence[str] = (),
                  prefix: str = "lid") -> DataFrame:
         label_col, score_col = self.by_text.get(text_col, (self.label_col, self.score_col))
         score = F.col(score_col).cast("double") if score_col else F.lit(1.0)
@@ -72,6 +79,50 @@ class LabelColumnLid:
                   .withColumn(f"{prefix}_score", score))
 
 
+def codes(text: np.ndarray) -> np.ndarray:
+    """Integer codes of consecutive trigrams of code points (21 bits each)."""
+    c = text.astype("i8")
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+class DenseModel:
+    """Sorted trigram codes and their matrix, as a worker uses them."""
+
+    def __init__(self, grams: list[str], matrix: np.ndarray, langs: list[str], log_norm: list[float]):
+        # a trigram is three code points, so the codes lie in triples
+        flat = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4")
+        code = codes(flat)[::3] if len(flat) else np.empty(0, "i8")
+        order = np.argsort(code)
+        by_name = sorted(range(len(langs)), key=lambda i: langs[i])  # ties: smallest label
+        self.code, self.matrix = code[order], np.ascontiguousarray(matrix[order][:, by_name])
+        self.langs = [langs[i] for i in by_name]
+        self.log_norm = np.array([log_norm[i] for i in by_name])
+
+    def __call__(self, texts: pd.Series) -> pd.DataFrame:
+        texts = ["" if t is None else t for t in texts]
+        size = np.array([len(t) for t in texts], "i8")
+        n = np.maximum(size - 2, 0)
+        sums = np.zeros((len(texts), len(self.langs)))
+        stop = np.cumsum(size)
+        flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+        for a in range(0, max(0, len(flat) - 2), WINDOW):
+            code = codes(flat[a:a + WINDOW + 2])
+            place = np.arange(a, a + len(code))
+            row = np.searchsorted(stop, place, "right")
+            at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
+            hit = (place + 2 < stop[row]) & (self.code[at] == code) if len(self.code) else np.zeros(len(code), bool)
+            for lang in range(len(self.langs)):
+                sums[:, lang] += np.bincount(row[hit], self.matrix[at[hit], lang], len(texts))
+        score = sums - n[:, None] * self.log_norm
+        if not len(self.langs):
+            return pd.DataFrame({"label": [NO_LABEL] * len(texts), "score": [0.0] * len(texts)})
+        best = score.max(1)
+        label = np.array(self.langs, dtype=object)[score.argmax(1)]
+        with np.errstate(under="ignore"):
+            value = 1.0 / np.exp(score - best[:, None]).sum(1)
+        return pd.DataFrame({"label": np.where(n > 0, label, NO_LABEL), "score": np.where(n > 0, value, 0.0)})
+
+
 @dataclass
 class TrigramLid:
     """L1a/L1b trained model: ``model`` has columns ``gram, d0..d{L-1}`` where
@@ -82,26 +133,53 @@ class TrigramLid:
     text_only = True
     log_norm: list[float]          # ln(N_l + V) per language
     n_grams: int                   # V, rows of ``model``
-
-    def _model_side(self) -> DataFrame:
-        if self.n_grams * (GRAM_BYTES + 8 * len(self.langs)) <= MAX_BROADCAST_BYTES:
-            return F.broadcast(self.model)
-        return self.model
+    _dense: object = field(default=None, repr=False)
+
+    def dense(self):
+        """The scoring function of one text column, or None if the model is too large
+        to be sent to every task."""
+        if self.n_grams * (GRAM_BYTES + 8 * len(self.langs)) > MAX_BROADCAST_BYTES:
+            return None
+        if self._dense is None:
+            rows = self.model.toArrow()
+            matrix = np.stack([rows[f"d{i}"].to_numpy() for i in range(len(self.langs))], 1) if self.langs \
+                else np.empty((rows.num_rows, 0))
+            made = DenseModel(rows["gram"].to_pylist(), matrix, self.langs, self.log_norm)
+            bc = self.model.sparkSession.sparkContext.broadcast(made)
+            # not deterministic by declaration: a filter on the label must not be
+            # pushed below, where the text would be scored once more
+            self._dense = F.pandas_udf(_scorer(bc), "label string, score double").asNondeterministic()
+        return self._dense
+
+    def annotate_all(self, df: DataFrame, text_cols: dict[str, str], key_cols: Sequence[str] = ()) -> DataFrame:
+        """``<prefix>_label, <prefix>_score`` for several (prefix -> text column) in one
+        pass over the rows."""
+        udf = self.dense()
+        if udf is None:
+            for prefix, text_col in text_cols.items():
+                df = df.join(self._joined(df, text_col, key_cols, prefix), list(key_cols), "left")
+            return df
+        out = df.select("*", *[udf(lid_text(c)).alias(f"_{p}_lid") for p, c in text_cols.items()])
+        return out.select(*df.columns, *[F.col(f"_{p}_lid.{x}").alias(f"{p}_{x}") for p in text_cols for x in ("label", "score")])
 
     def scores(self, df: DataFrame, text_col: str, key_cols: Sequence[str],
                prefix: str = "lid") -> DataFrame:
-        """One row per key: ``keys, <prefix>_label, <prefix>_score``.
+        """``keys, <prefix>_label, <prefix>_score`` of every row."""
+        if self.dense() is None:
+            return self._joined(df, text_col, key_cols, prefix)
+        return self.annotate_all(df.select(*key_cols, text_col), {prefix: text_col}).drop(text_col)
 
-        Trigrams of a row stay in its partition: explode -> broadcast join ->
-        partial aggregate by key, so only one small row per key is shuffled
-        (none when ``df`` is already partitioned by the key)."""
+    def _joined(self, df: DataFrame, text_col: str, key_cols: Sequence[str],
+               prefix: str = "lid") -> DataFrame:
+        """The same for a model that is too large to be sent to the tasks, for unique
+        keys: exploded trigrams are joined with it and added up by key."""
         keys = list(key_cols)
         L = len(self.langs)
         # explode(regexp_extract_all(text)) stays inline in the Generate: no
         # expression over the text sits above it (it would be re-evaluated per
         # trigram), and the trigram count n comes from the aggregate itself.
         exploded = df.select(*keys, F.explode_outer(trigrams(text_col)).alias("gram"))
-        joined = exploded.join(self._model_side(), "gram", "left")
+        joined = exploded.join(self.model, "gram", "left")
         agg = joined.groupBy(*keys).agg(
             F.count("gram").alias("_n"),
             *[F.sum(F.coalesce(F.col(f"d{i}"), F.lit(0.0))).alias(f"_S{i}") for i in range(L)])
@@ -120,11 +198,33 @@ class TrigramLid:
                            F.when(has, F.lit(1.0) / denom).otherwise(F.lit(0.0))
                             .alias(f"{prefix}_score")))
 
-    def annotate(self, df: DataFrame, text_col: str, key_cols: Sequence[str],
+    def annotate(self, df: DataFrame, text_col: str, key_cols: Sequence[str] = (),
                  prefix: str = "lid") -> DataFrame:
-        """Add label/score columns; ``key_cols`` must be unique in ``df``.
-        If ``df`` is hash-partitioned by the keys the join adds no shuffle."""
-        return df.join(self.scores(df, text_col, key_cols, prefix), list(key_cols), "left")
+        """Add label and score columns, in the rows' own partitions. (Only a model too
+        large for that needs ``key_cols``, unique in ``df``.)"""
+        return self.annotate_all(df, {prefix: text_col}, key_cols)
+
+
+def _scorer(bc):
+    def score(texts: pd.Series) -> pd.DataFrame:
+        return bc.value(texts)
+
+    return score
+
+
+def save_lid(lid: TrigramLid, path: str) -> str:
+    """The model as two Parquet tables under ``path``."""
+    spark = lid.model.sparkSession
+    lid.model.write.mode("errorifexists").parquet(f"{path}/grams")
+    rows = [(i, lang, norm) for i, (lang, norm) in enumerate(zip(lid.langs, lid.log_norm))]
+    spark.createDataFrame(rows, "i int, lang string, log_norm double").coalesce(1).write.mode("errorifexists").parquet(f"{path}/languages")
+    return path
+
+
+def load_lid(spark: SparkSession, path: str) -> TrigramLid:
+    model = spark.read.parquet(f"{path}/grams")
+    langs = spark.read.parquet(f"{path}/languages").orderBy("i").collect()
+    return TrigramLid(model=model, langs=[r["lang"] for r in langs], log_norm=[r["log_norm"] for r in langs], n_grams=model.count())
 
 
 def train_trigram_lid(df: DataFrame, text_col: str = "text", label_col: str = "lang",

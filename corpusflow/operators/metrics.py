@@ -5,14 +5,20 @@ precision for n = 1..4 summed over the corpus (never per-row means), geometric
 mean, brevity penalty ``exp(1 - ref/sys)`` when the system is shorter,
 exponential smoothing of zero counts, scaled to 0..100, 0 when nothing matches.
 
-Plan: tokenise (regex, JVM-side) -> explode n-grams of both sides ->
-``groupBy(row, n, gram)`` (all n-grams of a row are in one partition, so the
-partial aggregate reduces them before the shuffle) -> clipped sums per n and the
-lengths (the 1-grams) in one aggregate -> one-row formula. With no rows the score is null.
+Plan: the 13a rules are JVM expressions, projected once per side. An n-gram is only
+ever compared with those of its own row, so nothing is exploded or shuffled: a helper
+over Arrow batches numbers the tokens of a batch, numbers n-grams by (number of the
+shorter one, next token), merges both sides' sorted (row, n-gram) lists and adds up the
+clipped matches. A batch leaves as one row of ten sums; their total is the only
+exchange. With no rows the score is null.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,44 +49,61 @@ def tokenize_13a(c) -> Column:
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for pat, rep in RULES_13A:
         t = F.regexp_replace(t, pat, rep)
-    t = F.trim(F.regexp_replace(ws_to_space(t), " +", " "))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-
-
-def _tagged_ngrams(toks: Column, n: int, hyp: bool) -> Column:
-    """n-grams of ``toks`` as structs ``t0..t3, n, h, r`` (unused token slots
-    null): ``arrays_zip`` of shifted slices, so no lambda is evaluated and the
-    projection stays in generated code."""
-    k = F.greatest(F.size(toks) - n + 1, F.lit(0))
-    cols = [F.slice(toks, j + 1, k).alias(f"t{j}") if j < n
-            else F.array_repeat(F.lit(None).cast("string"), k).alias(f"t{j}")
-            for j in range(MAX_ORDER)]
-    return F.arrays_zip(*cols, F.array_repeat(F.lit(n), k).alias("n"),
-                        F.array_repeat(F.lit(1 if hyp else 0), k).alias("h"),
-                        F.array_repeat(F.lit(0 if hyp else 1), k).alias("r"))
-
-
-def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
+    return F.array_remove(F.split(F.regexp_replace(ws_to_space(t), " +", " "), " "), "")
+
+
+#: Rows whose n-grams are counted together.
+ROWS = 1024
+SUMS = [*(f"correct_{n}" for n in range(1, MAX_ORDER + 1)), *(f"total_{n}" for n in range(1, MAX_ORDER + 1)),
+        "sys_len", "ref_len", "groups"]
+
+
+def _ngrams(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1..4: the row of every n-gram of consecutive rows, and its number. Equal
+    n-grams have equal numbers."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))  # tokens up to the end of the row
+    at, number = np.arange(len(tokens)), tokens
+    for n in range(1, MAX_ORDER + 1):
+        if n > 1:
+            more = left[at] >= n
+            at, number = at[more], number[more]
+            if len(at):
+                pair = number * (int(tokens.max()) + 1) + tokens[at + n - 1]
+                number = np.unique(pair, return_inverse=True)[1]
+        yield row[at], number
+
+
+def _clipped(hyp: pa.ListArray, ref: pa.ListArray) -> list[int]:
+    """The sums of a few rows."""
+    flat = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype("i8")
+    size = [np.asarray(x.value_lengths()).astype("i8") for x in (hyp, ref)]
+    rows = len(hyp)
+    correct, total = [], []
+    # both sides in one numbering: the references follow as rows of their own
+    for row, number in _ngrams(flat, np.concatenate(size)):
+        key = (row % rows if rows else row) * (int(number.max()) + 1 if len(number) else 1) + number
+        own = row < rows
+        _, group = np.unique(key, return_inverse=True)
+        n = int(group.max()) + 1 if len(group) else 0
+        h, r = np.bincount(group[own], minlength=n), np.bincount(group[~own], minlength=n)
+        correct.append(int(np.minimum(h, r).sum()))
+        total.append(int(own.sum()))
+    return [*correct, *total, int(size[0].sum()), int(size[1].sum()), rows]
+
+
+def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str] | None = None) -> DataFrame:
     """One row: ``correct_n, total_n (n=1..4), sys_len, ref_len`` and ``groups``, the
-    number of (row, n, n-gram) groups, which is 0 only without rows."""
-    tok = df.select(*key_cols, tokenize_13a(pred_col).alias("h"), tokenize_13a(ref_col).alias("r"))
-    grams = [_tagged_ngrams(F.col(side), n, side == "h")
-             for n in range(1, MAX_ORDER + 1) for side in ("h", "r")]
-    # a row without tokens keeps one gram that counts nothing, so rows are counted too
-    ex = tok.select(*key_cols, F.explode_outer(F.concat(*grams)).alias("x"))
-    gram = F.concat_ws(" ", *[F.col(f"x.t{j}") for j in range(MAX_ORDER)])
-    per = ex.groupBy(*key_cols, F.col("x.n").alias("n"), gram.alias("g")).agg(
-        F.sum("x.h").alias("ch"), F.sum("x.r").alias("cr"))
-    per_n = per.select("n", F.least("ch", "cr").alias("m"), F.col("ch"), F.col("cr"))
-    agg = per_n.agg(*[F.sum(F.when(F.col("n") == n, F.col("m")).otherwise(0)).cast("long").alias(f"correct_{n}")
-                      for n in range(1, MAX_ORDER + 1)],
-                    *[F.sum(F.when(F.col("n") == n, F.col("ch")).otherwise(0)).cast("long").alias(f"total_{n}")
-                      for n in range(1, MAX_ORDER + 1)],
-                    # tokens are 1-grams, so the lengths come from the same aggregate
-                    F.sum(F.when(F.col("n") == 1, F.col("ch")).otherwise(0)).cast("long").alias("sys_len"),
-                    F.sum(F.when(F.col("n") == 1, F.col("cr")).otherwise(0)).cast("long").alias("ref_len"),
-                    F.count(F.lit(1)).cast("long").alias("groups"))
-    return agg
+    number of rows."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, ROWS):
+                part = batch.slice(a, ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in _clipped(part.column(0), part.column(1))], names=SUMS)
+
+    tok = df.select(tokenize_13a(pred_col).alias("h"), tokenize_13a(ref_col).alias("r"))
+    sums = tok.mapInArrow(run, ", ".join(f"{c} long" for c in SUMS))
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS])
 
 
 def bleu_from_stats(stats: DataFrame) -> DataFrame:
@@ -112,6 +135,6 @@ def bleu_from_stats(stats: DataFrame) -> DataFrame:
 
 def corpus_bleu(df: DataFrame, pred_col: str = "pred", ref_col: str = "ref",
                 key_cols: list[str] | None = None) -> DataFrame:
-    """One row with the corpus BLEU and its statistics."""
-    key_cols = key_cols or ["row_id"]
+    """One row with the corpus BLEU and its statistics (``key_cols`` are not needed
+    any more: rows keep to themselves)."""
     return bleu_from_stats(bleu_stats(df, pred_col, ref_col, key_cols))

@@ -20,16 +20,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.session import materialize
+
 HASH_BITS = 60
 LEVEL_BITS = 15
 
 
-def head_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("row_id",)) -> DataFrame:
-    """K1: first ``n`` rows in corpus order (TakeOrdered: top-n per partition,
-    then a merge of n rows per partition). None means all rows, 0 none."""
+#: Up to so many rows are gathered in one task; more are selected where they are.
+GATHERED = 100_000
+
+
+def head_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("row_id",), gathered: int = GATHERED) -> DataFrame:
+    """K1: first ``n`` rows in corpus order. None means all rows, 0 none.
+
+    Up to ``gathered`` rows: TakeOrdered (top-n per partition, then a merge), in order.
+    Beyond it, the n-th key is found and rows up to it are a filter, in no order: keys
+    alone are range-partitioned and sorted where they are, one count per task tells in
+    which one the n-th key lies, and its place there names it. Of rows that tie with
+    the n-th key, as many as are needed stay."""
     if n is None:
         return df
-    return df.orderBy(*order_cols).limit(n)
+    order = [F.col(c) for c in order_cols]
+    if n <= gathered:
+        return df.orderBy(*order).limit(n)
+    keys = df.select(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]).alias("k"))
+    # the place of the row deals out keys that are equal
+    keys = keys.withColumn("_row", F.monotonically_increasing_id())
+    keys = keys.repartitionByRange("k", "_row").sortWithinPartitions("k", "_row").select("k")
+    keys = materialize(keys.withColumn("_m", F.monotonically_increasing_id()), "head-keys")
+    runs = keys.groupBy(F.shiftright("_m", 33).alias("task")).agg(F.min("_m").alias("first"), F.count(F.lit(1)).alias("n")) \
+        .orderBy("task").collect()  # a row per task
+    before = 0
+    for r in runs:
+        if before + r["n"] >= n:
+            break
+        before += r["n"]
+    else:
+        return df  # there are no more than n
+    last = keys.where(F.col("_m") == r["first"] + n - before - 1).select("k")
+    less = keys.join(F.broadcast(last.select(F.col("k").alias("last"))), F.col("k") < F.col("last")).count()
+    here = df.join(F.broadcast(last.select(F.col("k").alias("_last"))), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]) <= F.col("_last"))
+    ties = keys.join(F.broadcast(last), "k").count()
+    if ties == n - less:
+        return here.drop("_last")
+    mine = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    first = here.where(mine < F.col("_last")).drop("_last")
+    return first.unionAll(here.where(mine == F.col("_last")).drop("_last").limit(n - less))
 
 
 def split_hash(row_id, seed: int) -> Column:

@@ -432,9 +432,7 @@ def q_lid_lenient(spark, sf):
     from corpusflow.operators.langid import lenient_reject
     pairs = adjacent_line_pairs(table(spark, sf, "documents"))
     lid = _lid(spark, sf)
-    ps = lid.scores(pairs, "src", ["doc_id", "line_no"], prefix="s")
-    pt = lid.scores(pairs, "tgt", ["doc_id", "line_no"], prefix="t")
-    j = ps.join(pt, ["doc_id", "line_no"])
+    j = lid.annotate_all(pairs.select("doc_id", "line_no", "src", "tgt"), {"s": "src", "t": "tgt"}, ["doc_id", "line_no"])
     return j.where(~lenient_reject("s_label", "s_score", "en")
                    & ~lenient_reject("t_label", "t_score", "en")).select("doc_id", "line_no")
 
@@ -481,6 +479,27 @@ def q_head_n(spark, sf):
     return head_n(table(spark, sf, "documents", ["doc_id", "lang"]), 100, ["doc_id"])
 
 
+@register("head_n_selected", "SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 700")
+def q_head_n_selected(spark, sf):
+    """K1 beyond what one task gathers: the 700th key is selected, rows up to it stay."""
+    from corpusflow.operators.sample import head_n
+    return head_n(table(spark, sf, "documents", ["doc_id", "lang"]), 700, ["lang", "doc_id"], gathered=100)
+
+
+@register("corpus_counts_observed", f"""
+SELECT CAST(count(*) AS BIGINT) AS before,
+       (SELECT CAST(count(DISTINCT text) AS BIGINT) FROM (SELECT {S.clean('text', 'en')} AS text FROM documents)
+         WHERE length(text) >= 10) AS after
+  FROM documents
+""")
+def q_corpus_counts_observed(spark, sf):
+    """C1 from snapshot to snapshot, rows before and after observed on the write."""
+    from corpusflow.plans.mono import clean_snapshot
+    from corpusflow.session import shared_dir
+    n = clean_snapshot(spark, f"{sf}/documents.parquet", shared_dir(spark, "clean"), "en", order_cols=["doc_id"])
+    return spark.createDataFrame([(n["before"], n["after"])], "before long, after long")
+
+
 _SPLIT_H = "('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 15))::UBIGINT"
 
 
@@ -573,6 +592,56 @@ def q_ingest_stream(spark, sf):
     return read_snapshot(spark, sink).select("row_id", "doc_id", "text", "lang")
 
 
+def _stream_in_four(spark, sf, columns, **options):
+    """``documents`` arrive in four portions, in order of ``doc_id``; the ingest is
+    started again on the same sink and checkpoint after each. Returns the sink."""
+    from corpusflow.session import shared_dir
+    from corpusflow.streaming.ingest import stream_ingest
+    source, sink, checkpoint = (shared_dir(spark, f"stream-{x}") for x in ("source", "sink", "ckpt"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*columns)
+    cuts = [-(1 << 62), *docs.approxQuantile("doc_id", [0.25, 0.5, 0.75], 0.01), 1 << 62]
+    for lo, hi in zip(cuts, cuts[1:]):
+        part = docs.where((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).repartitionByRange("doc_id")
+        part.sortWithinPartitions("doc_id").write.mode("append").parquet(source)
+        stream_ingest(spark, source, docs.schema, sink=sink, checkpoint=checkpoint, timeout_s=600, **options)
+    return sink
+
+
+@register("ingest_stream_batches", """
+SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, lang FROM documents
+""")
+def q_ingest_stream_batches(spark, sf):
+    """S4 without a key: numbers go on from batch to batch by the ledger."""
+    sink = _stream_in_four(spark, sf, ["doc_id", "lang"])
+    return spark.read.parquet(f"{sink}/batch=*").select("row_id", "doc_id", "lang")
+
+
+@register("ingest_stream_dedup", """
+SELECT doc_id, lang, md5(text) AS text_md5 FROM documents
+QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1
+""")
+def q_ingest_stream_dedup(spark, sf):
+    """S4 + D1: keyed state over four runs; the first row of every text stays."""
+    from corpusflow.sources.readers import read_snapshot
+    sink = _stream_in_four(spark, sf, ["doc_id", "lang", "text"], id_col="doc_id", dedup_col="text")
+    return read_snapshot(spark, sink).select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+@register("ingest_split_tree", """
+SELECT doc_id, 'odd' AS split, n_chars FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, 'even', n_chars + 1 FROM documents WHERE doc_id % 2 = 0
+""")
+def q_ingest_split_tree(spark, sf):
+    """Two splits in one tree; one of them is ingested again and replaced."""
+    from corpusflow.session import shared_dir
+    from corpusflow.sources.readers import read_split, write_split
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars")
+    root = shared_dir(spark, "split-tree")
+    for split, rest, add in (("odd", 1, 0), ("even", 0, 0), ("even", 0, 1)):
+        write_split(docs.where(f"doc_id % 2 = {rest}").withColumn("n_chars", F.col("n_chars") + add), root, "corpus/documents", "sf", split)
+    return read_split(spark, root, "corpus/documents").select("doc_id", "split", "n_chars")
+
+
 @register("ingest_pairs", f"""
 SELECT conv_id * 4294967296 + turn AS row_id, conv_id, turn, src AS en, tgt AS bn
   FROM {S.conversation_pairs()}
@@ -830,25 +899,23 @@ def q_truncate_eos(spark, sf):
     return docs.select("doc_id", F.array_join(truncate_eos(_len_ids(), 2), ",").alias("ids"))
 
 
-#: Least length of the padding query's examples: above any document of the test tables,
-#: so that padding is seen. The query pads to the longest document beyond it; its SQL
-#: still cuts there, so the two differ on longer documents.
-PAD_TO = 32768
+#: The padding query pads every example to the next multiple of this.
+PAD_MULTIPLE = 128
 
 
 @register("pad_ids", f"""
-SELECT doc_id, CAST(len(p) AS BIGINT) AS n, array_to_string(p[1:len(ids) + 3], ',') AS ids,
-       CAST(len(list_filter(p, lambda x: x = 3)) AS BIGINT) AS n_pad
-  FROM (SELECT doc_id, {_len_ids_sql()} AS ids, {_pad_sql(_len_ids_sql(), 3, PAD_TO)} AS p FROM documents)
+WITH e AS (SELECT doc_id, {_len_ids_sql()} AS ids FROM documents),
+n AS (SELECT doc_id, ids, greatest(1, (len(ids) + {PAD_MULTIPLE - 1}) // {PAD_MULTIPLE}) * {PAD_MULTIPLE} AS n FROM e)
+SELECT doc_id, CAST(n AS BIGINT) AS n,
+       array_to_string(list_concat(ids, list_transform(range(n - len(ids)), lambda i: 3)), ',') AS ids,
+       CAST(n - len(ids) AS BIGINT) AS n_pad FROM n
 """)
 def q_pad_ids(spark, sf):
-    """E3 on whole texts: the ids, the padding behind them, and the total length."""
-    from corpusflow.operators.examples import pad_ids
+    """E3 on whole texts: each row padded to the next multiple of 128."""
+    from corpusflow.operators.examples import pad_to_multiple
     docs = table(spark, sf, "documents", ["doc_id", "text"])
-    longest = docs.agg(F.max(F.size(_len_ids()))).first()[0] or 0
-    p = docs.select("doc_id", _len_ids().alias("i"), pad_ids(_len_ids(), 3, max(PAD_TO, longest)).alias("p"))
-    return p.select("doc_id", F.size("p").cast("long").alias("n"),
-                    F.array_join(F.slice("p", F.lit(1), F.size("i") + 3), ",").alias("ids"),
+    p = docs.select("doc_id", pad_to_multiple(_len_ids(), 3, PAD_MULTIPLE).alias("p"))
+    return p.select("doc_id", F.size("p").cast("long").alias("n"), F.array_join("p", ",").alias("ids"),
                     F.size(F.filter("p", lambda x: x == 3)).cast("long").alias("n_pad"))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_text
@@ -33,15 +33,16 @@ def _cleaned(df: DataFrame, lang: str | None, text_col: str, whitelist: bool,
 def clean_monolingual(df: DataFrame, lang: str, lid=None, text_col: str = "text",
                       order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
                       min_chars: int = MIN_MONO_CHARS,
-                      threshold: float = THRESHOLD) -> DataFrame:
+                      threshold: float = THRESHOLD, dedup: str = "gather") -> DataFrame:
     """Cleaned rows that pass every rule; all input columns kept, ``text`` replaced.
+    ``dedup`` is the form of :func:`first_per_key`.
 
     ``lid``: a provider with ``annotate(df, text_col, key_cols, prefix)``
     (see ``operators.langid``), or None to skip language filtering."""
     cols = df.columns
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
     passing = cleaned.where("_ok_len").drop("_ok_len").withColumn("_h", F.md5(F.col(text_col)))
-    firsts = first_per_key(passing, "_h", order_cols)
+    firsts = first_per_key(passing, "_h", order_cols, method=dedup)
     if lid is not None:
         firsts = lid.annotate(firsts, text_col, ["_h"], prefix="_lid")
         firsts = firsts.where(strict_keep("_lid_label", "_lid_score", lang, threshold))
@@ -56,26 +57,20 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
 
     One pass over the text and one narrow shuffle: rows are grouped by the
     hash of their cleaned text (short rows under a null key), carrying the
-    count and the first row's order key and label - the text itself only when
-    a text-based identifier needs it."""
+    count and the first row's order key and verdict, never the text."""
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
     rows = cleaned.withColumn("_h", F.when(F.col("_ok_len"), F.md5(F.col(text_col))))
     order = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
-    if getattr(lid, "text_only", False):
-        # the identifier works on texts: score the first row of each hash
-        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"), F.first(text_col).alias(text_col))
-        per_hash = lid.annotate(per_hash, text_col, ["_h"], prefix="_lid").withColumn(
-            "_v", strict_keep("_lid_label", "_lid_score", lang, threshold))
+    # the verdict is a column of the row, judged before grouping and taken from the first
+    # row: fixed-width buffers only, so Spark can hash-aggregate and no text is shuffled
+    if lid is None:
+        rows = rows.withColumn("_v", F.lit(True))
     else:
-        # the verdict is a column of the row, judged before grouping and taken from the
-        # first row: fixed-width buffers only, so Spark can hash-aggregate
-        if lid is None:
-            rows = rows.withColumn("_v", F.lit(True))
-        else:
-            rows = lid.annotate(rows, text_col, list(order_cols), prefix="_lid").withColumn(
-                "_v", strict_keep("_lid_label", "_lid_score", lang, threshold))
-        per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"),
-                                          F.min_by(F.coalesce("_v", F.lit(False)), order).alias("_v"))
+        rows = lid.annotate(rows.withColumn(text_col, F.when(F.col("_ok_len"), F.col(text_col))), text_col,
+                            list(order_cols), prefix="_lid")
+        rows = rows.withColumn("_v", strict_keep("_lid_label", "_lid_score", lang, threshold))
+    per_hash = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_rows"),
+                                      F.min_by(F.coalesce("_v", F.lit(False)), order).alias("_v"))
     short, verdict = F.col("_h").isNull(), F.coalesce("_v", F.lit(False))
     total = lambda when, n, name: F.coalesce(F.sum(F.when(when, n)), F.lit(0)).cast("long").alias(name)
     return per_hash.agg(F.sum("_rows").cast("long").alias("total"), total(short, F.col("_rows"), "short"),
@@ -84,7 +79,10 @@ def clean_report_monolingual(df: DataFrame, lang: str, lid=None, text_col: str =
 
 
 def clean_snapshot(spark: SparkSession, source: str, target: str, lang: str, **options) -> dict[str, int]:
-    """C1 from snapshot to snapshot: returns the row counts before and after."""
-    raw = read_snapshot(spark, source)
-    write_snapshot(clean_monolingual(raw, lang, **options), target)
-    return {"before": raw.count(), "after": read_snapshot(spark, target).count()}
+    """C1 from snapshot to snapshot: returns the row counts before and after, observed
+    while the one job that writes the target runs."""
+    before, after = Observation("before"), Observation("after")
+    raw = read_snapshot(spark, source).observe(before, F.count(F.lit(1)).alias("n"))
+    out = clean_monolingual(raw, lang, **options).observe(after, F.count(F.lit(1)).alias("n"))
+    write_snapshot(out, target)
+    return {"before": before.get["n"], "after": after.get["n"]}

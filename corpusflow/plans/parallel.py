@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import clean_text, count_numbers, word_count
@@ -49,6 +49,8 @@ def _prepare(df: DataFrame, src_lang: str, tgt_lang: str, whitelist: bool,
 
 def _lid_columns(df: DataFrame, lid, key: Sequence[str]) -> DataFrame:
     """Label/score per side; the cleaned sides are the text columns ``_s``/``_t``."""
+    if hasattr(lid, "annotate_all"):
+        return lid.annotate_all(df, {"_ls": "_s", "_lt": "_t"}, key)
     df = lid.annotate(df, "_s", key, prefix="_ls")
     return lid.annotate(df, "_t", key, prefix="_lt")
 
@@ -72,11 +74,11 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
                    order_cols: Sequence[str] | None = None, whitelist: bool = True,
                    min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
                    max_ratio: float = MAX_RATIO, threshold: float = THRESHOLD,
-                   expect: tuple[str, str] | None = None) -> DataFrame:
+                   expect: tuple[str, str] | None = None, dedup: str = "gather") -> DataFrame:
     """Accepted pairs. ``translation`` is replaced by the cleaned
     ``struct<src_lang, tgt_lang>``; every other input column is kept.
     ``expect`` overrides the labels the LID rule expects per side (default:
-    the two language codes)."""
+    the two language codes); ``dedup`` is the form of :func:`first_per_key`."""
     if expect:
         src_lang_lid, tgt_lang_lid = expect
     else:
@@ -91,7 +93,7 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
             ~_lid_reject(src_lang_lid, tgt_lang_lid, threshold))
     ok = ok.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
     ok = ok.select(*out_cols, "_s", "_t", "_h")
-    firsts = first_per_key(ok, "_h", order_cols)
+    firsts = first_per_key(ok, "_h", order_cols, method=dedup)
     if lid is not None and not per_row_lid:
         firsts = _lid_columns(firsts, lid, ["_h"]).where(
             ~_lid_reject(src_lang_lid, tgt_lang_lid, threshold))
@@ -111,18 +113,23 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
     repeated rejects keep their own reason.
 
     Text-based (or no) language ID: every rule is a function of the cleaned
-    pair, so all rows of one hash share a verdict. One pass, one shuffle:
-    group by (hash, early reason) with a count and the pair text, judge each
-    group once, then sum. Per-row label columns: verdicts may differ inside a
+    pair, so all rows of one hash share a verdict. One pass, one shuffle of
+    (hash, reason, count), no text. Per-row label columns: verdicts may differ inside a
     hash, so the first accepted order key per hash (partial aggregate) is
     joined back on the narrow rows (AQE splits a hot hash)."""
     src_lid, tgt_lid = expect or (src_lang, tgt_lang)
     order_cols = _order(df, order_cols)
     base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
     base = base.withColumn("_h", F.md5(F.concat("_s", F.lit("\t"), "_t")))
-    if lid is None:
-        # Every rule is known per row: aggregate counts only (hash aggregate).
-        r1 = F.when(F.col("_reason0").isNotNull(), F.col("_reason0")).when(
+    if lid is None or getattr(lid, "text_only", False):
+        # Every rule is known per row: aggregate counts only (hash aggregate), no texts.
+        lid_bad = F.lit(False)
+        if lid is not None:  # pairs that are rejected already aren't scored
+            open_ = F.col("_reason0").isNull()
+            base = base.withColumn("_s", F.when(open_, F.col("_s"))).withColumn("_t", F.when(open_, F.col("_t")))
+            base = _lid_columns(base, lid, order_cols)
+            lid_bad = F.coalesce(_lid_reject(src_lid, tgt_lid, threshold), F.lit(False))
+        r1 = F.when(F.col("_reason0").isNotNull(), F.col("_reason0")).when(lid_bad, "lang").when(
             count_numbers("_s") != count_numbers("_t"), "numbers")
         rk = base.select("_h", F.coalesce(r1, F.lit("ok")).alias("_rk"))
         g = rk.groupBy("_h", "_rk").agg(F.count(F.lit(1)).alias("_n"))
@@ -134,28 +141,6 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
               F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("_n") - 1)), F.lit(0)).cast("long").alias(x)
               for x in REASONS],
             F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1)), F.lit(0)).cast("long").alias("kept"))
-    if getattr(lid, "text_only", False):
-        # Null-safe group key: the join of LID scores back needs equal keys.
-        g = base.withColumn("_rk", F.coalesce("_reason0", F.lit("ok"))).groupBy("_h", "_rk").agg(
-            F.count(F.lit(1)).alias("_n"), F.min(F.struct("_s", "_t")).alias("_p"))
-        g = g.select("_h", "_rk", F.when(F.col("_rk") != "ok", F.col("_rk")).alias("_reason0"),
-                     "_n", "_p._s", "_p._t")
-        if lid is not None:
-            g = _lid_columns(g, lid, ["_h", "_rk"])
-            lid_bad = F.coalesce(_lid_reject(src_lid, tgt_lid, threshold), F.lit(False))
-        else:
-            lid_bad = F.lit(False)
-        reason = (F.when(F.col("_reason0").isNotNull(), F.col("_reason0"))
-                   .when(lid_bad, "lang")
-                   .when(count_numbers("_s") != count_numbers("_t"), "numbers"))
-        r = g.select("_n", reason.alias("reason"))
-        return r.agg(
-            F.sum("_n").cast("long").alias("total"),
-            *[F.coalesce(F.sum(F.when(F.col("reason") == x, F.col("_n"))), F.lit(0)).cast("long").alias(x)
-              if x != "dup" else
-              F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("_n") - 1)), F.lit(0)).cast("long").alias(x)
-              for x in REASONS],
-            F.coalesce(F.sum(F.when(F.col("reason").isNull(), 1)), F.lit(0)).cast("long").alias("kept"))
     order = F.struct(*[F.col(c) for c in order_cols])
     base = _lid_columns(base.withColumn("_o", order), lid, list(order_cols))
     rows = base.select("_h", "_o", "_reason0",
@@ -181,7 +166,10 @@ def clean_report_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
 
 def clean_pairs_snapshot(spark: SparkSession, source: str, target: str, src_lang: str, tgt_lang: str,
                          **options) -> dict[str, int]:
-    """C2 from snapshot to snapshot: returns the row counts before and after."""
-    raw = read_snapshot(spark, source)
-    write_snapshot(clean_parallel(raw, src_lang, tgt_lang, **options), target)
-    return {"before": raw.count(), "after": read_snapshot(spark, target).count()}
+    """C2 from snapshot to snapshot: returns the row counts before and after, observed
+    while the one job that writes the target runs."""
+    before, after = Observation("before"), Observation("after")
+    raw = read_snapshot(spark, source).observe(before, F.count(F.lit(1)).alias("n"))
+    out = clean_parallel(raw, src_lang, tgt_lang, **options).observe(after, F.count(F.lit(1)).alias("n"))
+    write_snapshot(out, target)
+    return {"before": before.get["n"], "after": after.get["n"]}

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.pairs import pair_columns
 from corpusflow.operators.sample import head_n
 from corpusflow.session import shared_dir
-from corpusflow.sources.readers import snapshot_name, write_snapshot
+from corpusflow.sources.readers import snapshot_name, write_snapshot, write_split
 
 
 def read_source(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -63,12 +63,15 @@ def _first(df: DataFrame, max_samples: int | None, counted: bool) -> DataFrame:
 def ingest(spark: SparkSession, source: str, dataset_name: str, config_name: str | None = None,
            split: str = "train", output_dir: str | None = None, fmt: str = "parquet",
            max_samples: int | None = None, id_col: str | None = None,
-           options: dict | None = None) -> str:
+           options: dict | None = None, partitioned: bool = False) -> str:
     """S3: read ``source``, keep the first ``max_samples`` rows (0/None = all),
-    write ``<output_dir>/<name>_<config>_<split>``; returns the path."""
+    write ``<output_dir>/<name>_<config>_<split>``; returns the path. ``partitioned``
+    writes the split into the tree of ``write_split`` under ``output_dir`` instead."""
     raw = read_source(spark, source, fmt, options)
     df = _first(with_row_id(raw, id_col, fmt), max_samples, not id_col and "row_id" not in raw.columns)
     out = (output_dir or shared_dir(spark, "ingest")).rstrip("/")
+    if partitioned:
+        return write_split(df, out, dataset_name, config_name, split)
     path = f"{out}/{snapshot_name(dataset_name, config_name, split)}"
     return write_snapshot(df, path)
 

@@ -9,24 +9,63 @@ stopped and never writes a file twice.
 ``row_id`` comes from a key column. A Parquet source without one is numbered in
 order of arrival: batch after batch, and within a batch by file path and row. Such
 batches are written by ``foreachBatch`` to a folder each, which a repeated batch
-replaces, so its numbers start behind the rows of all folders before it.
+replaces. A ledger beside them has one row per batch, where it starts and ends: the
+next batch reads the row of the one before it, never the data. Numbers are dense.
+
+Deduplication (:func:`first_rows`) keeps keyed state, hash -> order key of the row
+that was kept, over micro-batches and restarts: the first row in order of arrival
+wins, within a batch the least order key. Fed in corpus order, batch by batch, it
+gives the rows of the batch job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusflow.session import shared_dir
 
 
+def first_rows(stream: DataFrame, key, order_cols: Sequence[str]) -> DataFrame:
+    """D1/D2 on a stream: a row for each value of the column ``key``, the first one.
+
+    Rows are keyed by the MD5 of ``key``; null keys are one group. The state of a key
+    is its order columns, a few bytes; a repeated row only costs the look-up. Rows of
+    one key in one batch arrive in pieces, of which the least row is kept."""
+    columns, order = stream.columns, list(order_cols)
+    state = T.StructType([T.StructField(c, stream.schema[c].dataType) for c in order])
+
+    def keep(_, parts: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in parts:
+            if not seen.exists:
+                part = part.sort_values(order, na_position="first", kind="stable").head(1)
+                first = part if first is None else \
+                    pd.concat([first, part]).sort_values(order, na_position="first", kind="stable").head(1)
+        if first is not None:
+            seen.update(tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in first.iloc[0][order]))
+            yield first[columns]
+
+    keyed = stream.withColumn("_h", F.coalesce(F.md5(key), F.lit("")))
+    return keyed.groupBy("_h").applyInPandasWithState(
+        keep, stream.schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet",
                   sink: str | None = None, checkpoint: str | None = None,
                   id_col: str | None = None, max_files_per_trigger: int | None = None,
-                  timeout_s: float | None = None, max_samples: int | None = None) -> str:
+                  timeout_s: float | None = None, max_samples: int | None = None,
+                  dedup_col: str | None = None) -> str:
     """Materialise everything available under ``source`` into ``sink``; returns
     the sink path. ``max_samples`` keeps only the first n rows of the stream
-    (a streaming global limit, in arrival order); 0/None means all."""
+    (a streaming global limit, in arrival order); 0/None means all. ``dedup_col`` keeps
+    the first row of each of its values, over all batches of the checkpoint; it asks
+    for ``row_id`` or ``id_col``."""
     sink = sink or shared_dir(spark, "stream-sink")
     checkpoint = checkpoint or shared_dir(spark, "stream-ckpt")
     reader = spark.readStream.format(fmt).schema(schema)
@@ -41,13 +80,17 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     if id_col and "row_id" not in stream.columns:
         stream = stream.withColumn("row_id", F.col(id_col).cast("long"))
     numbered = fmt == "parquet" and "row_id" not in stream.columns
+    if dedup_col:
+        if "row_id" not in stream.columns:
+            raise ValueError("deduplication of a stream needs row_id or id_col")
+        stream = first_rows(stream, F.col(dedup_col), ["row_id"])
     if numbered:
         stream = stream.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
     if max_samples:
         stream = stream.limit(max_samples)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
     if numbered:
-        q = writer.foreachBatch(lambda batch, n: _write_numbered(batch, n, sink)).start()
+        q = writer.foreachBatch(lambda batch, n: _write_numbered(batch, n, sink, bool(max_samples))).start()
     else:
         q = writer.format("parquet").option("path", sink).start()
     q.awaitTermination(timeout_s)
@@ -59,15 +102,31 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     return sink
 
 
-def _write_numbered(batch: DataFrame, n: int, sink: str) -> None:
-    """Write batch ``n`` with row ids that follow those of the batches before."""
+def ledger(spark: SparkSession, sink: str) -> DataFrame:
+    """``batch, first, next``: the numbers of every batch, next being the one behind it."""
+    return spark.read.parquet(*[f"{sink}/_ledger/batch={n}" for n in range(_batches(spark, sink))])
+
+
+def _batches(spark: SparkSession, sink: str) -> int:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/_ledger")
+    return len(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+
+def _write_numbered(batch: DataFrame, n: int, sink: str, limited: bool) -> None:
+    """Write batch ``n`` with row ids that follow those of the batch before."""
     spark = batch.sparkSession
-    earlier = [f"{sink}/batch={k}" for k in range(n)]
-    done = spark.read.parquet(*earlier).count() if n else 0
+    first = spark.read.parquet(f"{sink}/_ledger/batch={n - 1}").first()["next"] if n else 0
     columns = [c for c in batch.columns if c not in ("_f", "_i")]
-    # a row per file; a limit may leave gaps in a file's own row indexes, so rows count
-    files = batch.groupBy("_f").agg((F.max("_i") + 1).alias("_n"))
+    if limited:
+        # a limit leaves gaps in a file's own row indexes: its rows are ranked
+        rank = F.row_number().over(Window.partitionBy("_f").orderBy("_i"))
+        batch = batch.persist().withColumn("_i", (rank - 1).cast("long"))
+    files = batch.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))  # a row per file
     before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    rows = batch.join(files, "_f").select(*columns, (F.lit(done) + F.col("_s") + F.col("_i")).alias("row_id"))
+    files = files.select("_f", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    rows = batch.join(files, "_f").select(*columns, (F.lit(first) + F.col("_s") + F.col("_i")).cast("long").alias("row_id"))
     rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+    size = files.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # the data is there when the ledger says so; a repeated batch replaces both
+    spark.createDataFrame([(n, first, first + size)], "batch long, first long, next long") \
+        .coalesce(1).write.mode("overwrite").parquet(f"{sink}/_ledger/batch={n}")

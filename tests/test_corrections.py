@@ -141,11 +141,11 @@ def test_stream_sink_feeds_the_cleaner(spark, tmp_path):
     assert spark.read.parquet(one).count() == 60
 
 
-def test_padding_keeps_documents_beyond_the_least_length(spark, tmp_path):
-    from corpusflow.plans.catalog import PAD_TO, q_pad_ids
-    rows = [(1, " ".join(["word"] * (PAD_TO + 5))), (2, "two words")]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in q_pad_ids(spark, str(tmp_path)).collect()}
-    pads = got[1]["ids"].split(",").count("3")
-    assert len(got[1]["ids"].split(",")) - pads == PAD_TO + 5
-    assert got[1]["n"] == got[2]["n"] == PAD_TO + 5 and got[2]["n_pad"] == PAD_TO + 3
+def test_padding_goes_to_the_next_multiple(spark, tmp_path):
+    from corpusflow.plans.catalog import q_pad_ids
+    texts = ["w " * 40_000 + "end", "", "one", " ".join(["x"] * 128), None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n, r.n_pad, r.ids.split(",")) for r in q_pad_ids(spark, str(tmp_path)).collect()}
+    assert [got[i][0] for i in range(5)] == [40_064, 128, 128, 128, 128]
+    assert [got[i][1] for i in range(5)] == [63, 127, 127, 0, 127]
+    assert all(len(ids) == n and ids[n - pad:] == ["3"] * pad for n, pad, ids in got.values())

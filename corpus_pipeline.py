@@ -39,16 +39,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: of each group of linked documents, and of rows of one id, the one
-    with the least id stays."""
-    found = materialize(partenum.link_components(docs), "jaccard")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    gone = narrow(materialize(gone, "jaccard-gone"), 16)
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    again = narrow(materialize(again, "jaccard-again"), 16)
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    """Operator 2, on five words and a similarity of 0.8: of each group of linked rows
+    the one with the least id stays (of several the first row; a null id comes last).
+    Rows are linked by their own number, so rows of one id go only where their texts
+    are linked."""
+    rows = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = materialize(partenum.link_components(rows, words=5, percent=80, id_col="_row"), "jaccard")
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("g"))
+    linked = found.where("_row <> g")
+    linked = linked.unionAll(linked.select(F.col("g").alias("_row"), "g").distinct())
+    linked = materialize(linked.join(rows.select("_row", "doc_id"), "_row"), "jaccard-linked")
+    first = linked.groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_stays"))
+    gone = linked.join(narrow(materialize(first, "jaccard-first"), 32), "g").where("_row <> _stays").select("_row")
+    return rows.join(narrow(materialize(gone, "jaccard-gone"), 16), "_row", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,8 +46,9 @@ def narrow(rows: DataFrame, row_bytes: int) -> DataFrame:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, row_bytes: int = 32) -> DataFrame:
-    """Inner join on ``_id`` of texts with a table of labels, one per id."""
-    return docs.join(narrow(labels.where("_id is not null").dropDuplicates(["_id"]), row_bytes), "_id")
+    """Inner join on ``_id`` of texts with a table of labels, one per id: of several the greatest."""
+    one = labels.where("_id is not null").groupBy("_id").agg(F.max("_label").alias("_label"))
+    return docs.join(narrow(one, row_bytes), "_id")
 
 
 def hash_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:

@@ -47,7 +47,8 @@ from corpusflow.llm.boosting import BoostedTrees, platt, sigmoid
 from corpusflow.llm.bpe_dp import slices
 from corpusflow.llm.common import whole, with_labels
 
-REMEMBERED = 300_000
+#: Tokens that a worker remembers before it starts anew, and the longest of them.
+REMEMBERED, LONGEST = 300_000, 64
 # The letters that signs and digits are written for.
 RESEMBLES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -81,6 +82,7 @@ class CharModel:
             self.uni[gram[2]] += n
         self.tri_of, self.bi_of, self.total = tri_of, bi_of, max(1, sum(self.uni.values()))
         self.known: dict[str, float] = {}
+        self.moves: dict[tuple[str, str], tuple[float, str]] = {}
 
     def cost(self, before: str, letter: str) -> float:
         gram = before + letter
@@ -108,29 +110,51 @@ class CharModel:
         return steps
 
     def _cheapest(self, steps: list[list[tuple[str, float]]]) -> str:
-        """The cheapest path's letters (Viterbi over the last two letters; of equal
-        costs the first string in order). A space ends a word. Paths share their
-        beginnings, so that a long token takes linear time."""
-        paths: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+        """The cheapest path's letters (Viterbi over the last two letters). A space ends
+        a word. Of equal costs the path stays that is first by its arcs, each step's in
+        order of their letters: a state's rank among the paths of its step decides, not
+        the paths themselves, so that a token takes linear time however long it is."""
+        paths: list[tuple[str, float, tuple | None]] = [("^^", 0.0, None)]  # in order of rank
         for arcs in steps:
-            after: dict[str, tuple[float, tuple | None]] = {}
-            for state, (paid, path) in paths.items():
-                for letters, price in arcs:
+            if len(arcs) > 1:
+                arcs = sorted(arcs)
+            after: dict[str, tuple[float, int, int, str, tuple | None]] = {}
+            for rank, (state, paid, path) in enumerate(paths):
+                for arc, (letters, price) in enumerate(arcs):
                     cost, at = paid + price, state
-                    for x in letters:
-                        if x == " ":
-                            cost, at = cost + self.cost(at, "$"), "^^"
-                        else:
-                            cost += self.cost(at, x)
-                            at = at[1] + x
-                    new = (path, letters) if letters else path
+                    if letters:
+                        move = self.moves.get((state, letters))
+                        if move is None:
+                            move = self._move(state, letters)
+                        cost, at = cost + move[0], move[1]
                     old = after.get(at)
-                    if old is None or cost < old[0] or cost == old[0] and _spell(new) < _spell(old[1]):
-                        after[at] = (cost, new)
-            paths = after
-        ends = [(paid + self.cost(at, "$"), path) for at, (paid, path) in paths.items()]
-        least = min(cost for cost, _ in ends)
-        return min(_spell(path) for cost, path in ends if cost == least)
+                    if old is None or cost < old[0]:  # an equal cost comes from a later rank or arc
+                        after[at] = (cost, rank, arc, letters, path)
+            if len(after) > 1:
+                paths = [(at, cost, (path, letters) if letters else path) for at, (cost, _, _, letters, path)
+                         in sorted(after.items(), key=lambda x: x[1][1:3])]
+            else:
+                paths = [(at, x[0], (x[4], x[3]) if x[3] else x[4]) for at, x in after.items()]
+        least, best = None, None
+        for at, paid, path in paths:
+            cost = paid + self.cost(at, "$")
+            if least is None or cost < least:
+                least, best = cost, path
+        return _spell(best)
+
+    def _move(self, state: str, letters: str) -> tuple[float, str]:
+        """What letters cost behind a state, and the state behind them."""
+        cost, at = 0.0, state
+        for x in letters:
+            if x == " ":
+                cost, at = cost + self.cost(at, "$"), "^^"
+            else:
+                cost += self.cost(at, x)
+                at = at[1] + x
+        if len(self.moves) >= REMEMBERED:
+            self.moves.clear()
+        found = self.moves[state, letters] = (cost, at)
+        return found
 
     def restore(self, token: str) -> str:
         """The word that a token most likely stands for."""
@@ -198,9 +222,10 @@ class Restorer:
             else:
                 whole = [core] if core.isalpha() else _LETTERS.findall(core)
                 found = tuple(x for x in dict.fromkeys([self.model.restore(core), *whole]) if x)
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[token] = found
+            if len(token) <= LONGEST:
+                if len(self.seen) >= REMEMBERED:
+                    self.seen.clear()
+                self.seen[token] = found
         return found
 
     def run(self, run: str) -> set[str]:
@@ -263,7 +288,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).cast("long").alias("_id"),
                           (F.col(label_col) > 0).cast("int").alias("_label")).where("_label is not null and _id is not null") \
-        .dropDuplicates(["_id"])
+        .groupBy("_id").agg(F.max("_label").alias("_label"))
     sizes = {r["_label"]: r["n"] for r in known.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     restorer = Restorer(char_counts(docs, id_col, text_col))
     if len(sizes) < 2:

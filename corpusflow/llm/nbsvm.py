@@ -129,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     whose features reach the driver, for the fit and for the calibration together."""
     texts = whole(docs, id_col, text_col)
     known = labels.select(F.col(id_col).cast("long").alias("_id"),
-                          (F.col(label_col) > 0).cast("int").alias("_label")).where("_label is not null")
+                          (F.col(label_col) > 0).cast("int").alias("_label")).where("_label is not null") \
+        .groupBy("_id").agg(F.max("_label").alias("_label"))
     counted = pa.schema([("bucket", pa.int32()), ("pos", pa.int64()), ("neg", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

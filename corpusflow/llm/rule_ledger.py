@@ -62,7 +62,8 @@ POLICIES = (BASE, STRICT)
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the measurements of its text column, all long."""
     given = [c for c in df.columns if c not in MEASURES]
-    df = df.select(*[F.col(f"`{c}`") for c in given],
+    # the input's columns travel in a struct, so that no helper has the name of one
+    df = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"{i}") for i, c in enumerate(given)]).alias("given"),
                    F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
     df = df.withColumn("_s", spaced(F.col("_t")))
     df = df.withColumn("_words", F.expr("filter(split(_s, ' '), w -> w != '')"))
@@ -92,7 +93,7 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
                           f"(a, x) -> struct(a.n + least({WINDOW}L, x - a.p) as n, bigint(x) as p), a -> a.n), 0L)",
         "n_exclaims": "char_length(_t) - char_length(replace(_t, '!', ''))",
     }
-    return df.select(*[F.col(f"`{c}`") for c in given],
+    return df.select(*[F.col(f"given.`{i}`").alias(c) for i, c in enumerate(given)],
                      *[F.expr(e).cast("long").alias(c) for c, e in counts.items()])
 
 
@@ -121,15 +122,12 @@ def ablation(df: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataFram
 
     The ledger is reduced to one row per bit pattern before anything is joined.
     """
-    spark = df.sparkSession
-    table = spark.createDataFrame(
-        [(p.version, p.mask, name, 1 << i) for p in policies
-         for i, (name, _) in enumerate(RULES) if p.mask >> i & 1],
-        "version string, mask long, rule string, bit long")
+    table = [{"version": p.version, "mask": p.mask, "rule": name, "bit": 1 << i} for p in policies
+             for i, (name, _) in enumerate(RULES) if p.mask >> i & 1]
     patterns = df.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
-    # at most 2 ** rules patterns meet a table of a few rules per policy
+    # at most 2 ** rules patterns meet a few rules per policy
     rows = patterns.select("fail_bits", "n", F.explode(F.array(*[
-        F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in table.collect()])).alias("r"))
+        F.struct(*[F.lit(v).cast("long" if isinstance(v, int) else "string").alias(c) for c, v in r.items()]) for r in table])).alias("r"))
     rows = rows.select("fail_bits", "n", "r.*")
     failed = F.col("fail_bits").bitwiseAND(F.col("mask"))
     return rows.groupBy("version", "rule").agg(

@@ -13,20 +13,22 @@ signs again under another cut of the domain, as does any set it could miss.
 From signatures to components:
 
 1. One pass writes, per document, its set's size, fingerprint, parity sketch and
-   signatures (once per set and task). Equal sets are one class, known by its least
-   id; copies are never paired.
-2. Signatures are counted (partial aggregation); those of one document fall away.
-3. Rounds: in each group of a signature, one leader is compared with the members of
-   other components; exact intersections decide, and components are merged. A
-   group of near copies becomes one component this way without all its pairs.
+   signatures (once per set and task). Equal sets are one class, known by the number
+   of the one row that signs for it; copies are never paired.
+2. Signatures are exchanged once, as (signature, class), and those of a single class
+   fall away where they meet. Sizes and sketches stay in a table of their own.
+3. Rounds: in each group of a signature, one leader is paired with the members of
+   other components; sizes and sketches rule out what they can, exact intersections
+   decide, and components are merged. A group of near copies becomes one component
+   this way without all its pairs.
 4. Last, all pairs of a group that are still in different components are compared,
    unless sizes or sketches rule them out, both of which are exact bounds. So no
    link that could join two components is left out.
 
 Defined cases: a null or empty text, or one of white space, has an empty set, no
 links and itself as component; a text of fewer than ``words`` words has one
-feature, its whole sequence; a null id has no links and a null component; of rows with one id and
-different texts one set, the least fingerprint, has links; other columns are not read; an empty table
+feature, its whole sequence; a null id has no links and a null component; rows with one id and
+different texts are linked by their own texts; other columns are not read; an empty table
 gives no rows.
 """
 
@@ -41,7 +43,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm.bpe_dp import slices
@@ -197,8 +199,8 @@ def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
     return whole(docs, id_col, text_col).mapInArrow(run, SETS)
 
 
-def _features(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``rep, f0, f1, features`` of the documents named in ``ids(rep)``."""
+def _features(docs: DataFrame, reps: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``c, features`` of the classes in ``reps(c, rep, f0, f1)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -209,92 +211,96 @@ def _features(docs: DataFrame, ids: DataFrame, words: int, id_col: str, text_col
                     [part.column(0), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
                      pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], names=["rep", "f0", "f1", "features"])
 
-    texts = whole(docs, id_col, text_col).join(narrow(ids.withColumnRenamed("rep", "_id"), 24), "_id", "left_semi")
-    return texts.mapInArrow(run, "rep long, f0 long, f1 long, features array<long>")
+    ids = reps.select(F.col("rep").alias("_id")).distinct()
+    texts = whole(docs, id_col, text_col).join(narrow(ids, 16), "_id", "left_semi")
+    sets = texts.mapInArrow(run, "rep long, f0 long, f1 long, features array<long>")
+    # an id may have other texts too, and a row may be there twice
+    return sets.join(narrow(reps, 40), ["rep", "f0", "f1"]).select("c", "features").dropDuplicates(["c"])
 
 
 def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds: int = 2,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document: sets link when
     100 * intersection >= percent * union."""
-    written = materialize(sign(docs, words, percent, id_col, text_col), "partenum-sets")
-    signed = materialize(written.select("doc_id", "n_shingles", "f0", "f1", *FIELDS, (F.size("sigs") > 0).alias("signs")),
+    # every row has a number; a class is known by that of the one row that signs for it
+    numbered = sign(docs, words, percent, id_col, text_col).withColumn("r", F.monotonically_increasing_id())
+    written = materialize(numbered, "partenum-sets")
+    signed = materialize(written.select("r", "doc_id", "n_shingles", "f0", "f1", *FIELDS, (F.size("sigs") > 0).alias("signs")),
                          "partenum-documents")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    # classes of equal sets; row (id, set) -> class, the least id with that set
-    classes = full.groupBy("f0", "f1").agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("f0", "f1").agg(F.min(F.when(F.col("signs"), F.col("r"))).alias("c"), F.min("doc_id").alias("rep"),
+                                           F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "partenum-classes")
-    # should one id stand for several sets, the least of them has its links
-    main = classes.groupBy("rep").agg(F.min(F.struct("f0", "f1")).alias("f")).select("rep", "f.f0", "f.f1")
-
     # a class may have signed in several tasks: all signers but one of each go
-    signs = full.where("signs").select("doc_id", "f0", "f1")
-    one = signs.groupBy("f0", "f1").agg(F.min("doc_id").alias("one"))
-    copies = signs.join(one, ["f0", "f1"]).where("doc_id <> one").select("doc_id", "f0", "f1").distinct()
-    copies = narrow(materialize(copies, "partenum-copies"), 40)
-    signers = written.where("doc_id is not null and size(sigs) > 0").join(copies, ["doc_id", "f0", "f1"], "left_anti")
-    rows = signers.select("doc_id", "f0", "f1", F.explode("sigs").alias("sig"))
-    shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = materialize(shared.select("sig"), "partenum-shared")
-    members = rows.join(narrow(shared, 16), "sig").join(main, ["f0", "f1"]).select("sig", "rep", "f0", "f1").distinct()
-    members = materialize(members, "partenum-members")
+    copies = full.where("signs").select("r", "f0", "f1").join(classes.where("n > 1").select("f0", "f1", "c"), ["f0", "f1"])
+    copies = narrow(materialize(copies.where("r <> c").select("r"), "partenum-copies"), 16)
+    rows = written.where("doc_id is not null and size(sigs) > 0").join(copies, "r", "left_anti")
+    # the one exchange of all signatures: those of a single class fall away where they meet
+    rows = rows.select(F.explode("sigs").alias("sig"), F.col("r").alias("c")).repartition("sig")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "c")
+    members = materialize(rows, "partenum-members")
     discard(written)  # the signatures, by far the largest table, have done their work
-    groups = members.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    info = full.where("signs").select("f0", "f1", "n_shingles", *FIELDS).dropDuplicates(["f0", "f1"])
-    info = members.select("rep", "f0", "f1").distinct().join(info, ["f0", "f1"])
+    shared = materialize(members.select("c").distinct(), "partenum-shared")
+    info = full.where("signs").select(F.col("r").alias("c"), "n_shingles", *FIELDS).join(narrow(shared, 16), "c", "left_semi")
     info = materialize(info, "partenum-info")
-    sets = _features(docs, info.select("rep").distinct(), words, id_col, text_col)
-    sets = sets.join(info.select("rep", "f0", "f1"), ["rep", "f0", "f1"]).select("rep", "features")
-    sets = materialize(sets.dropDuplicates(["rep"]), "partenum-features")
-    members = members.select("sig", "rep").join(groups, "sig", "left_semi")
-    members = materialize(members.join(info.drop("f0", "f1"), "rep"), "partenum-members")
+    reps = materialize(classes.select("c", "rep", "f0", "f1").join(narrow(shared, 16), "c", "left_semi"), "partenum-reps")
+    sets = materialize(_features(docs, reps, words, id_col, text_col), "partenum-features")
 
     links, comp = None, None
     for step in range(rounds + 1):
-        open_ = members.withColumn("comp", F.col("rep")) if comp is None else \
-            members.join(comp.withColumnRenamed("node", "rep"), "rep", "left") \
-            .withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        if comp is not None:
-            split = open_.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
-            open_ = materialize(open_.join(split.select("sig"), "sig", "left_semi"), "partenum-open")
+        open_ = members.withColumn("comp", F.col("c")) if comp is None else \
+            members.join(comp.withColumnRenamed("node", "c"), "c", "left") \
+            .select("sig", "c", F.coalesce("component", "c").alias("comp"))
+        group = Window.partitionBy("sig")
+        if comp is not None:  # groups within one component are done
+            open_ = open_.withColumn("x", F.min("comp").over(group)).withColumn("y", F.max("comp").over(group)).where("x < y")
+            done, members = members, materialize(open_.select("sig", "c", "comp"), "partenum-open")
+            discard(done)
+            open_, members = members, members.select("sig", "c")
             if open_.isEmpty():
                 break
-        left = open_
         if step < rounds:  # one leader for each signature, another one each round
-            lead = F.struct(F.xxhash64(F.lit(step), "rep") if step else F.lit(0).cast("long"), "rep",
-                            "comp", "n_shingles", *FIELDS)
-            left = open_.groupBy("sig").agg(F.min(lead).alias("l")).select("sig", "l.rep", "l.comp", "l.n_shingles",
-                                                                          *[f"l.{s}" for s in FIELDS])
-        pairs = _pairs(left, open_, percent, every=step == rounds)
-        found = materialize(_verified(pairs, sets, percent), f"partenum-links{step}")
+            lead = F.min(F.struct(F.xxhash64(F.lit(step), "c").alias("h"), "c", "comp")).over(group)
+            pairs = open_.withColumn("l", lead).where("comp <> l.comp").select(
+                F.least("c", "l.c").alias("u"), F.greatest("c", "l.c").alias("v")).distinct()
+        else:
+            pairs = _pairs(open_.join(info, "c"), percent)
+        found = materialize(_verified(pairs, info, sets, percent), f"partenum-links{step}")
         links = found if links is None else links.unionAll(found)
         comp = components(links)
-    out = signed.select("doc_id", "n_shingles", "f0", "f1")
-    named = classes if comp is None else classes.join(
-        main.join(comp.withColumnRenamed("node", "rep"), "rep").select("f0", "f1", "component"), ["f0", "f1"], "left") \
-        .select("f0", "f1", F.coalesce("component", "rep").alias("rep"))
-    return out.join(named, ["f0", "f1"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("rep")))
-        .otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Distinct pairs that share a signature, are in different components, and that
-    neither their sizes nor their sketches rule out."""
-    a, b = left.alias("a"), right.alias("b")
-    both = F.col("a.n_shingles") + F.col("b.n_shingles")
-    apart = sum((F.bit_count(F.col(f"a.{s}").bitwiseXOR(F.col(f"b.{s}"))) for s in FIELDS), F.lit(0))
-    order = F.col("a.comp") < F.col("b.comp") if every else F.col("a.comp") != F.col("b.comp")
-    fits = (F.least("a.n_shingles", "b.n_shingles") * 100 >= F.greatest("a.n_shingles", "b.n_shingles") * percent) \
-        & (apart * (100 + percent) <= both * (100 - percent))
-    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & order & fits).select(
-        F.least("a.rep", "b.rep").alias("u"), F.greatest("a.rep", "b.rep").alias("v")).distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    named = classes.where("n > 1").select("f0", "f1", F.col("rep").alias("least"))
+    if comp is not None:
+        linked = comp.withColumnRenamed("node", "c").join(classes.select("c", "f0", "f1", "rep"), "c")
+        least = linked.groupBy("component").agg(F.min("rep").alias("least"))
+        linked = linked.join(least, "component").select("f0", "f1", "least")
+        named = linked.unionAll(named.join(linked, ["f0", "f1"], "left_anti"))
+    # a set that is alone and has no links needs no join
+    named = narrow(materialize(named, "partenum-named"), 40)
+    out = signed.select("doc_id", "n_shingles", "f0", "f1").join(named, ["f0", "f1"], "left")
+    linked = F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id"))
+
+
+def _apart(a: str, b: str, percent: int) -> Column:
+    """Whether neither the sizes nor the sketches of two sets rule a link out."""
+    both = F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")
+    apart = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in FIELDS), F.lit(0))
+    least, most = (f(f"{a}.n_shingles", f"{b}.n_shingles") for f in (F.least, F.greatest))
+    return (least * 100 >= most * percent) & (apart * (100 + percent) <= both * (100 - percent))
+
+
+def _pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs that share a signature and are in different components."""
+    a, b = open_.alias("a"), open_.alias("b")
+    return a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.comp") < F.col("b.comp")) & _apart("a", "b", percent)).select(
+        F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sets' exact Jaccard similarity is high enough."""
-    x = pairs.join(sets.select(F.col("rep").alias("u"), F.col("features").alias("p")), "u")
-    x = x.join(sets.select(F.col("rep").alias("v"), F.col("features").alias("q")), "v")
+    x = pairs.join(info.alias("a"), F.col("u") == F.col("a.c")).join(info.alias("b"), F.col("v") == F.col("b.c"))
+    x = x.where(_apart("a", "b", percent)).select("u", "v")
+    x = x.join(sets.select(F.col("c").alias("u"), F.col("features").alias("p")), "u")
+    x = x.join(sets.select(F.col("c").alias("v"), F.col("features").alias("q")), "v")
     x = x.select("u", "v", F.size(F.array_intersect("p", "q")).alias("i"), (F.size("p") + F.size("q")).alias("n"))
     return x.where(F.col("i") * (100 + percent) >= F.col("n") * percent).select("u", "v")

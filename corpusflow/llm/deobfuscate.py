@@ -83,6 +83,7 @@ class CharModel:
         self.tri_of, self.bi_of, self.total = tri_of, bi_of, max(1, sum(self.uni.values()))
         self.known: dict[str, float] = {}
         self.moves: dict[tuple[str, str], tuple[float, str]] = {}
+        self.arcs: dict[tuple[str, int], list[tuple[str, float]]] = {}
 
     def cost(self, before: str, letter: str) -> float:
         gram = before + letter
@@ -96,9 +97,11 @@ class CharModel:
 
     def lattice(self, token: str) -> list[list[tuple[str, float]]]:
         """Per run of equal characters, what it may stand for and the channel's cost."""
-        steps = []
-        for m in _RUN.finditer(token):
-            ch, n = m.group(1), m.end() - m.start()
+        return [self._arcs(m.group(1), m.end() - m.start()) for m in _RUN.finditer(token)]
+
+    def _arcs(self, ch: str, n: int) -> list[tuple[str, float]]:
+        arcs = self.arcs.get((ch, n))
+        if arcs is None:
             if ch.isalpha():
                 arcs = [(ch * n, 0.0)] if n == 1 else [(ch, SHORTEN), (ch * 2, 0.0 if n == 2 else SHORTEN)]
             else:
@@ -106,8 +109,11 @@ class CharModel:
                 arcs = [(x * k, price * k) for x in RESEMBLES.get(ch, "") for k in ((1,) if n == 1 else (1, 2))]
                 drop = DROP_SEPARATOR if ch in SEPARATORS else DROP_DIGIT if ch.isdigit() else DROP_SIGN
                 arcs.append(("", drop))
-            steps.append(arcs)
-        return steps
+            arcs.sort()  # equal costs go by the letters
+            if len(self.arcs) >= REMEMBERED:
+                self.arcs.clear()
+            self.arcs[ch, n] = arcs
+        return arcs
 
     def _cheapest(self, steps: list[list[tuple[str, float]]]) -> str:
         """The cheapest path's letters (Viterbi over the last two letters). A space ends
@@ -116,8 +122,14 @@ class CharModel:
         the paths themselves, so that a token takes linear time however long it is."""
         paths: list[tuple[str, float, tuple | None]] = [("^^", 0.0, None)]  # in order of rank
         for arcs in steps:
-            if len(arcs) > 1:
-                arcs = sorted(arcs)
+            if len(arcs) == len(paths) == 1:  # nothing to choose
+                (state, paid, path), (letters, price) = paths[0], arcs[0]
+                if letters:
+                    extra, state = self.moves.get((state, letters)) or self._move(state, letters)
+                    paths = [(state, paid + price + extra, (path, letters))]
+                else:
+                    paths = [(state, paid + price, path)]
+                continue
             after: dict[str, tuple[float, int, int, str, tuple | None]] = {}
             for rank, (state, paid, path) in enumerate(paths):
                 for arc, (letters, price) in enumerate(arcs):
@@ -216,7 +228,7 @@ class Restorer:
     def words(self, token: str) -> tuple[str, ...]:
         found = self.seen.get(token)
         if found is None:
-            core = _EDGE.sub("", _PADDING.sub("", token)).lower()
+            core = token.lower() if token.isalpha() else _EDGE.sub("", _PADDING.sub("", token)).lower()
             if core.isalpha() and not _REPEATED.search(core):
                 found = (core,)
             else:
@@ -238,8 +250,9 @@ class Restorer:
     def of(self, text: str) -> set[str]:
         """The distinct restored words of a text, spaced-out words included."""
         out = set()
+        seen = self.seen.get
         for token in set(text.split()):
-            out.update(self.words(token))
+            out.update(seen(token) or self.words(token))
         for m in _SPACED.finditer(text):
             out.update(self.run(m.group()))
         return out

@@ -62,38 +62,40 @@ POLICIES = (BASE, STRICT)
 def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the measurements of its text column, all long."""
     given = [c for c in df.columns if c not in MEASURES]
-    # the input's columns travel in a struct, so that no helper has the name of one
-    df = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"{i}") for i, c in enumerate(given)]).alias("given"),
-                   F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_t"))
-    df = df.withColumn("_s", spaced(F.col("_t")))
-    df = df.withColumn("_words", F.expr("filter(split(_s, ' '), w -> w != '')"))
-    df = df.withColumn("_lines", F.expr(
-        "transform(filter(split(_t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'), l -> l)"))
+    # helpers begin with as many underscores as no column of the input does
+    tag = "_"
+    while any(c.startswith(tag) for c in df.columns):
+        tag += "_"
+    df = df.select(*[F.col(f"`{c}`") for c in given], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(f"{tag}t"))
+    df = df.withColumn(f"{tag}s", spaced(F.col(f"{tag}t")))
+    df = df.withColumn(f"{tag}words", F.expr(f"filter(split({tag}s, ' '), w -> w != '')"))
+    df = df.withColumn(f"{tag}lines", F.expr(
+        f"transform(filter(split({tag}t, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'), l -> l)"))
     # One hash per window: if all differ no window repeats, which is certain.
-    df = df.withColumn("_hashes", F.expr(
-        f"case when size(_words) >= {WINDOW} then transform(sequence(1, size(_words) - {WINDOW - 1}), "
-        f"i -> xxhash64(slice(_words, i, {WINDOW}))) else array() end"))
-    df = df.withColumn("_repeats", F.expr("size(array_distinct(_hashes)) < size(_hashes)"))
+    df = df.withColumn(f"{tag}hashes", F.expr(
+        f"case when size({tag}words) >= {WINDOW} then transform(sequence(1, size({tag}words) - {WINDOW - 1}), "
+        f"i -> xxhash64(slice({tag}words, i, {WINDOW}))) else array() end"))
+    df = df.withColumn(f"{tag}repeats", F.expr(f"size(array_distinct({tag}hashes)) < size({tag}hashes)"))
     # Only texts with a repeat: sort windows by 96 bits of hash, keep those equal to a
     # neighbour, and add up the words that the kept windows cover.
-    df = df.withColumn("_sorted", F.expr(
-        "case when _repeats then array_sort(transform(_hashes, (h, i) -> "
-        f"struct(h as h, hash(slice(_words, i + 1, {WINDOW})) as g, i as i))) end"))
-    df = df.withColumn("_at", F.expr(
-        "array_sort(transform(filter(_sorted, (x, j) -> "
-        "(j > 0 and get(_sorted, j - 1).h = x.h and get(_sorted, j - 1).g = x.g) or "
-        "(j + 1 < size(_sorted) and get(_sorted, j + 1).h = x.h and get(_sorted, j + 1).g = x.g)), x -> x.i))"))
+    df = df.withColumn(f"{tag}sorted", F.expr(
+        f"case when {tag}repeats then array_sort(transform({tag}hashes, (h, i) -> "
+        f"struct(h as h, hash(slice({tag}words, i + 1, {WINDOW})) as g, i as i))) end"))
+    df = df.withColumn(f"{tag}at", F.expr(
+        f"array_sort(transform(filter({tag}sorted, (x, j) -> "
+        f"(j > 0 and get({tag}sorted, j - 1).h = x.h and get({tag}sorted, j - 1).g = x.g) or "
+        f"(j + 1 < size({tag}sorted) and get({tag}sorted, j + 1).h = x.h and get({tag}sorted, j + 1).g = x.g)), x -> x.i))"))
     counts = {
-        "n_words": "size(_words)",
-        "word_chars": "char_length(replace(_s, ' ', ''))",
-        "n_symbols": f"char_length(_t) - char_length(translate(_t, '{SYMBOLS}', ''))",
-        "n_lines": "size(_lines)",
-        "n_dup_lines": "size(_lines) - size(array_distinct(_lines))",
-        "n_repeat_words": f"coalesce(aggregate(_at, struct(0L as n, -{WINDOW}L as p), "
+        "n_words": f"size({tag}words)",
+        "word_chars": f"char_length(replace({tag}s, ' ', ''))",
+        "n_symbols": f"char_length({tag}t) - char_length(translate({tag}t, '{SYMBOLS}', ''))",
+        "n_lines": f"size({tag}lines)",
+        "n_dup_lines": f"size({tag}lines) - size(array_distinct({tag}lines))",
+        "n_repeat_words": f"coalesce(aggregate({tag}at, struct(0L as n, -{WINDOW}L as p), "
                           f"(a, x) -> struct(a.n + least({WINDOW}L, x - a.p) as n, bigint(x) as p), a -> a.n), 0L)",
-        "n_exclaims": "char_length(_t) - char_length(replace(_t, '!', ''))",
+        "n_exclaims": f"char_length({tag}t) - char_length(replace({tag}t, '!', ''))",
     }
-    return df.select(*[F.col(f"given.`{i}`").alias(c) for i, c in enumerate(given)],
+    return df.select(*[F.col(f"`{c}`") for c in given],
                      *[F.expr(e).cast("long").alias(c) for c, e in counts.items()])
 
 

@@ -57,15 +57,13 @@ def head_n(df: DataFrame, n: int | None, order_cols: Sequence[str] = ("row_id",)
         before += r["n"]
     else:
         return df  # there are no more than n
-    last = keys.where(F.col("_m") == r["first"] + n - before - 1).select("k")
-    less = keys.join(F.broadcast(last.select(F.col("k").alias("last"))), F.col("k") < F.col("last")).count()
-    here = df.join(F.broadcast(last.select(F.col("k").alias("_last"))), F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]) <= F.col("_last"))
-    ties = keys.join(F.broadcast(last), "k").count()
-    if ties == n - less:
-        return here.drop("_last")
+    last = keys.where(F.col("_m") == r["first"] + n - before - 1).select("k").first()["k"]  # one row
+    bound = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in keys.schema["k"].dataType])
     mine = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    first = here.where(mine < F.col("_last")).drop("_last")
-    return first.unionAll(here.where(mine == F.col("_last")).drop("_last").limit(n - less))
+    less, ties = keys.agg(F.count(F.when(F.col("k") < bound, 1)), F.count(F.when(F.col("k").eqNullSafe(bound), 1))).first()
+    if ties == n - less:
+        return df.where(mine <= bound)
+    return df.where(mine < bound).unionAll(df.where(mine.eqNullSafe(bound)).limit(n - less))
 
 
 def split_hash(row_id, seed: int) -> Column:

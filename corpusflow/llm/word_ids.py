@@ -5,7 +5,9 @@ ids are those of its space-separated chunks, one after another. Its rule also pa
 letters from punctuation and lowers case, so a chunk of letters with punctuation
 behind it is a lower-case word and the punctuation. Each worker remembers the ids
 of what it has seen; the memory is bounded and only saves time. All ids come from
-the library.
+the library: a lower-case word of Latin letters is one piece that the normalizer
+leaves as it is, so it goes straight to the library's BPE model; all else goes through
+the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ REMEMBERED, LONGEST = 800_000, 48
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
+# The published byte-level alphabet, as the character that stands for a byte.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LETTERS = dict(zip((b for b in range(256) if b not in _SHOWN), range(256, 512)))
+
+
 class ChunkEncoder(dict):
     """Chunk -> its ids as little-endian unsigned 32-bit integers."""
 
@@ -31,16 +38,23 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
 
     def __missing__(self, chunk: str) -> bytes:
         core = chunk.rstrip(PUNCTUATION)
         if core.isalpha() and max(core) < "\u0250":  # Latin: lower case by letter
             lower = core.lower()
-            if lower.isalpha() and (core != chunk or lower != chunk):
-                found = self[lower] + (self[chunk[len(core):]] if core != chunk else b"")
-                return self._keep(chunk, found)
+            if lower.isalpha():
+                if lower == chunk:
+                    return self._keep(chunk, self._word(chunk))
+                return self._keep(chunk, self[lower] + self[chunk[len(core):]] if core != chunk else self[lower])
         return self._keep(chunk, array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes())
 
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+
     def _keep(self, chunk: str, found: bytes) -> bytes:
         if len(chunk) <= LONGEST:
             if len(self) >= REMEMBERED:

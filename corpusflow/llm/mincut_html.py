@@ -8,9 +8,12 @@ more the closer the two are in the document tree. The minimum cut, found by
 maximum flow, is the labelling of least total cost.
 
 The classifier is logistic regression over the block's own look (length, links,
-punctuation, tag, hints in class and id names, place). It learns from blocks whose
-label the page's markup states, on a bounded sample (``sample`` pages in hash
-order); where the markup states a label, that adds a fixed capacity of its own.
+punctuation, tag, place) and the class and id names around it. Names are evidence
+to weigh, never a verdict: long prose in an element named like boilerplate, or one
+between content blocks, can stay. It learns from blocks whose label a tag states, on a
+bounded sample (``sample`` pages in hash order); a stated label adds a fixed capacity
+of its own. A form is boilerplate unless its prose outweighs its controls: some pages
+are one form.
 
 One pass per page, no shuffle; the weights are broadcast. A page's graph has at
 most four edges per block.
@@ -44,18 +47,22 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter "
                    "nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br link "
                    "meta source track param".split())
-BOILER_TAGS = frozenset("nav footer aside form button dialog menu fieldset header".split())
+BOILER_TAGS = frozenset("nav footer aside button dialog menu header".split())
+FORM_TAGS = frozenset("form fieldset".split())
+CONTROLS = frozenset("input button label".split())
 CONTENT_TAGS = frozenset("article main".split())
-BOILER_HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation "
-    "menu submenu breadcrumb breadcrumbs sidebar side rail widget footer foot header masthead topbar toolbar notice "
-    "notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login search "
-    "searchbox form share sharing social related recommended more-links pagination pager comment comments reply replies "
-    "discussion disqus respond copyright legal skip".split())
+BOILER_NAMES = frozenset(
+    "banner nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar widget footer header masthead topbar toolbar "
+    "notice notices cookie cookies consent gdpr alert popup newsletter subscribe subscription signup login searchbox "
+    "share sharing social more-links pagination pager copyright".split())
+WEAK_NAMES = frozenset("side rail foot head modal overlay search form legal skip".split())
+READER_NAMES = frozenset("comment comments reply replies discussion disqus respond related recommended ad ads adv advert "
+                         "adverts advertisement advertising sponsor sponsored promo promotion".split())
 HEADINGS = frozenset("header head masthead".split())
-READERS = frozenset("comment comments reply replies discussion disqus respond related recommended ad ads advert "
-                    "sponsored promo".split())
-CONTENT_HINTS = frozenset("article content main post entry story body text article-body post-content entry-content".split())
+CONTENT_NAMES = frozenset("article content main post entry story body text article-body post-content entry-content".split())
+#: Names that begin so tell what a page has or lacks; endings that say nothing.
+ABOUT = frozenset("no has with without hide show is".split())
+GENERIC = frozenset("wrap wrapper container inner outer box area section block list item group".split())
 #: An opening tag ends an open element of these first.
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"},
@@ -75,16 +82,20 @@ _STOP = re.compile(r"[<>]|=\s*+[\"']")
 _ANGLE = re.compile("[<>]")
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
 _SHOWN = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
+_ENDS = ".!?…。”\""
 _SPACE = re.compile(r"\s+")
+_PARTS = re.compile(r"[_-]+")
 
 
 @dataclass(slots=True)
 class Element:
     tag: str
     parent: Element | None
-    stated: int  # 1 content, -1 boilerplate, 0 nothing stated, by the nearest element that says
-    firm: bool  # boilerplate that an article inside can't overrule
-    hints: tuple[int, int]
+    stated: int  # 1 content, -1 boilerplate, 0 nothing stated, by the nearest tag that says
+    hints: tuple[int, int, int, int]  # names around: readers' and adverts', boilerplate, weak ones, content
+    forms: tuple[Element, ...] = ()  # the outermost and the innermost form around, itself included
+    controls: int = 0  # of a form
+    prose: int = 0  # of a form: characters in whole sentences
 
 
 @dataclass(slots=True)
@@ -94,6 +105,12 @@ class Block:
     linked: int
     inner: str  # tag of the first inline element, or ""
 
+    @property
+    def stated(self) -> int:
+        if any(form.prose <= max(150, 100 * form.controls) for form in self.element.forms):
+            return -1
+        return self.element.stated
+
 
 def attributes(attrs: str) -> dict[str, str]:
     """Values in lower case by name; of equal names the first one counts."""
@@ -112,36 +129,54 @@ def is_hidden(found: dict[str, str]) -> bool:
     return style.get("display") == "none" or style.get("visibility") == "hidden"
 
 
+def named(found: dict[str, str], inside: bool) -> tuple[bool, bool, bool, bool]:
+    """What the names of an element say: (readers' or advert, boilerplate, weak, content).
+    A compound is what its last telling part says; one that also speaks of content is
+    weak evidence, as is any next to a plain name of content."""
+    readers = boiler = weak = content = plain = False
+    for token in " ".join(found.get(a, "") for a in ("class", "id", "role")).split():
+        parts = [p for p in _PARTS.split(token) if p]
+        if not parts or len(parts) > 1 and parts[0] in ABOUT:
+            continue
+        if token in CONTENT_NAMES:
+            plain = True
+            continue
+        while len(parts) > 1 and parts[-1] in GENERIC:
+            parts.pop()
+        head, mixed = parts[-1], not CONTENT_NAMES.isdisjoint(parts)
+        if inside and (head in HEADINGS or token in HEADINGS):  # an article has headings of its own
+            continue
+        if not READER_NAMES.isdisjoint(parts):
+            readers = True
+        elif token in BOILER_NAMES or head in BOILER_NAMES and not mixed:
+            boiler = True
+        elif head in BOILER_NAMES or head in WEAK_NAMES or not BOILER_NAMES.isdisjoint(parts):
+            weak = True
+        elif head in CONTENT_NAMES:
+            content = True
+    return readers, boiler, weak and not plain, content or plain
+
+
 def _open(tag: str, attrs: str, parent: Element) -> Element:
-    stated, firm, (bad, good) = parent.stated, parent.firm, parent.hints
-    whole, parts, found = set(), set(), {}
-    if attrs and len(attrs) > 4:
-        found = attributes(attrs)
-        for name in ("class", "id", "role"):
-            if value := found.get(name):
-                whole.update(value.split())
-                parts.update(re.split(r"[\s_-]+", value))
-    # parts of names of outer layers, like "has-sidebar", often describe the page
-    exact, loose = whole & BOILER_HINTS, parts & BOILER_HINTS
-    if stated > 0:  # an article has headings of its own
-        exact, loose = exact - HEADINGS, loose - HEADINGS
+    stated, hints = parent.stated, parent.hints
     if tag in ("html", "body"):
-        pass
-    elif tag in CONTENT_TAGS:
-        if exact & READERS:
-            stated, firm = -1, True
-        elif not (stated < 0 and firm):
-            stated, firm = 1, False
+        return Element(tag, parent, stated, hints, parent.forms)
+    found = attributes(attrs) if attrs and len(attrs) > 4 else {}
+    said = named(found, stated > 0) if found else (False,) * 4
+    if tag in CONTENT_TAGS:
+        if stated == 0 and not said[0]:
+            stated = 1
+        said = (said[0], False, False, said[3])  # a page's parts are listed in its article's names
     elif tag in BOILER_TAGS and not (tag == "header" and stated > 0):
-        stated, firm, bad = -1, True, bad + bool(exact or loose)
-    elif exact or loose:
-        firm = firm and stated < 0 or bool(exact or loose & READERS)
-        stated, bad = -1, bad + 1
-    elif whole & CONTENT_HINTS or parts & CONTENT_HINTS:
-        good += 1
-    if found and stated >= 0 and tag not in ("html", "body") and is_hidden(found):
-        stated, firm = -1, True
-    return Element(tag, parent, stated, firm, (bad, good))
+        stated = -1
+    if found and stated >= 0 and is_hidden(found):
+        stated = -1
+    if any(said):
+        hints = tuple(min(2, a + b) for a, b in zip(hints, said))
+    made = Element(tag, parent, stated, hints, parent.forms)
+    if tag in FORM_TAGS:
+        made.forms = (*parent.forms[:1], made)
+    return made
 
 
 def _tag_end(page: str, at: int, none: set[str]) -> int:
@@ -192,7 +227,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order: white space inside is one space, none is empty."""
-    root = Element("", None, 0, False, (0, 0))
+    root = Element("", None, 0, (0, 0, 0, 0))
     at, out, buffer, linked, inner, links, stack = root, [], [], 0, "", 0, []
 
     def flush():
@@ -201,6 +236,9 @@ def blocks(page: str) -> list[Block]:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             if text:
                 out.append(Block(text, at, linked, inner))
+                if at.forms and len(text) >= 60 and text[-1] in _ENDS and 2 * linked < len(text):
+                    for form in at.forms:
+                        form.prose += len(text)
             buffer.clear()
         linked, inner = 0, ""
 
@@ -210,6 +248,8 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked += len(text)
             continue
+        if at.forms and not end and tag in CONTROLS and "hidden" not in attrs.lower():
+            at.forms[-1].controls += 1
         if tag in INLINE:
             if tag == "a":
                 links = 0 if end else 1
@@ -238,24 +278,26 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-N_FEATURES = 14
+N_FEATURES = 17
 
 
 def look(found: list[Block]) -> np.ndarray:
-    """Features of each block's own look, without what the markup states."""
+    """Features of each block's look and of the names around it, without what tags state."""
     n, rows = len(found), []
     for i, b in enumerate(found):
         size, tag = len(b.text), b.element.tag
-        rows.append((1.0, min(np.log1p(size), 8.0), min(1.0, b.linked / size), b.text[-1] in ".!?…。”\"",
+        rows.append((1.0, min(np.log1p(size), 8.0), min(1.0, b.linked / size), b.text[-1] in _ENDS,
                      min(3.0, b.text.count(",") * 50 / (size + 50)), b.text.count(" ") < 3,
                      tag == "p", tag in ("h1", "h2", "h3", "h4"), tag in ("li", "dt", "dd"),
                      tag in ("td", "th", "tr", "table"), tag in ("div", "section", "body"),
-                     min(2, b.element.hints[1]), i / n, "©" in b.text or "|" in b.text and size < 80))
+                     b.element.hints[3], i / n, "©" in b.text or "|" in b.text and size < 80,
+                     *map(bool, b.element.hints[:3])))
     return np.array(rows, float).reshape(n, N_FEATURES)
 
 
 #: Weights if a corpus has nothing to learn from (and the pull towards them).
-PRIOR = np.array([-1.0, 0.5, -4.0, 0.8, 0.6, -0.4, 0.8, 0.6, -0.6, -0.2, -0.3, 0.8, -0.4, -1.5])
+PRIOR = np.array([-1.0, 0.5, -4.0, 0.8, 0.6, -0.4, 0.8, 0.6, -0.6, -0.2, -0.3, 0.8, -0.4, -1.5,
+                  -12.0, -6.5, -2.5])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 0.05, steps: int = 25) -> np.ndarray:
@@ -341,8 +383,9 @@ class Flow:
         return [not r for r in reach]
 
 
-#: Capacity that stated markup adds, and capacities of smoothness edges.
-STATED, NEXT, NEXT_FAR, SIBLING, COUSIN = 8.0, 1.2, 0.2, 0.6, 0.2
+#: Capacity that a stated label adds (boilerplate, none, content), and capacities of smoothness edges.
+STATED = {-1: -10.0, 0: 0.0, 1: 5.0}
+NEXT, NEXT_FAR, SIBLING, COUSIN = 1.2, 0.2, 0.6, 0.2
 
 
 def label(found: list[Block], weights: np.ndarray) -> list[bool]:
@@ -350,7 +393,8 @@ def label(found: list[Block], weights: np.ndarray) -> list[bool]:
     n = len(found)
     if not n:
         return []
-    odds = look(found) @ weights + np.array([STATED * b.element.stated for b in found])
+    stated = [b.stated for b in found]
+    odds = look(found) @ weights + np.array([STATED[x] for x in stated])
     if (odds >= 0).all() or (odds < 0).all():
         return [bool(odds[0] >= 0)] * n  # nothing to cut
     graph, last = Flow(n + 2), {}
@@ -362,7 +406,7 @@ def label(found: list[Block], weights: np.ndarray) -> list[bool]:
         parent = b.element.parent
         if i:
             a = found[i - 1].element
-            near = a is b.element or a.parent is parent and a.stated == b.element.stated
+            near = a is b.element or a.parent is parent and stated[i - 1] == stated[i]
             c = NEXT if near else NEXT_FAR
             graph.join(i - 1, i, c, c)
         for key, c in ((id(parent), SIBLING), (id(parent.parent) if parent else 0, COUSIN)):
@@ -379,7 +423,7 @@ def main_text(page: str, weights: np.ndarray = PRIOR) -> str:
 
 
 def train(pages: DataFrame, html_col: str = "html", sample: int = 1500) -> np.ndarray:
-    """Weights from blocks whose markup states a label, on ``sample`` pages."""
+    """Weights from blocks whose label a tag states, on ``sample`` pages."""
     some = pages.select(F.coalesce(F.col(html_col), F.lit("")).alias("_html")).where("_html <> ''")
     some = hash_sample(some, sample, "_html")
 
@@ -388,7 +432,8 @@ def train(pages: DataFrame, html_col: str = "html", sample: int = 1500) -> np.nd
             xs, ys = [np.empty((0, N_FEATURES))], [np.empty(0)]
             for page in batch.column(0).to_pylist():
                 found = blocks(page)
-                stated = np.array([b.element.stated for b in found])
+                # an advert or comment inside an article is no example of content
+                stated = np.array([0 if b.stated > 0 and any(b.element.hints[:2]) else b.stated for b in found])
                 if len(found) and (stated != 0).any():
                     # a page counts as one, so that long pages don't outweigh others
                     x, y = look(found)[stated != 0], stated[stated != 0]

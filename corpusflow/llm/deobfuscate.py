@@ -37,6 +37,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -249,10 +250,8 @@ class Restorer:
 
     def of(self, text: str) -> set[str]:
         """The distinct restored words of a text, spaced-out words included."""
-        out = set()
         seen = self.seen.get
-        for token in set(text.split()):
-            out.update(seen(token) or self.words(token))
+        out = set(chain.from_iterable([seen(token) or self.words(token) for token in set(text.split())]))
         for m in _SPACED.finditer(text):
             out.update(self.run(m.group()))
         return out
@@ -277,13 +276,18 @@ class Model:
     slope: float = 0.0
     shift: float = 0.0
 
+    def __post_init__(self):
+        # every entry of a word begins like the word with its end
+        self.starts = {entry[:4] for entry in self.lexicon}
+
     def evidence(self, text: str) -> list[float]:
-        best, get = [], self.lexicon.get
+        best, get, starts = [], self.lexicon.get, self.starts
         words = self.restorer.of(text)
         for word in words:
-            found = [e for x in entries(word) if (e := get(x)) is not None]
-            if found:
-                best.append(max(found))
+            if (word + "$")[:4] in starts:
+                found = [e for x in entries(word) if (e := get(x)) is not None]
+                if found:
+                    best.append(max(found))
         best = sorted(best, reverse=True)[:3] + [-6.0] * 3
         return [best[0], best[1], best[2], float(np.log1p(len(words)))]
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tokenizers import Tokenizer
@@ -448,6 +449,28 @@ def test_search_equals_scoring_all(spark, monkeypatch, shard_docs, block_queries
     assert got == brute_search(rows, [r for r in rows if r[0] % 20 == 0], 5)
 
 
+def test_search_words_by_columns():
+    rnd = random.Random(8)
+    letters = " \t\n\x0b\x0c\r\x1c\x1f\x85\xa0 aAZz09.\u00e9\u0130\u65e5\x00"
+    texts = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 20))) for _ in range(900)]
+    for part in (slice(None), slice(0, 512), slice(512, 900), slice(899, 900), slice(7, 7)):
+        column = pa.array(texts)[part.start or 0:part.stop]
+        got = [[] for _ in texts[part]]
+        text_at, code, known = bm25_wand.coded(column)
+        for i, w in zip(text_at.tolist(), code.tolist()):
+            got[i].append(known[w])
+        assert got == [bm25_wand.words(t) for t in texts[part]]
+
+
+def test_search_over_more_than_one_slice(spark):
+    rnd = random.Random(9)
+    vocabulary = [f"t{int(rnd.paretovariate(0.7))}" for _ in range(600)]
+    rows = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40)))) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {tuple(r) for r in bm25_wand.search(df, df.where("doc_id % 50 = 0"), 5).collect()}
+    assert got == brute_search(rows, [r for r in rows if r[0] % 50 == 0], 5)
+
+
 def test_search_edge_cases(odd, none):
     rows = [(i, t) for i, t in TEXTS if i != 2] + [(2, SHARED.upper())]
     df = odd.select("doc_id", "text").distinct()

@@ -43,7 +43,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     the one with the least id stays (of several the first row; a null id comes last).
     Rows are linked by their own number, so rows of one id go only where their texts
     are linked."""
-    rows = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows", "zstd")
     found = materialize(partenum.link_components(rows, words=5, percent=80, id_col="_row"), "jaccard")
     found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("g"))
     linked = found.where("_row <> g")

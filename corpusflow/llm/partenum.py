@@ -53,6 +53,7 @@ from corpusflow.session import discard, materialize
 
 REMEMBERED = 600_000
 SKETCH = 8  # longs of the parity sketch
+FEATURES = 3  # least features in a signature's parts, on average
 SEEDS = 12  # cuts of the domain, for sets with many empty signatures
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,7 +104,7 @@ def bands(percent: int, size: int) -> tuple[int, int, int]:
 @cache
 def cuts(percent: int, low: int, high: int) -> tuple[int, int, int, int] | None:
     """(n1, n2, k2, spare) for the instance whose band is from ``low`` to ``high``;
-    None if its sets can't differ. The fewest signatures whose parts hold four
+    None if its sets can't differ. The fewest signatures whose parts hold three
     features or more on average, with groups to spare for a hundredth of the sets."""
     k = 2 * high * (100 - percent) // (100 + percent)
     if not k:
@@ -117,7 +118,7 @@ def cuts(percent: int, low: int, high: int) -> tuple[int, int, int, int] | None:
                 if n1 < 400 else float(n1 * empty > spare / 3)
             if miss <= 0.01:
                 break
-        cost = (low / n1 * (n2 - k2) / n2 < 4, n1 * comb(n2, k2))
+        cost = (low / n1 * (n2 - k2) / n2 < FEATURES, n1 * comb(n2, k2))
         if best is None or cost < best[0]:
             best = (cost, (n1, n2, k2, spare))
     return best[1]
@@ -244,7 +245,6 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
     info = full.where("signs").select(F.col("r").alias("c"), "n_shingles", *FIELDS).join(narrow(shared, 16), "c", "left_semi")
     info = materialize(info, "partenum-info")
     reps = materialize(classes.select("c", "rep", "f0", "f1").join(narrow(shared, 16), "c", "left_semi"), "partenum-reps")
-    sets = materialize(_features(docs, reps, words, id_col, text_col), "partenum-features")
 
     links, comp = None, None
     for step in range(rounds + 1):
@@ -265,7 +265,15 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
                 F.least("c", "l.c").alias("u"), F.greatest("c", "l.c").alias("v")).distinct()
         else:
             pairs = _pairs(open_.join(info, "c"), percent)
-        found = materialize(_verified(pairs, info, sets, percent), f"partenum-links{step}")
+        # sets are made for the classes of pairs that sizes and sketches leave, and deleted after the round
+        pairs = materialize(_possible(pairs, info, percent), "partenum-pairs")
+        if pairs.isEmpty():
+            found = pairs
+        else:
+            nodes = materialize(pairs.select(F.col("u").alias("c")).unionAll(pairs.select("v")).distinct(), "partenum-nodes")
+            sets = materialize(_features(docs, reps.join(narrow(nodes, 16), "c", "left_semi"), words, id_col, text_col), "partenum-features")
+            found = materialize(_verified(pairs, sets, percent), f"partenum-links{step}")
+            discard(sets)
         links = found if links is None else links.unionAll(found)
         comp = components(links)
     named = classes.where("n > 1").select("f0", "f1", F.col("rep").alias("least"))
@@ -296,11 +304,15 @@ def _pairs(open_: DataFrame, percent: int) -> DataFrame:
         F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, info: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets' exact Jaccard similarity is high enough."""
+def _possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and sketches don't rule out."""
     x = pairs.join(info.alias("a"), F.col("u") == F.col("a.c")).join(info.alias("b"), F.col("v") == F.col("b.c"))
-    x = x.where(_apart("a", "b", percent)).select("u", "v")
-    x = x.join(sets.select(F.col("c").alias("u"), F.col("features").alias("p")), "u")
+    return x.where(_apart("a", "b", percent)).select("u", "v")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sets' exact Jaccard similarity is high enough."""
+    x = pairs.join(sets.select(F.col("c").alias("u"), F.col("features").alias("p")), "u")
     x = x.join(sets.select(F.col("c").alias("v"), F.col("features").alias("q")), "v")
     x = x.select("u", "v", F.size(F.array_intersect("p", "q")).alias("i"), (F.size("p") + F.size("q")).alias("n"))
     return x.where(F.col("i") * (100 + percent) >= F.col("n") * percent).select("u", "v")

@@ -22,11 +22,12 @@ Text is lower-cased with newlines as spaces; the whole text is used.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,19 @@ def codes(text: np.ndarray) -> np.ndarray:
     return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
 
 
+def portions(texts) -> Iterator[list]:
+    """The texts in pieces of about ``WINDOW`` code points."""
+    part, n = [], 0
+    for t in texts:
+        part.append(t)
+        n += len(t or "")
+        if n >= WINDOW:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
 class DenseModel:
     """Sorted trigram codes and their matrix, as a worker uses them."""
 
@@ -99,16 +113,20 @@ class DenseModel:
         self.log_norm = np.array([log_norm[i] for i in by_name])
 
     def __call__(self, texts: pd.Series) -> pd.DataFrame:
-        texts = ["" if t is None else t for t in texts]
+        found = [self._some([t or "" for t in part]) for part in portions(texts)]
+        return pd.concat(found, ignore_index=True) if found else self._some([])
+
+    def _some(self, texts: list[str]) -> pd.DataFrame:
         size = np.array([len(t) for t in texts], "i8")
         n = np.maximum(size - 2, 0)
         sums = np.zeros((len(texts), len(self.langs)))
         stop = np.cumsum(size)
+        rows = np.repeat(np.arange(len(texts)), size)
         flat = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
         for a in range(0, max(0, len(flat) - 2), WINDOW):
             code = codes(flat[a:a + WINDOW + 2])
             place = np.arange(a, a + len(code))
-            row = np.searchsorted(stop, place, "right")
+            row = rows[a:a + len(code)]
             at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
             hit = (place + 2 < stop[row]) & (self.code[at] == code) if len(self.code) else np.zeros(len(code), bool)
             for lang in range(len(self.langs)):
@@ -148,7 +166,7 @@ class TrigramLid:
             bc = self.model.sparkSession.sparkContext.broadcast(made)
             # not deterministic by declaration: a filter on the label must not be
             # pushed below, where the text would be scored once more
-            self._dense = F.pandas_udf(_scorer(bc), "label string, score double").asNondeterministic()
+            self._dense = F.arrow_udf(_scorer(bc), "label string, score double").asNondeterministic()
         return self._dense
 
     def annotate_all(self, df: DataFrame, text_cols: dict[str, str], key_cols: Sequence[str] = ()) -> DataFrame:
@@ -206,8 +224,10 @@ class TrigramLid:
 
 
 def _scorer(bc):
-    def score(texts: pd.Series) -> pd.DataFrame:
-        return bc.value(texts)
+    def score(texts: pa.Array) -> pa.Array:
+        # a text becomes a Python object when its turn comes
+        found = bc.value(x.as_py() for x in texts)
+        return pa.StructArray.from_arrays([pa.array(found["label"], pa.string()), pa.array(found["score"], pa.float64())], ["label", "score"])
 
     return score
 

@@ -11,16 +11,17 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def platt(margin: np.ndarray, label: np.ndarray, steps: int = 60) -> tuple[float, float]:
+def platt(margin: np.ndarray, label: np.ndarray, steps: int = 60, weight: np.ndarray | None = None) -> tuple[float, float]:
     """(a, b) with sigmoid(a * margin + b) near the label's probability (Newton steps)."""
-    hits, misses = label.sum(), len(label) - label.sum()
+    weight = np.ones_like(margin) if weight is None else weight
+    hits, misses = (weight * label).sum(), (weight * (1 - label)).sum()
     target = np.where(label > 0, (hits + 1) / (hits + 2), 1 / (misses + 2))
     x = np.stack([margin, np.ones_like(margin)], 1)
     w = np.zeros(2)
     for _ in range(steps):
         p = sigmoid(x @ w)
-        grad = x.T @ (p - target) + 1e-6 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        grad = x.T @ (weight * (p - target)) + 1e-6 * w
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
         w = w - np.linalg.solve(hess, grad)
     return float(w[0]), float(w[1])
 
@@ -38,15 +39,17 @@ class BoostedTrees:
     base: float = 0.0
     trees: list = field(default_factory=list)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, edges: list | None = None) -> BoostedTrees:
+        """``weight`` rows of each kind; ``edges`` are the splits of every feature, if known."""
+        self.edges = edges or [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
+        weight = np.ones(len(y)) if weight is None else weight
         codes = np.stack([np.searchsorted(e, c, side="right") for e, c in zip(self.edges, x.T)], 1)
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        p = np.clip(np.average(y, weights=weight), 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         margin = np.full(len(y), self.base)
         for _ in range(self.n_trees):
             p = sigmoid(margin)
-            tree = self._grow(codes, y - p, p * (1 - p), np.arange(len(y)), self.depth)
+            tree = self._grow(codes, weight * (y - p), weight * p * (1 - p), np.arange(len(y)), self.depth)
             self.trees.append(tree)
             margin += self._run(tree, x)
         return self

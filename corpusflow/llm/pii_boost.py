@@ -10,10 +10,10 @@ The model learns from the corpus itself: base spans are positive, and so are bas
 addresses rewritten in the spelled-out forms that the generator proposes; base matches
 that fail their check, and base spans spoilt in place (a digit changed, a part too
 large, digits cut off, glued to a word, a sentence's end for a host, a plain word
-before "at"), are negative. Boosted trees are fitted
-on a bounded sample (``sample`` examples by hash order), one set per kind; on the
-other half of it the margins are calibrated, and each kind's threshold is the
-lowest at which ``precision`` of that half is kept. Selected candidates that don't
+before "at"), are negative. Every example counts: they are summed by the cells of a
+grid of quantiles, and boosted trees are fitted on the weighted cells of one half, one
+set per kind; on the other half the margins are calibrated, and each kind's threshold is
+the lowest at which ``precision`` of that half is kept. Selected candidates that don't
 overlap a base span or a better candidate are added. Base spans always stay.
 
 The table between the passes holds spans and features, not texts. There is no
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.boosting import BoostedTrees, platt, sigmoid
 from corpusflow.llm.bpe_dp import slices
-from corpusflow.llm.common import hash_sample, whole
-from corpusflow.session import materialize
+from corpusflow.llm.common import whole
+from corpusflow.session import discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -269,33 +269,102 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return whole(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def train(spans: DataFrame, sample: int = 16_000, precision: float = 0.95) -> dict:
-    """Per kind (trees, calibration, threshold) from at most ``sample`` examples."""
+EXAMPLES = pa.schema([("kind", pa.int32()), ("feats", pa.binary()), ("half", pa.int32()), ("good", pa.int64()), ("bad", pa.int64())])
+EXAMPLE = "kind int, feats binary, half int, good long, bad long"
+
+
+def _examples(spans: DataFrame) -> DataFrame:
+    """All examples as distinct vectors of features with their numbers, by half."""
     x = spans.select("doc_id", F.posexplode(F.arrays_zip("kind", "role", "feats")).alias("at", "x")).select("doc_id", "at", "x.*")
-    x = x.where(f"role <> {PROPOSED}")
-    models = {}
-    for kind, name in enumerate(KINDS):
-        rows = hash_sample(x.where(F.col("kind") == kind), sample // len(KINDS), "doc_id", "at").collect()
-        rows.sort(key=lambda r: (zlib.crc32(r["feats"]), r["role"], r["feats"]))
-        if not rows:
-            continue
-        feats = np.stack([np.frombuffer(r["feats"], "f4") for r in rows]).astype("f8")
-        label = np.array([r["role"] != WRONG for r in rows], float)
-        half = np.arange(len(rows)) % 2 == 0
-        if min(label[half].sum(), (1 - label[half]).sum(), label[~half].sum(), (1 - label[~half]).sum()) < 5:
-            continue
-        trees = BoostedTrees().fit(feats[half], label[half])
-        margin = trees.margin(feats[~half])
-        a, b = platt(margin, label[~half])
-        p, y = sigmoid(a * margin + b), label[~half]
-        order = np.argsort(-p, kind="stable")
-        kept = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        fine = np.flatnonzero(kept >= precision)
-        if len(fine):
-            models[kind] = (trees, a, b, max(0.5, float(p[order][fine[-1]])))
+    x = x.where(f"role <> {PROPOSED}").withColumn("half", F.pmod(F.xxhash64("doc_id", "at"), F.lit(2)).cast("int"))
+    good = F.sum((F.col("role") != WRONG).cast("long"))
+    return x.groupBy("kind", "feats", "half").agg(good.alias("good"), (F.count(F.lit(1)) - good).alias("bad"))
+
+
+def _edges(examples: DataFrame, bins: int) -> dict[int, list[np.ndarray]]:
+    """Per kind and feature the quantiles of all examples' values."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, n = batch.column(0).to_numpy(), batch.column(3).to_numpy() + batch.column(4).to_numpy()
+            feats = batch.column(1).to_pylist()
+            for kind in np.unique(kinds).tolist():
+                at = np.flatnonzero(kinds == kind)
+                x = np.stack([np.frombuffer(feats[i], "f4") for i in at]).astype("f8")
+                for j, column in enumerate(x.T):
+                    values, where = np.unique(column, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), v, "i4")) for v in (kind, j)] + [
+                        pa.array(values), pa.array(np.bincount(where, n[at]).astype("i8"))], names=["kind", "j", "v", "n"])
+
+    counts = examples.mapInArrow(run, "kind int, j int, v double, n long").groupBy("kind", "j", "v").agg(F.sum("n").alias("n"))
+    steps = ", ".join(f"{i / bins}D" for i in range(1, bins))
+    found: dict[int, list[np.ndarray]] = {}
+    for r in counts.groupBy("kind", "j").agg(F.expr(f"percentile(v, array({steps}), n)").alias("q")).orderBy("kind", "j").collect():
+        found.setdefault(r["kind"], []).append(np.unique(r["q"]))
+    return found
+
+
+def _cells(examples: DataFrame, edges: dict[int, list[np.ndarray]]) -> DataFrame:
+    """Examples by the cell of the grid in which they lie; ``feats`` names the cell."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [bytes([int(np.searchsorted(e, v, side="right")) for e, v in zip(edges[k], np.frombuffer(f, "f4"))])
+                     for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), *batch.columns[2:]], schema=EXAMPLES)
+
+    sums = [F.sum(c).cast("long").alias(c) for c in ("good", "bad")]
+    return examples.where(F.col("kind").isin(list(edges))).select(*EXAMPLES.names).mapInArrow(run, EXAMPLE).groupBy("kind", "feats", "half").agg(*sums)
+
+
+def train(spans: DataFrame, cells: int = 32_768, precision: float = 0.95, bins: int = 24) -> dict:
+    """Per kind (trees, calibration, threshold) from all examples. They are counted by
+    the cells of a grid of quantiles; a kind with more than ``cells`` cells gets a
+    coarser grid, and at two steps a feature one of fewer features: 2 ** 14 cells in
+    each half at most, so that the driver's part is bounded and no example is left out."""
+    examples = materialize(_examples(spans).select(*EXAMPLES.names), "pii-examples")
+    models, todo, cells = {}, _edges(examples, bins), max(cells, 4)
+    while todo:
+        table = materialize(_cells(examples, todo), "pii-cells")
+        size = {r["kind"]: r["count"] for r in table.groupBy("kind").count().collect()}
+        coarser = {}
+        for kind, edges in todo.items():
+            if size[kind] > cells:
+                used = [j for j, e in enumerate(edges) if len(e)]
+                if max(len(e) for e in edges) > 1:
+                    coarser[kind] = [e[len(e) // 2:][:1] if len(e) < 4 else e[1::2] for e in edges]
+                else:
+                    coarser[kind] = [e if j in used[:max(1, min(14, len(used) - 1))] else e[:0] for j, e in enumerate(edges)]
+                continue
+            rows = sorted(table.where(F.col("kind") == kind).collect(), key=lambda r: (r["feats"], r["half"]))
+            if (model := _fit(rows, edges, precision)) is not None:
+                models[kind] = model
+        discard(table)
+        todo = coarser
+    discard(examples)
     return models
 
 
+def _fit(rows: list, edges: list[np.ndarray], precision: float) -> tuple | None:
+    """Trees on one half of a kind's cells, calibration and threshold on the other."""
+    # a value of each feature that lies in the cell: its lower edge
+    lower = [np.concatenate([[e[0] - 1 if len(e) else 0.0], e]) for e in edges]
+    feats = np.array([[low[c] for low, c in zip(lower, r["feats"])] for r in rows], float)
+    feats, first = np.concatenate([feats, feats]), np.array([r["half"] == 0 for r in rows] * 2)
+    label = np.repeat([1.0, 0.0], len(rows))
+    weight = np.array([r["good"] for r in rows] + [r["bad"] for r in rows], float)
+    some = weight > 0
+    feats, first, label, weight = feats[some], first[some], label[some], weight[some]
+    if min(weight[(first == half) & (label == good)].sum() for half in (True, False) for good in (0, 1)) < 5:
+        return None
+    trees = BoostedTrees().fit(feats[first], label[first], weight[first], edges)
+    margin, y, w = trees.margin(feats[~first]), label[~first], weight[~first]
+    a, b = platt(margin, y, weight=w)
+    # examples of one probability stay or go together
+    p, same = np.unique(np.round(sigmoid(a * margin + b), 9), return_inverse=True)
+    good, every = np.bincount(same, w * y)[::-1].cumsum(), np.bincount(same, w)[::-1].cumsum()
+    fine = np.flatnonzero(good / every >= precision)
+    return (trees, a, b, max(0.5, float(p[::-1][fine[-1]]) - 1e-9)) if len(fine) else None
+
+
 def select_spans(rows: list[tuple], models: dict) -> list[tuple[int, int, int]]:
     """Of one document's proposals, those over their threshold, best first, that
     overlap none selected before. Of equal ones the longest."""
@@ -313,11 +382,11 @@ def select_spans(rows: list[tuple], models: dict) -> list[tuple[int, int, int]]:
     return chosen
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 16_000,
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int = 32_768,
            precision: float = 0.95) -> DataFrame:
     """``doc_id, base, added``: arrays of (kind, start, stop), by kind, then start."""
     spans = materialize(find_spans(docs, id_col, text_col), "pii-spans")
-    models = docs.sparkSession.sparkContext.broadcast(train(spans, sample, precision))
+    models = docs.sparkSession.sparkContext.broadcast(train(spans, cells, precision))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
     arrow = pa.schema([("doc_id", pa.int64()), ("base", span), ("added", span)])
 

@@ -16,10 +16,12 @@ From signatures to components:
    signatures (once per set and task). Equal sets are one class, known by the number
    of the one row that signs for it; copies are never paired.
 2. Signatures are exchanged once, as (signature, class), and those of a single class
-   fall away where they meet. Sizes and sketches stay in a table of their own.
+   fall away where they meet. They are exchanged in portions by their leading bits, one
+   after the other, so that a portion is all that the exchange holds on disk. Sizes and
+   sketches stay in a table of their own, and wide sketches of large sets in another.
 3. Rounds: in each group of a signature, one leader is paired with the members of
-   other components; sizes and sketches rule out what they can, exact intersections
-   decide, and components are merged. A group of near copies becomes one component
+   other components; sizes and sketches rule out what they can, then wide sketches do;
+   exact intersections decide, and components are merged. A group of near copies becomes one component
    this way without all its pairs.
 4. Last, all pairs of a group that are still in different components are compared,
    unless sizes or sketches rule them out, both of which are exact bounds. So no
@@ -53,6 +55,7 @@ from corpusflow.session import discard, materialize
 
 REMEMBERED = 600_000
 SKETCH = 8  # longs of the parity sketch
+PORTIONS = 4  # of the signatures, a power of two
 FEATURES = 3  # least features in a signature's parts, on average
 SEEDS = 12  # cuts of the domain, for sets with many empty signatures
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -157,28 +160,44 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, "u8")
 
 
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parity of the features in each of 64 * SKETCH cells: two sketches differ in
+def sketch(features: np.ndarray, longs: int = SKETCH) -> np.ndarray:
+    """Parity of the features in each of 64 * ``longs`` cells: two sketches differ in
     no more cells than their sets in features."""
-    n = 64 * SKETCH
+    n = 64 * longs
     odd = np.bincount((mix(features * MIX) % np.uint64(n)).astype("i8"), minlength=n) & 1
     return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
 
 
+def wide(features: np.ndarray) -> np.ndarray:
+    """A sketch of two to four cells a feature, for sets that fill the short one; its
+    longs are a power of two, so that the longer of two folds into the other's cells."""
+    n = len(features)
+    return sketch(features, 1 << (2 * n // 64 - 1).bit_length()) if n > 64 * SKETCH else np.empty(0, "<i8")
+
+
 FIELDS = [f"s{i}" for i in range(SKETCH)]
-_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()),
-                   ("sigs", pa.list_(pa.int64())), *[(s, pa.int64()) for s in FIELDS]])
-SETS = "doc_id long, n_shingles long, f0 long, f1 long, sigs array<long>, " + ", ".join(f"{s} long" for s in FIELDS)
+SIGS = [f"sigs{i}" for i in range(PORTIONS)]
+_SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f0", pa.int64()), ("f1", pa.int64()), ("signs", pa.bool_()),
+                   *[(s, pa.list_(pa.int64())) for s in (*SIGS, "wide")], *[(s, pa.int64()) for s in FIELDS]])
+SETS = "doc_id long, n_shingles long, f0 long, f1 long, signs boolean, " + \
+    ", ".join([f"{s} array<long>" for s in (*SIGS, "wide")] + [f"{s} long" for s in FIELDS])
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype("i4"))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows)))
 
 
 def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Per document: set size, fingerprint, sketch, and signatures if it is the
-    first of its set in its task."""
+    """Per document: set size, fingerprint, sketch, and signatures (sorted, in portions)
+    and wide sketch if it is the first of its set in its task."""
+    edges = np.arange(1, PORTIONS, dtype="u8") * np.uint64((1 << 64) // PORTIONS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for part in slices(batch, 1024):
-                ids, size, prints, sigs, lines = part.column(0).to_pylist(), [], [], [], []
+                ids, size, prints, sigs, wides, lines = part.column(0).to_pylist(), [], [], [], [], []
                 for doc_id, text in zip(ids, part.column(1).to_pylist()):
                     found = _SHINGLES.of(text, words)
                     mark = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
@@ -187,14 +206,16 @@ def sign(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str)
                         seen.add(mark)
                     size.append(len(found))
                     prints.append(mark)
-                    sigs.append(signatures(found, percent).view("i8") if new else np.empty(0, "i8"))
+                    own = signatures(found, percent) if new else np.empty(0, "u8")
+                    sigs.append(np.split(own.view("i8"), np.searchsorted(own, edges)))
+                    wides.append(wide(found) if new else np.empty(0, "<i8"))
                     lines.append(sketch(found))
                 marks = np.frombuffer(b"".join(prints), "<i8").reshape(-1, 2)
                 lines = np.stack(lines)
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype("i4"))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(size, pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
-                     pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sigs))),
+                     pa.array([any(map(len, s)) for s in sigs], pa.bool_()),
+                     *[_lists([s[i] for s in sigs]) for i in range(PORTIONS)], _lists(wides),
                      *[pa.array(lines[:, i]) for i in range(SKETCH)]], schema=_SETS)
 
     return whole(docs, id_col, text_col).mapInArrow(run, SETS)
@@ -226,8 +247,7 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
     # every row has a number; a class is known by that of the one row that signs for it
     numbered = sign(docs, words, percent, id_col, text_col).withColumn("r", F.monotonically_increasing_id())
     written = materialize(numbered, "partenum-sets")
-    signed = materialize(written.select("r", "doc_id", "n_shingles", "f0", "f1", *FIELDS, (F.size("sigs") > 0).alias("signs")),
-                         "partenum-documents")
+    signed = materialize(written.select("r", "doc_id", "n_shingles", "f0", "f1", *FIELDS, "signs"), "partenum-documents")
     full = signed.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f0", "f1").agg(F.min(F.when(F.col("signs"), F.col("r"))).alias("c"), F.min("doc_id").alias("rep"),
                                            F.count(F.lit(1)).alias("n"))
@@ -235,13 +255,18 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
     # a class may have signed in several tasks: all signers but one of each go
     copies = full.where("signs").select("r", "f0", "f1").join(classes.where("n > 1").select("f0", "f1", "c"), ["f0", "f1"])
     copies = narrow(materialize(copies.where("r <> c").select("r"), "partenum-copies"), 16)
-    rows = written.where("doc_id is not null and size(sigs) > 0").join(copies, "r", "left_anti")
+    rows = written.where("doc_id is not null and signs").join(copies, "r", "left_anti")
     # the one exchange of all signatures: those of a single class fall away where they meet
-    rows = rows.select(F.explode("sigs").alias("sig"), F.col("r").alias("c")).repartition("sig")
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "c")
-    members = materialize(rows, "partenum-members")
-    discard(written)  # the signatures, by far the largest table, have done their work
+    members = None
+    for sigs in SIGS:
+        part = rows.select(F.explode(sigs).alias("sig"), F.col("r").alias("c")).repartition("sig")
+        part = part.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("n > 1").select("sig", "c")
+        part = materialize(part, "partenum-members")
+        members = part if members is None else members.unionAll(part)
     shared = materialize(members.select("c").distinct(), "partenum-shared")
+    wides = written.where(F.size("wide") > 0).select(F.col("r").alias("c"), "wide").join(narrow(shared, 16), "c", "left_semi")
+    wides = materialize(wides, "partenum-wide")
+    discard(written)  # the signatures, by far the largest table, have done their work
     info = full.where("signs").select(F.col("r").alias("c"), "n_shingles", *FIELDS).join(narrow(shared, 16), "c", "left_semi")
     info = materialize(info, "partenum-info")
     reps = materialize(classes.select("c", "rep", "f0", "f1").join(narrow(shared, 16), "c", "left_semi"), "partenum-reps")
@@ -266,7 +291,7 @@ def link_components(docs: DataFrame, words: int = 4, percent: int = 85, rounds:
         else:
             pairs = _pairs(open_.join(info, "c"), percent)
         # sets are made for the classes of pairs that sizes and sketches leave, and deleted after the round
-        pairs = materialize(_possible(pairs, info, percent), "partenum-pairs")
+        pairs = materialize(_possible(pairs, info, wides, percent), "partenum-pairs")
         if pairs.isEmpty():
             found = pairs
         else:
@@ -304,10 +329,23 @@ def _pairs(open_: DataFrame, percent: int) -> DataFrame:
         F.least("a.c", "b.c").alias("u"), F.greatest("a.c", "b.c").alias("v")).distinct()
 
 
-def _possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs that sizes and sketches don't rule out."""
+def _possible(pairs: DataFrame, info: DataFrame, wides: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and sketches don't rule out, the wide ones last."""
     x = pairs.join(info.alias("a"), F.col("u") == F.col("a.c")).join(info.alias("b"), F.col("v") == F.col("b.c"))
-    return x.where(_apart("a", "b", percent)).select("u", "v")
+    x = x.where(_apart("a", "b", percent)).select("u", "v", (F.col("a.n_shingles") + F.col("b.n_shingles")).alias("both"))
+    x = x.join(wides.select(F.col("c").alias("u"), F.col("wide").alias("p")), "u", "left")
+    x = x.join(wides.select(F.col("c").alias("v"), F.col("wide").alias("q")), "v", "left")
+    longs = F.least(F.size("p"), F.size("q"))
+
+    def folded(w: str) -> Column:
+        halves = F.zip_with(F.slice(w, 1, longs), F.slice(w, longs + 1, longs), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(w) > longs, halves).otherwise(F.col(w))
+
+    odd = F.aggregate(F.zip_with(folded("p"), folded("q"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, b: n + b)
+    # sizes that differ more than twofold, which low similarities allow, are left to the exact check
+    other = F.greatest(F.size("p"), F.size("q")) > 2 * longs
+    out = F.col("p").isNull() | F.col("q").isNull() | other | (odd * (100 + percent) <= F.col("both") * (100 - percent))
+    return x.where(out).select("u", "v")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

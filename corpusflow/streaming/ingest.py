@@ -12,48 +12,35 @@ batches are written by ``foreachBatch`` to a folder each, which a repeated batch
 replaces. A ledger beside them has one row per batch, where it starts and ends: the
 next batch reads the row of the one before it, never the data. Numbers are dense.
 
-Deduplication (:func:`first_rows`) keeps keyed state, hash -> order key of the row
-that was kept, over micro-batches and restarts: the first row in order of arrival
-wins, within a batch the least order key. Fed in corpus order, batch by batch, it
-gives the rows of the batch job.
+Deduplication (:func:`first_rows`) is a join per micro-batch: the first row of each key
+of the batch, without the keys of earlier batches. Those are a table of hashes beside
+the checkpoint, a folder per batch, which a repeated batch replaces like its rows. The
+first row in order of arrival wins, within a batch the least order key. Fed in corpus
+order, batch by batch, it gives the rows of the batch job.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusflow.operators.dedup import first_per_key
 from corpusflow.session import shared_dir
 
 
-def first_rows(stream: DataFrame, key, order_cols: Sequence[str]) -> DataFrame:
-    """D1/D2 on a stream: a row for each value of the column ``key``, the first one.
+def first_rows(batch: DataFrame, key, order_cols: Sequence[str], seen: DataFrame | None = None) -> DataFrame:
+    """D1/D2 on a batch of a stream: a row for each value of the column ``key`` whose hash
+    isn't in ``seen`` (``_h``), the least by ``order_cols``. Null keys are one group."""
+    keyed = first_per_key(batch.withColumn("_h", _hash(key)), "_h", order_cols)
+    if seen is not None:
+        keyed = keyed.join(seen, "_h", "left_anti")
+    return keyed.select(*batch.columns)
 
-    Rows are keyed by the MD5 of ``key``; null keys are one group. The state of a key
-    is its order columns, a few bytes; a repeated row only costs the look-up. Rows of
-    one key in one batch arrive in pieces, of which the least row is kept."""
-    columns, order = stream.columns, list(order_cols)
-    state = T.StructType([T.StructField(c, stream.schema[c].dataType) for c in order])
 
-    def keep(_, parts: Iterator[pd.DataFrame], seen: GroupState) -> Iterator[pd.DataFrame]:
-        first = None
-        for part in parts:
-            if not seen.exists:
-                part = part.sort_values(order, na_position="first", kind="stable").head(1)
-                first = part if first is None else \
-                    pd.concat([first, part]).sort_values(order, na_position="first", kind="stable").head(1)
-        if first is not None:
-            seen.update(tuple(None if pd.isna(v) else getattr(v, "item", lambda v=v: v)() for v in first.iloc[0][order]))
-            yield first[columns]
-
-    keyed = stream.withColumn("_h", F.coalesce(F.md5(key), F.lit("")))
-    return keyed.groupBy("_h").applyInPandasWithState(
-        keep, stream.schema, state, "append", GroupStateTimeout.NoTimeout)
+def _hash(key):
+    return F.unhex(F.coalesce(F.md5(key), F.lit("")))
 
 
 def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet",
@@ -65,7 +52,7 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     the sink path. ``max_samples`` keeps only the first n rows of the stream
     (a streaming global limit, in arrival order); 0/None means all. ``dedup_col`` keeps
     the first row of each of its values, over all batches of the checkpoint; it asks
-    for ``row_id`` or ``id_col``."""
+    for ``row_id`` or ``id_col``, and its batches are folders ``batch=`` of the sink."""
     sink = sink or shared_dir(spark, "stream-sink")
     checkpoint = checkpoint or shared_dir(spark, "stream-ckpt")
     reader = spark.readStream.format(fmt).schema(schema)
@@ -83,14 +70,15 @@ def stream_ingest(spark: SparkSession, source: str, schema, fmt: str = "parquet"
     if dedup_col:
         if "row_id" not in stream.columns:
             raise ValueError("deduplication of a stream needs row_id or id_col")
-        stream = first_rows(stream, F.col(dedup_col), ["row_id"])
     if numbered:
         stream = stream.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_i"))
-    if max_samples:
+    if max_samples and not dedup_col:
         stream = stream.limit(max_samples)
     writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
     if numbered:
         q = writer.foreachBatch(lambda batch, n: _write_numbered(batch, n, sink, bool(max_samples))).start()
+    elif dedup_col:
+        q = writer.foreachBatch(lambda batch, n: _write_first(batch, n, sink, checkpoint, dedup_col, max_samples)).start()
     else:
         q = writer.format("parquet").option("path", sink).start()
     q.awaitTermination(timeout_s)
@@ -130,3 +118,15 @@ def _write_numbered(batch: DataFrame, n: int, sink: str, limited: bool) -> None:
     # the data is there when the ledger says so; a repeated batch replaces both
     spark.createDataFrame([(n, first, first + size)], "batch long, first long, next long") \
         .coalesce(1).write.mode("overwrite").parquet(f"{sink}/_ledger/batch={n}")
+
+
+def _write_first(batch: DataFrame, n: int, sink: str, checkpoint: str, dedup_col: str, max_samples: int | None) -> None:
+    """Write the rows of batch ``n`` whose key no earlier batch had, and then their hashes."""
+    spark, seen = batch.sparkSession, f"{checkpoint}/seen"
+    before = spark.read.schema("_h binary").parquet(*[f"{seen}/batch={i}" for i in range(n)]) if n else None
+    rows = first_rows(batch, F.col(dedup_col), ["row_id"], before)
+    if max_samples:
+        rows = rows.orderBy("row_id").limit(max(0, max_samples - (before.count() if n else 0)))
+    rows.write.mode("overwrite").parquet(f"{sink}/batch={n}")
+    written = spark.read.schema(batch.schema).parquet(f"{sink}/batch={n}")
+    written.select(_hash(F.col(dedup_col)).alias("_h")).write.mode("overwrite").parquet(f"{seen}/batch={n}")

@@ -5,12 +5,13 @@ precision for n = 1..4 summed over the corpus (never per-row means), geometric
 mean, brevity penalty ``exp(1 - ref/sys)`` when the system is shorter,
 exponential smoothing of zero counts, scaled to 0..100, 0 when nothing matches.
 
-Plan: the 13a rules are JVM expressions, projected once per side. An n-gram is only
-ever compared with those of its own row, so nothing is exploded or shuffled: a helper
-over Arrow batches numbers the tokens of a batch, numbers n-grams by (number of the
-shorter one, next token), merges both sides' sorted (row, n-gram) lists and adds up the
-clipped matches. A batch leaves as one row of ten sums; their total is the only
-exchange. With no rows the score is null.
+Plan: no 13a rule looks beyond the white space around a word, so the rules are applied to
+the distinct words of a portion of texts. An n-gram is only ever compared with those of its
+own row, so nothing is exploded or shuffled: a helper over Arrow batches numbers the
+tokens, numbers n-grams by (row, number of the shorter one, next token), sorts those of both
+sides and adds up the clipped matches. A few rows leave as one row of ten sums; their total
+is the only exchange. With no rows the score is null.
+:func:`tokenize_13a` has the same tokens as a JVM expression.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,44 +54,108 @@ def tokenize_13a(c) -> Column:
     return F.array_remove(F.split(F.regexp_replace(ws_to_space(t), " +", " "), " "), "")
 
 
-#: Rows whose n-grams are counted together.
-ROWS = 1024
+#: Rows whose n-grams are counted together; bytes of texts that are split at once.
+ROWS, BYTES = 256, 2 << 20
 SUMS = [*(f"correct_{n}" for n in range(1, MAX_ORDER + 1)), *(f"total_{n}" for n in range(1, MAX_ORDER + 1)),
         "sys_len", "ref_len", "groups"]
 
 
-def _ngrams(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1..4: the row of every n-gram of consecutive rows, and its number. Equal
-    n-grams have equal numbers."""
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))  # tokens up to the end of the row
-    at, number = np.arange(len(tokens)), tokens
+#: Without any of these a word is one token.
+TOUCHED = r"[\{-\~\[-\` -\&\(-\+\:-\@\/.,-]"
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The 13a tokens of the texts, one text after another and numbered densely, and how many
+    each has. Arrow's white space is that of ``patterns.WS``."""
+    coded = pc.fill_null(texts, "").dictionary_encode()
+    known = pc.utf8_rtrim_whitespace(coded.dictionary)
+    for skipped in ("<skipped>", "-\n"):
+        known = pc.replace_substring(known, skipped, "")
+    split = pc.utf8_split_whitespace(known)
+    words = split.flatten().dictionary_encode()
+    touched = pc.match_substring_regex(words.dictionary, TOUCHED)
+    pieces = _ruled(words.dictionary.filter(touched))
+    whole = words.dictionary.filter(pc.invert(touched))
+    numbers = pa.concat_arrays([whole, pieces.flatten()]).dictionary_encode().indices.to_numpy()
+    # where the tokens of a word are: its own number, or those of its pieces
+    touched, many = touched.to_numpy(zero_copy_only=False), pieces.value_lengths().to_numpy()
+    start, size = np.empty(len(touched), "i8"), np.empty(len(touched), "i8")
+    start[~touched], size[~touched] = np.arange(len(whole)), pc.not_equal(whole, "").to_numpy(zero_copy_only=False)
+    start[touched], size[touched] = len(whole) + np.cumsum(many) - many, many
+    numbers, size = _pick(numbers, start, size, words.indices.to_numpy())
+    upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])]
+    return _pick(_dense(numbers), upto[:-1], np.diff(upto), coded.indices.to_numpy())
+
+
+def _ruled(words: pa.Array) -> pa.ListArray:
+    """The tokens of words."""
+    for a, b in UNESCAPE:
+        words = pc.replace_substring(words, a, b)
+    words = pc.binary_join_element_wise(" ", words, " ", "")
+    for pattern, rep in RULES_13A:
+        words = pc.replace_substring_regex(words, pattern, rep.replace("$", "\\"))
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(words))
+
+
+def _pick(flat: np.ndarray, start: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` named by ``which``, one after another, and their sizes."""
+    start, size = start[which], size[which]
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + size, size)], size
+
+
+def _dense(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 without gaps, equal for equal ones."""
+    met = np.zeros(int(numbers.max(initial=-1)) + 1, "i4")
+    met[numbers] = 1
+    return (np.cumsum(met) - 1)[numbers]
+
+
+def _ngrams(tokens: np.ndarray, row: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1..4: where the n-grams of consecutive rows begin, and numbers that are
+    equal for equal n-grams of the same ``row``, below 2 ** 62. ``left`` are the tokens up
+    to the end of a row. Numbers are made dense only where they would get too large."""
+    size = int(tokens.max(initial=0)) + 1
+    at, number, top = np.arange(len(tokens)), row * size + tokens, (int(row.max(initial=0)) + 1) * size
     for n in range(1, MAX_ORDER + 1):
         if n > 1:
             more = left[at] >= n
             at, number = at[more], number[more]
-            if len(at):
-                pair = number * (int(tokens.max()) + 1) + tokens[at + n - 1]
-                number = np.unique(pair, return_inverse=True)[1]
-        yield row[at], number
-
-
-def _clipped(hyp: pa.ListArray, ref: pa.ListArray) -> list[int]:
-    """The sums of a few rows."""
-    flat = pa.concat_arrays([hyp.flatten(), ref.flatten()]).dictionary_encode().indices.to_numpy().astype("i8")
-    size = [np.asarray(x.value_lengths()).astype("i8") for x in (hyp, ref)]
-    rows = len(hyp)
+            if top * size >= 1 << 62:
+                number = np.unique(number, return_inverse=True)[1]
+                top = len(number)
+            number, top = number * size + tokens[at + n - 1], top * size
+        yield at, number
+
+
+def _clipped(flat: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """The sums of a few rows: the tokens of all predictions and then of all references."""
+    rows, flat = len(lengths) // 2, _dense(flat)
+    size = lengths[:rows].sum(), lengths[rows:].sum()
+    # references follow as rows of their own, with the numbers of their predictions' rows
+    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
+    first_ref = int(size[0])
     correct, total = [], []
-    # both sides in one numbering: the references follow as rows of their own
-    for row, number in _ngrams(flat, np.concatenate(size)):
-        key = (row % rows if rows else row) * (int(number.max()) + 1 if len(number) else 1) + number
-        own = row < rows
-        _, group = np.unique(key, return_inverse=True)
-        n = int(group.max()) + 1 if len(group) else 0
-        h, r = np.bincount(group[own], minlength=n), np.bincount(group[~own], minlength=n)
-        correct.append(int(np.minimum(h, r).sum()))
-        total.append(int(own.sum()))
-    return [*correct, *total, int(size[0].sum()), int(size[1].sum()), rows]
+    for at, number in _ngrams(flat, row, left):
+        is_ref = at >= first_ref
+        key = np.sort(number * 2 + is_ref)
+        start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
+        refs = np.add.reduceat(key & 1, start) if len(start) else start
+        hyps = np.diff(start, append=len(key)) - refs
+        correct.append(int(np.minimum(hyps, refs).sum()))
+        total.append(len(at) - int(is_ref.sum()))
+    return [*correct, *total, *map(int, size), rows]
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of, if more than one, at most ``BYTES`` bytes."""
+    size = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype("i8") for c in batch.columns)
+    ends, a = np.cumsum(size), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, BYTES + (ends[a - 1] if a else 0), "right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str] | None = None) -> DataFrame:
@@ -97,12 +163,18 @@ def bleu_stats(df: DataFrame, pred_col: str, ref_col: str, key_cols: list[str] |
     number of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, ROWS):
-                part = batch.slice(a, ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in _clipped(part.column(0), part.column(1))], names=SUMS)
-
-    tok = df.select(tokenize_13a(pred_col).alias("h"), tokenize_13a(ref_col).alias("r"))
-    sums = tok.mapInArrow(run, ", ".join(f"{c} long" for c in SUMS))
+            for part in _portions(batch):
+                n = part.num_rows
+                flat, size = _tokens(pa.concat_arrays(part.columns))
+                upto = np.concatenate([[0], np.cumsum(size)])
+                for a in range(0, n, ROWS):
+                    b = min(n, a + ROWS)
+                    both = [np.concatenate([x[i:j], x[k:m]]) for x, i, j, k, m in (
+                        (flat, upto[a], upto[b], upto[n + a], upto[n + b]), (size, a, b, n + a, n + b))]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in _clipped(*both)], names=SUMS)
+
+    texts = df.select(F.col(pred_col).alias("h"), F.col(ref_col).alias("r"))
+    sums = texts.mapInArrow(run, ", ".join(f"{c} long" for c in SUMS))
     return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in SUMS])
 
 

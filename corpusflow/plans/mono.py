@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import clean_text
 from corpusflow.operators.dedup import first_per_key
 from corpusflow.operators.filters import MIN_MONO_CHARS, mono_length_ok
-from corpusflow.operators.langid import THRESHOLD, strict_keep
+from corpusflow.operators.langid import THRESHOLD, LabelColumnLid, strict_keep
 from corpusflow.sources.readers import read_snapshot, write_snapshot
 
 
@@ -33,15 +33,19 @@ def _cleaned(df: DataFrame, lang: str | None, text_col: str, whitelist: bool,
 def clean_monolingual(df: DataFrame, lang: str, lid=None, text_col: str = "text",
                       order_cols: Sequence[str] = ("row_id",), whitelist: bool = True,
                       min_chars: int = MIN_MONO_CHARS,
-                      threshold: float = THRESHOLD, dedup: str = "gather") -> DataFrame:
+                      threshold: float = THRESHOLD, dedup: str = "gather",
+                      keep_text: bool = True) -> DataFrame:
     """Cleaned rows that pass every rule; all input columns kept, ``text`` replaced.
-    ``dedup`` is the form of :func:`first_per_key`.
+    ``dedup`` is the form of :func:`first_per_key`. Without ``keep_text`` the text is left
+    out of the rows and of the shuffle; language labels must then be columns of the rows.
 
     ``lid``: a provider with ``annotate(df, text_col, key_cols, prefix)``
     (see ``operators.langid``), or None to skip language filtering."""
-    cols = df.columns
+    if not (keep_text or lid is None or isinstance(lid, LabelColumnLid)):
+        raise ValueError("language identification by text needs keep_text")
+    cols = [c for c in df.columns if keep_text or c != text_col]
     cleaned = _cleaned(df, lang, text_col, whitelist, min_chars)
-    passing = cleaned.where("_ok_len").drop("_ok_len").withColumn("_h", F.md5(F.col(text_col)))
+    passing = cleaned.where("_ok_len").select(*cols, F.md5(F.col(text_col)).alias("_h"))
     firsts = first_per_key(passing, "_h", order_cols, method=dedup)
     if lid is not None:
         firsts = lid.annotate(firsts, text_col, ["_h"], prefix="_lid")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import clean_text, count_numbers, word_count
+from corpusflow.functions.text import clean_text, count_numbers, let, word_count
 from corpusflow.operators.dedup import first_per_key
 from corpusflow.operators.filters import (MAX_RATIO, MAX_WORDS, MIN_WORDS, pair_length_ok,
                                           pair_ratio_ok)
@@ -32,19 +32,23 @@ _INTERNAL = {"_src", "_tgt", "_valid", "_s", "_t", "_ws", "_wt", "_reason0", "_h
 
 
 def _prepare(df: DataFrame, src_lang: str, tgt_lang: str, whitelist: bool,
-             min_words: int, max_words: int, max_ratio: float) -> DataFrame:
+             min_words: int, max_words: int, max_ratio: float, cleaned: bool = False) -> DataFrame:
     if "translation" not in df.columns and "jsonl" in df.columns:
         df = expand_jsonl(df, src_lang, tgt_lang)
     r = resolve_pairs(df, src_lang, tgt_lang)
-    r = (r.withColumn("_s", clean_text("_src", src_lang if whitelist else None))
-          .withColumn("_t", clean_text("_tgt", tgt_lang if whitelist else None))
-          .drop("_src", "_tgt"))
-    r = r.withColumn("_ws", word_count("_s")).withColumn("_wt", word_count("_t"))
-    cheap = (F.when(~F.col("_valid"), "invalid")
-              .when((F.col("_s") == "") | (F.col("_t") == ""), "empty")
-              .when(~pair_length_ok("_ws", "_wt", min_words, max_words), "length")
-              .when(~pair_ratio_ok("_ws", "_wt", max_ratio), "ratio"))
-    return r.withColumn("_reason0", cheap).drop("_ws", "_wt")
+    if cleaned:
+        r = r.withColumnsRenamed({"_src": "_s", "_tgt": "_t"})
+    else:
+        r = (r.withColumn("_s", clean_text("_src", src_lang if whitelist else None))
+              .withColumn("_t", clean_text("_tgt", tgt_lang if whitelist else None))
+              .drop("_src", "_tgt"))
+    # a filter on the reason would count the words anew for each time they are named
+    cheap = let(F.struct(word_count("_s").alias("s"), word_count("_t").alias("t")), lambda w: (
+        F.when(~F.col("_valid"), "invalid")
+         .when((F.col("_s") == "") | (F.col("_t") == ""), "empty")
+         .when(~pair_length_ok(w.s, w.t, min_words, max_words), "length")
+         .when(~pair_ratio_ok(w.s, w.t, max_ratio), "ratio")))
+    return r.withColumn("_reason0", cheap)
 
 
 def _lid_columns(df: DataFrame, lid, key: Sequence[str]) -> DataFrame:
@@ -74,17 +78,19 @@ def clean_parallel(df: DataFrame, src_lang: str, tgt_lang: str, lid=None,
                    order_cols: Sequence[str] | None = None, whitelist: bool = True,
                    min_words: int = MIN_WORDS, max_words: int = MAX_WORDS,
                    max_ratio: float = MAX_RATIO, threshold: float = THRESHOLD,
-                   expect: tuple[str, str] | None = None, dedup: str = "gather") -> DataFrame:
+                   expect: tuple[str, str] | None = None, dedup: str = "gather",
+                   cleaned: bool = False) -> DataFrame:
     """Accepted pairs. ``translation`` is replaced by the cleaned
     ``struct<src_lang, tgt_lang>``; every other input column is kept.
     ``expect`` overrides the labels the LID rule expects per side (default:
-    the two language codes); ``dedup`` is the form of :func:`first_per_key`."""
+    the two language codes); ``dedup`` is the form of :func:`first_per_key`; texts that are
+    ``cleaned`` already (``clean_text`` of the side's language) aren't cleaned again."""
     if expect:
         src_lang_lid, tgt_lang_lid = expect
     else:
         src_lang_lid, tgt_lang_lid = src_lang, tgt_lang
     order_cols = _order(df, order_cols)
-    base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio)
+    base = _prepare(df, src_lang, tgt_lang, whitelist, min_words, max_words, max_ratio, cleaned)
     out_cols = [c for c in base.columns if c not in _INTERNAL and c != "translation"]
     ok = base.where(F.col("_reason0").isNull() & (count_numbers("_s") == count_numbers("_t")))
     per_row_lid = isinstance(lid, LabelColumnLid)

@@ -111,40 +111,39 @@ def _dense(numbers: np.ndarray) -> np.ndarray:
     return (np.cumsum(met) - 1)[numbers]
 
 
-def _ngrams(tokens: np.ndarray, row: np.ndarray, left: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1..4: where the n-grams of consecutive rows begin, and numbers that are
-    equal for equal n-grams of the same ``row``, below 2 ** 62. ``left`` are the tokens up
-    to the end of a row. Numbers are made dense only where they would get too large."""
-    size = int(tokens.max(initial=0)) + 1
-    at, number, top = np.arange(len(tokens)), row * size + tokens, (int(row.max(initial=0)) + 1) * size
+def _ngrams(tokens: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1..4: the row of every n-gram of consecutive rows, and its number. Equal
+    n-grams have equal numbers, below 2 ** 52; they are made dense only where they would
+    get too large."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(tokens))  # tokens up to the end of the row
+    at, number, size = np.arange(len(tokens)), tokens, int(tokens.max(initial=0)) + 1
+    top = size
     for n in range(1, MAX_ORDER + 1):
         if n > 1:
             more = left[at] >= n
             at, number = at[more], number[more]
-            if top * size >= 1 << 62:
+            if top * size >= 1 << 52:
                 number = np.unique(number, return_inverse=True)[1]
                 top = len(number)
             number, top = number * size + tokens[at + n - 1], top * size
-        yield at, number
+        yield row[at], number
 
 
 def _clipped(flat: np.ndarray, lengths: np.ndarray) -> list[int]:
     """The sums of a few rows: the tokens of all predictions and then of all references."""
-    rows, flat = len(lengths) // 2, _dense(flat)
+    rows = len(lengths) // 2
     size = lengths[:rows].sum(), lengths[rows:].sum()
-    # references follow as rows of their own, with the numbers of their predictions' rows
-    row = np.repeat(np.tile(np.arange(rows), 2), lengths)
-    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(flat))
-    first_ref = int(size[0])
     correct, total = [], []
-    for at, number in _ngrams(flat, row, left):
-        is_ref = at >= first_ref
-        key = np.sort(number * 2 + is_ref)
+    # both sides in one numbering: the references follow as rows of their own
+    for row, number in _ngrams(_dense(flat), lengths):
+        is_ref = row >= rows
+        key = np.sort(((row - rows * is_ref) * (int(number.max(initial=0)) + 1) + number) * 2 + is_ref)
         start = np.flatnonzero(np.diff(key >> 1, prepend=-1))
         refs = np.add.reduceat(key & 1, start) if len(start) else start
         hyps = np.diff(start, append=len(key)) - refs
         correct.append(int(np.minimum(hyps, refs).sum()))
-        total.append(len(at) - int(is_ref.sum()))
+        total.append(len(row) - int(is_ref.sum()))
     return [*correct, *total, *map(int, size), rows]
 
 

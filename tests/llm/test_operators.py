@@ -471,6 +471,45 @@ def test_search_over_more_than_one_slice(spark):
     assert got == brute_search(rows, [r for r in rows if r[0] % 50 == 0], 5)
 
 
+@pytest.mark.parametrize("common, n_docs", [(0.05, 700), (2.0, 700), (0.0, 700), (0.05, 10 ** 7)])
+def test_shard_reads_common_words_from_no_list(monkeypatch, common, n_docs):
+    # (0.05, 10 ** 7): impacts that single precision doesn't hold stay in the lists
+    monkeypatch.setattr(bm25_wand, "COMMON", common)
+    rnd, k = random.Random(10), 5
+    vocabulary = [f"t{i}" for i in range(60) for _ in range(60 // (i + 1))] + [f"r{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 60))) for _ in range(699)]
+    texts.append(texts[0])
+    ids = np.array([*range(699), 0])
+    index = bm25_wand.build(ids, pa.array(texts), 30.0)
+    df = dict(zip(index["terms"].tolist(), index["size"].tolist()))
+    queries = [sorted({bm25_wand.term(w) for w in bm25_wand.words(t)} | {7}) for t in texts[:40]]
+    asked = np.unique(np.concatenate(queries))
+    dfs = np.array([df.get(t, 1) for t in asked.tolist()])
+    read, ranges = [], bm25_wand._ranges
+    monkeypatch.setattr(bm25_wand, "_ranges", lambda a, b: read.append(ranges(a, b)) or read[-1])
+    shard = bm25_wand.Shard(index, n_docs, asked, dfs)
+    query, word = np.repeat(np.arange(40), [len(q) for q in queries]), np.searchsorted(asked, np.concatenate(queries))
+    found = bm25_wand.best_of(k, shard.search(query, word, np.zeros(40), k))
+    postings = sum(df.get(t, 0) for q in queries for t in q)
+    if (common, n_docs) == (0.05, 700):
+        assert sum(map(len, read)) < postings / 3
+
+    counts = [Counter(bm25_wand.term(w) for w in bm25_wand.words(t)) for t in texts]
+    norm = [1.2 * (0.25 + 0.75 * sum(c.values()) / 30.0) for c in counts]
+    weight = dict(zip(asked.tolist(), (bm25_wand.idf(n_docs, dfs.astype("f8")) * 2 ** 20).tolist()))
+    expected = []
+    for q, terms in enumerate(queries):
+        scored = [(-sum(round(c[t] * 2.2 / (c[t] + m) * weight[t]) for t in terms if c[t]), i)
+                  for i, c, m in zip(ids.tolist(), counts, norm)]
+        expected += [(q, i, -s) for s, i in sorted(x for x in scored if x[0])[:k]]
+    assert list(zip(*(x.tolist() for x in found))) == expected
+    # bounds that are reached exactly lose nothing
+    least = np.zeros(40)
+    least[found[0]] = found[2]
+    again = bm25_wand.best_of(k, shard.search(query, word, least, k))
+    assert all((a == b).all() for a, b in zip(found, again))
+
+
 def test_search_edge_cases(odd, none):
     rows = [(i, t) for i, t in TEXTS if i != 2] + [(2, SHARED.upper())]
     df = odd.select("doc_id", "text").distinct()

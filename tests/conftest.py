@@ -27,3 +27,20 @@ def spark():
 
 def rows(df, *cols):
     return [tuple(r[c] for c in cols) for r in df.collect()]
+
+
+@pytest.fixture(autouse=True)
+def files_at_rest(request):
+    """A test that counts shuffle files begins when those of earlier tests are no longer being deleted."""
+    if "shuffle_files" in request.node.name:
+        import gc
+        import time
+        jvm = request.getfixturevalue("spark")._jvm
+        gc.collect()
+        jvm.System.gc()
+        files = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        counts = [-1]
+        while len(counts) < 60 and (len(counts) < 5 or len(set(counts[-4:])) > 1):
+            time.sleep(0.5)
+            counts.append(files.getAllFiles().size())
+    yield
